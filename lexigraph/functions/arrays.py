@@ -75,6 +75,41 @@ def sum_by_item(entries: Column, fields: list[str]) -> Column:
     )
 
 
+def merge_mentions(entries: Column) -> Column:
+    """Group array<struct<item, ord, text, type, weight, sentence_index, ...>> by item.
+
+    One entry per item: the first ``text`` and ``type`` by ``ord``, the summed
+    ``weight``, the sorted sentence indices and the grouped entries themselves.
+    """
+
+    def runs(ordered: Column) -> Column:
+        length = F.size(ordered)
+
+        def entry(part: Column) -> Column:
+            first = F.element_at(part, 1)
+            return F.struct(
+                first["item"].alias("item"),
+                first["ord"].alias("ord"),
+                first["text"].alias("text"),
+                first["type"].alias("type"),
+                F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x["weight"]).alias("weight"),
+                F.sort_array(F.array_distinct(F.transform(part, lambda x: x["sentence_index"]))).alias("sentence_indices"),
+                part.alias("members"),
+            )
+
+        return let(
+            _run_starts(ordered, lambda x: x["item"]),
+            lambda starts: F.transform(
+                starts,
+                lambda p, j: let(
+                    F.slice(ordered, p, F.coalesce(F.get(starts, j + 1), length + 1) - p), entry
+                ),
+            ),
+        )
+
+    return F.when(F.size(entries) > 0, let(F.sort_array(entries), runs))
+
+
 def running_total(lengths: Column) -> Column:
     """Inclusive prefix sums of array<int>, in blocks so that long arrays stay cheap."""
 
