@@ -16,6 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def part(items: Column, first: Column, last: Column) -> Column:
+    """Elements first..last (1-based, first <= last).
+
+    Inside a lambda ``slice`` copies the whole array on every call; reading by
+    position keeps a pass over all parts linear.
+    """
+    return F.transform(F.sequence(first, last), lambda i: F.element_at(items, i))
+
+
 def _run_starts(ordered: Column, item: Callable[[Column], Column]) -> Column:
     """1-based positions at which a new item begins in a sorted array."""
     return F.filter(
@@ -55,7 +64,9 @@ def sum_by_item(entries: Column, fields: list[str]) -> Column:
         def total(starts: Column, p: Column, j: Column, field: str) -> Column:
             stop = F.coalesce(F.get(starts, j + 1), length + 1)
             return F.aggregate(
-                F.slice(ordered, p, stop - p), F.lit(0.0), lambda acc, x: acc + x[field].cast("double")
+                F.sequence(p, stop - 1),
+                F.lit(0.0),
+                lambda acc, i: acc + F.element_at(ordered, i)[field].cast("double"),
             ).alias(field)
 
         return let(
@@ -85,25 +96,23 @@ def merge_mentions(entries: Column) -> Column:
     def runs(ordered: Column) -> Column:
         length = F.size(ordered)
 
-        def entry(part: Column) -> Column:
-            first = F.element_at(part, 1)
+        def entry(members: Column) -> Column:
+            first = F.element_at(members, 1)
             return F.struct(
                 first["item"].alias("item"),
                 first["ord"].alias("ord"),
                 first["text"].alias("text"),
                 first["type"].alias("type"),
-                F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x["weight"]).alias("weight"),
-                F.sort_array(F.array_distinct(F.transform(part, lambda x: x["sentence_index"]))).alias("sentence_indices"),
-                part.alias("members"),
+                F.aggregate(members, F.lit(0.0), lambda acc, x: acc + x["weight"]).alias("weight"),
+                F.sort_array(F.array_distinct(F.transform(members, lambda x: x["sentence_index"]))).alias("sentence_indices"),
+                members.alias("members"),
             )
 
         return let(
             _run_starts(ordered, lambda x: x["item"]),
             lambda starts: F.transform(
                 starts,
-                lambda p, j: let(
-                    F.slice(ordered, p, F.coalesce(F.get(starts, j + 1), length + 1) - p), entry
-                ),
+                lambda p, j: let(part(ordered, p, F.coalesce(F.get(starts, j + 1), length + 1) - 1), entry),
             ),
         )
 
@@ -113,23 +122,25 @@ def merge_mentions(entries: Column) -> Column:
 def running_total(lengths: Column) -> Column:
     """Inclusive prefix sums of array<int>, in blocks so that long arrays stay cheap."""
 
-    def add(acc: Column, x: Column) -> Column:
-        return acc + x
-
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), add)
+    def total(values: Column, first: Column, last: Column) -> Column:
+        return F.aggregate(F.sequence(first, last), F.lit(0), lambda acc, i: acc + F.get(values, i))
 
     def blocked(values: Column, width: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")),
-            lambda b: total(F.slice(values, b * width + 1, width)),
+        size = F.size(values)
+        sums = F.transform(
+            F.sequence(F.lit(0), F.floor((size - 1) / width).cast("int")),
+            lambda b: total(values, b * width, F.least((b + 1) * width, size) - 1),
+        )
+        before = let(
+            sums,
+            lambda block: F.transform(
+                block, lambda _, b: F.when(b > 0, total(block, F.lit(0), b - 1)).otherwise(F.lit(0))
+            ),
         )
         return let(
-            let(blocks, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))),
-            lambda before: F.transform(
-                values,
-                lambda _, i: F.get(before, F.floor(i / width).cast("int"))
-                + total(F.slice(values, i - i % width + 1, i % width + 1)),
+            before,
+            lambda offset: F.transform(
+                values, lambda _, i: F.get(offset, F.floor(i / width).cast("int")) + total(values, i - i % width, i)
             ),
         )
 

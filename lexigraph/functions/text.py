@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 from lexigraph.functions import constants as C
-from lexigraph.functions.arrays import let, running_total
+from lexigraph.functions.arrays import let, part, running_total
 
 # Whitespace as str.split() understands it, which includes the separators 1c-1f.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
@@ -75,10 +76,11 @@ def ngrams(
     """Contiguous n-grams (as strings) that pass the phrase rules."""
     stop, common = list(stopwords), C.BIGRAM_COMMON_WORDS
 
-    def acceptable(gram: Column) -> Column:
+    def acceptable(word: Callable[[int], Column]) -> Column:
         if n > 2:
-            return ~F.exists(F.slice(gram, 2, n - 2), lambda w: F.lower(w).isin(*stop))
-        first, second = F.element_at(gram, 1), F.element_at(gram, 2)
+            inner = [F.lower(word(j)).isin(*stop) for j in range(1, n - 1)]
+            return ~reduce(lambda x, y: x | y, inner)
+        first, second = word(0), word(1)
         return (
             ~(F.lower(first).isin(*stop) & F.lower(second).isin(*stop))
             & ~(F.lower(first).isin(*common) & (F.length(second) <= 4))
@@ -88,11 +90,10 @@ def ngrams(
         )
 
     def windows(toks: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.slice(toks, i, n))
-        return F.filter(
-            F.transform(F.filter(grams, acceptable), lambda g: F.array_join(g, " ")),
-            lambda g: F.length(g).between(shortest * n, longest * n),
-        )
+        at = lambda i: lambda j: F.get(toks, i + j)
+        starts = F.filter(F.sequence(F.lit(0), F.size(toks) - n), lambda i: acceptable(at(i)))
+        grams = F.transform(starts, lambda i: F.concat_ws(" ", *[at(i)(j) for j in range(n)]))
+        return F.filter(grams, lambda g: F.length(g).between(shortest * n, longest * n))
 
     return let(
         tokens,
@@ -155,12 +156,12 @@ def sentence_blocks(located: Column, blocksize: int = 1) -> Column:
             F.transform(
                 F.sequence(F.lit(0), F.floor((F.size(s) - 1) / size).cast("int")),
                 lambda b: let(
-                    F.slice(s, b * size + 1, F.lit(size)),
-                    lambda part: F.struct(
-                        F.array_join(F.transform(part, lambda x: x["text"]), " ").alias("text"),
-                        F.transform(part, lambda x: x["index"]).alias("indices"),
-                        F.element_at(part, 1)["start"].alias("start"),
-                        F.element_at(part, -1)["end"].alias("end"),
+                    part(s, b * size + 1, F.least((b + 1) * size, F.size(s))),
+                    lambda block: F.struct(
+                        F.array_join(F.transform(block, lambda x: x["text"]), " ").alias("text"),
+                        F.transform(block, lambda x: x["index"]).alias("indices"),
+                        F.element_at(block, 1)["start"].alias("start"),
+                        F.element_at(block, -1)["end"].alias("end"),
                         b.alias("block_index"),
                     ),
                 ),
@@ -255,8 +256,9 @@ def snippet(text: Column, size: int = C.SNIPPET_CHARS) -> Column:
 # Fixed patterns for links and file mentions.
 URL_PATTERN = r"""https?://[^\s<>"{}|\\^`\[\]]+"""
 _EXT = "(?:" + "|".join(C.FILE_EXTENSIONS) + ")"
-QUOTED_PATH_PATTERN = rf"""["']([^"']*[^"']+\.{_EXT})["']"""
-PLAIN_PATH_PATTERN = rf"""([^\s,]+\.{_EXT})"""
+QUOTED_PATH_PATTERN = rf"""["']([^"']+\.{_EXT})["']"""
+# A plain name starts where a run of non-space characters starts, so each run is tried once.
+PLAIN_PATH_PATTERN = rf"""(?<![^\s,])([^\s,]+\.{_EXT})"""
 
 
 def extract_links(text: Column) -> Column:

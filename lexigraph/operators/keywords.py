@@ -177,17 +177,18 @@ def _local_terms(text: Column, options: KeywordOptions) -> Column:
 
 def _gram_entries(tokens: Column, options: KeywordOptions) -> Column:
     """array<struct<item, score, type>> of weighted n-gram counts of all sizes."""
-    kinds = [
-        F.transform(
+
+    def of_size(n: int) -> Column:
+        return F.transform(
             tally(options.grams(tokens, n)),
-            lambda e, n=n: F.struct(
+            lambda e: F.struct(
                 e["item"].alias("item"),
                 (e["n"] * options.ngram_weight).alias("score"),
                 F.lit(f"{n}-gram").alias("type"),
             ),
         )
-        for n in options.sizes
-    ]
+
+    kinds = [of_size(n) for n in options.sizes]
     return F.concat(*kinds) if kinds else F.expr("cast(array() as array<struct<item:string,score:double,type:string>>)")
 
 
@@ -244,18 +245,15 @@ def position(docs: DataFrame, key: str = "doc_id", text: str = "text", options:
 
 def ngram_freq(docs: DataFrame, key: str = "doc_id", text: str = "text", options: KeywordOptions = KeywordOptions()) -> DataFrame:
     """(key, n, keyword, score): n-gram counts per document and size."""
-    per_size = F.concat(
-        *[
-            F.transform(
-                tally(options.grams(F.col("tokens"), n)),
-                lambda e, n=n: F.struct(
-                    F.lit(n).alias("n"), e["item"].alias("keyword"), e["n"].cast("double").alias("score")
-                ),
-            )
-            for n in options.sizes
-        ]
-    )
-    return docs.select(key, options.tokens(F.col(text)).alias("tokens")).select(key, F.inline(per_size))
+
+    def of_size(n: int) -> Column:
+        return F.transform(
+            tally(options.grams(F.col("tokens"), n)),
+            lambda e: F.struct(F.lit(n).alias("n"), e["item"].alias("keyword"), e["n"].cast("double").alias("score")),
+        )
+
+    tokens = docs.select(key, options.tokens(F.col(text)).alias("tokens"))
+    return tokens.select(key, F.inline(F.concat(*[of_size(n) for n in options.sizes])))
 
 
 def inverse_frequency(

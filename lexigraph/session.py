@@ -53,3 +53,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Bring a table with fewer splits than cores up to the cluster's parallelism.
+
+    Text work is bound by the processor, so a small file in one split would keep
+    one core busy. A table with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
