@@ -1 +1,197 @@
-"""..."""
+"""Sources and sinks: the test tables written in each format and read back."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import Window, functions as F
+
+from catalog.common import documents, mention_cte, query, table, tok
+from catalog.keywords import EXTERNAL, FREQ_PHRASES, GRAMS, SECTION_SQL, WORDS, WORD_COUNTS, top_sql, visible_sql
+from lexigraph.functions import text as T
+from lexigraph.operators import keywords as K
+from lexigraph.session import scratch_path, spread
+from lexigraph.sources import files, sinks
+from lexigraph.sources.html import parse_pages
+from lexigraph.streaming import ingest as stream
+
+TURN_KEY = "conv_id * 1000 + turn"
+KIND_SQL = "case turn % 3 when 0 then 'text' when 1 then 'json' else 'note' end"
+
+
+def turn_episodes(spark, sf):
+    """Conversation turns as raw episodes: text, JSON objects and an unknown type."""
+    turn = F.col("turn") % 3
+    return table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("episode_id"),
+        F.when(turn == 1, F.to_json(F.struct("role", "text"))).otherwise(F.col("text")).alias("content"),
+        F.when(turn == 0, "text").when(turn == 1, "json").otherwise("note").alias("type"),
+        F.when(turn != 2, F.col("role")).alias("description"),
+    )
+
+
+EPISODE_SQL = f"""turns as (select {TURN_KEY} as episode_id, role, text, turn % 3 as t from conversations),
+    episode as (
+      select episode_id, case when t = 1 then role || ' ' || text else text end as body, case t when 1 then 'json' else 'text' end as type,
+        case when t = 2 then 'No description' else role end as description from turns
+    )"""
+
+
+@query("src_episodes", f"with {EPISODE_SQL} select episode_id, type, description, body from episode")
+def episodes(spark, sf):
+    """One JSON array of episodes per conversation, each in its own file."""
+    path = scratch_path(spark, "episodes")
+    turns = turn_episodes(spark, sf)
+    arrays = turns.groupBy(F.floor(F.col("episode_id") / 1000).alias("conv_id")).agg(
+        F.to_json(F.collect_list(F.struct(*turns.columns))).alias("value")
+    )
+    arrays.repartition("conv_id").write.partitionBy("conv_id").text(path)
+    found = files.episodes(spark, path + "/*")
+    body = F.when(F.col("type") == "json", T.json_to_text(F.col("content"))).otherwise(F.col("content"))
+    return found.select("episode_id", "type", "description", body.alias("body"))
+
+
+def passage_files(spark, sf):
+    """One text file per benchmark passage."""
+    path = scratch_path(spark, "texts")
+    table(spark, sf, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
+    return path
+
+
+@query(
+    "src_text",
+    """select item_id, text || chr(10) as text, length(text) - length(replace(text, chr(10), '')) + 1 as line_count,
+       strlen(text) + 1 as file_size, 1 as pages from benchmark""",
+)
+def text(spark, sf):
+    found = files.parsed_text(files.text_files(spark, passage_files(spark, sf) + "/*"))
+    return found.select(
+        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "text",
+        F.col("metadata.line_count").cast("long").alias("line_count"), F.col("metadata.file_size").alias("file_size"),
+        F.size("pages").alias("pages"),
+    )
+
+
+@query("validate_input", "select item_id, strlen(text) + 1 as length, true as valid, cast(null as varchar) as error from benchmark")
+def validate(spark, sf):
+    return files.validate(spark, passage_files(spark, sf)).where(F.col("path").contains("item_id=")).select(
+        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "length", "valid", "error"
+    )
+
+
+@query(
+    "src_csv",
+    """select concat_ws(' | ', s_suppkey, s_name, s_nationkey, s_acctbal, 'said "no"; ' || s_name) as line, 5 as column_count from supplier""",
+)
+def csv(spark, sf):
+    path = scratch_path(spark, "csv")
+    rows = table(spark, sf, "supplier").withColumn("note", F.concat(F.lit('said "no"; '), "s_name"))
+    rows.write.option("header", True).option("sep", ";").option("quote", "'").option("escape", "'").csv(path)
+    lines = files.csv_lines(files.csv_rows(spark, path, delimiter=";", quotechar="'"))
+    return lines.select("line", F.size("cells").alias("column_count"))
+
+
+@query(
+    "src_pages_html",
+    rf"""select page_id, {visible_sql(SECTION_SQL)} as text,
+      trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) as title,
+      array_to_string(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1), ' ') as links,
+      len(list_filter(list_transform(string_split(regexp_replace({SECTION_SQL}, '(?i)<(h[1-6][\s>])', chr(1) || '<\1', 'g'), chr(1)),
+        lambda p: {visible_sql('p')}), lambda p: p <> '')) as sections
+    from pages""",
+)
+def pages(spark, sf):
+    rows = parse_pages(spread(table(spark, sf, "pages")))
+    return rows.select(
+        "page_id", "text", "metadata.title", F.array_join("metadata.links", " ").alias("links"),
+        F.size("pages").cast("long").alias("sections"),
+    )
+
+
+@query("src_corpus", f"with {WORDS}, {EXTERNAL} select doc_id, keyword, round(score, 6) as score from tfidf")
+def corpus(spark, sf):
+    """The benchmark passages as JSON lists of strings, read back as the corpus of TF-IDF."""
+    path = scratch_path(spark, "corpus")
+    rows = table(spark, sf, "benchmark").groupBy("item_id").agg(F.to_json(F.collect_list("text")).alias("value"))
+    rows.select("value", "item_id").repartition("item_id").write.partitionBy("item_id").text(path)
+    listed = files.corpus(spark, path + "/*")
+    return K.tfidf(documents(spark, sf), corpus=listed).withColumn("score", F.round("score", 6))
+
+
+KINDS_SQL = "['.txt', '.csv', '.PDF', '.xlsx', '.xls', '.ods', '.xlsm', '.text', '.doc']"
+
+
+@query(
+    "route_by_type",
+    f"""with path as (
+      select 'p' || page_id as id, url as path, '' as ext from pages
+      union all select 'd' || doc_id, '/data/' || source || '/' || doc_id || {KINDS_SQL}[doc_id % 9 + 1], lower({KINDS_SQL}[doc_id % 9 + 1]) from documents)
+    select id, path, case when ext = '' then 'url' when ext in ('.txt', '.text') then 'txt' when ext = '.csv' then 'csv' when ext = '.pdf' then 'pdf'
+      when ext = '.doc' then null else 'spreadsheet' end as parser, case when ext = '.doc' then 'No parser available for file type: .doc' end as error from path""",
+)
+def route(spark, sf):
+    kinds = F.array(*[F.lit(x) for x in (".txt", ".csv", ".PDF", ".xlsx", ".xls", ".ods", ".xlsm", ".text", ".doc")])
+    urls = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("path"))
+    paths = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+        F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.get(kinds, (F.col("doc_id") % 9).cast("int"))).alias("path"),
+    )
+    return files.route(urls.unionByName(paths))
+
+
+RULE = "-" * 80
+
+
+@query(
+    "render_table_text",
+    f"""with line as (
+      select l_orderkey, l_linestatus, row_number() over (partition by l_orderkey, l_linestatus order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as i,
+        concat_ws(' | ', l_linenumber, l_partkey, cast(l_quantity as bigint), l_returnflag) as line from lineitem),
+    sheet as (
+      select l_orderkey, l_linestatus, '=== Sheet: ' || l_linestatus || ' ===' || chr(10) || 'line | part | quantity | flag' || chr(10) || '{RULE}' || chr(10)
+        || array_to_string(list(line order by i), chr(10)) as text from line where i < 3 group by l_orderkey, l_linestatus)
+    select l_orderkey as source, array_to_string(list(text order by l_linestatus), chr(10) || chr(10)) as text from sheet group by all""",
+)
+def render(spark, sf):
+    """Order lines as sheets by status, three rows per sheet."""
+    order = Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    cells = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("source"), F.col("l_linestatus").alias("sheet"), (F.row_number().over(order) - 1).alias("row_idx"),
+        F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), F.col("l_returnflag")).alias("cells"),
+    )
+    return files.join_sheets(files.render_tables(cells, ["line", "part", "quantity", "flag"], max_rows_per_sheet=3))
+
+
+@query(
+    "sink_keywords_json",
+    f"""select doc_id, 'word_freq' as method, count(*) as num_keywords, array_to_string(list(keyword order by rank), '|') as keywords, round(max(score), 6) as best
+        from ({top_sql(f"{WORDS}, {GRAMS}, {WORD_COUNTS}", "counted", FREQ_PHRASES, 10)}) group by doc_id""",
+)
+def keywords_json(spark, sf):
+    path = scratch_path(spark, "keywords")
+    options = replace(K.KeywordOptions(), method="word_freq")
+    out = sinks.keywords_envelope(K.extract(documents(spark, sf), options=options), options)
+    sinks.write_json(out, path)
+    back = spark.read.schema(out.schema).json(path)
+    return back.select(
+        "doc_id", "method", F.col("num_keywords").cast("long").alias("num_keywords"),
+        F.array_join(F.transform("keywords", lambda k: k["keyword"]), "|").alias("keywords"),
+        F.round(F.array_max(F.transform("keywords", lambda k: k["score"])), 6).alias("best"),
+    )
+
+
+@query(
+    "stream_ingest",
+    f"""with {EPISODE_SQL}, {mention_cte('episode', 'episode_id', 'body')},
+    counted as (select episode_id, count(*) as n from mention group by all)
+    select episode_id, 'Episode ' || episode_id as name, type as source, description as source_description, coalesce(n, 0) as entity_count
+    from episode left join counted using (episode_id)""",
+)
+def stream_ingest(spark, sf):
+    """Episodes arrive as JSON files and are appended by a stream that stops when it has caught up."""
+    arrivals, target, state = (scratch_path(spark, name) for name in ("arrivals", "ingested", "state"))
+    turn_episodes(spark, sf).repartition(4, "episode_id").write.json(arrivals)
+    stream.ingest(spark, arrivals, target, state, multi_line=False).awaitTermination()
+    return spark.read.parquet(target).select(
+        "episode_id", "name", "source", "source_description", F.col("entity_count").cast("long").alias("entity_count")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigraph.functions import constants as C, entities as E, questions as Q, scores as S
 from lexigraph.operators import ranking as R
+from lexigraph.session import materialize
 
 
 def analyse(questions: DataFrame, query: str = "query") -> DataFrame:
@@ -156,3 +157,21 @@ def connection_pages(results: DataFrame, neighbours: DataFrame, degrees: DataFra
             ).alias("entities")
         )
     )
+
+
+def answer(
+    questions: DataFrame,
+    postings: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    embeddings: DataFrame | None = None,
+    weights: R.Weights = R.Weights(),
+    extract: E.Extractor = E.pattern_mentions,
+) -> DataFrame:
+    """Questions to re-ranked candidates in one call.
+
+    The candidates (at most 20 per question) feed several features, so they are
+    written once to the shared folder instead of being searched again.
+    """
+    found = materialize(hybrid(questions, postings, embeddings), "candidates")
+    return question_aware(analyse(questions), found, nodes, edges, weights, extract)
