@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import WS, documents, mention_cte, quoted, query, sentence_cte, table
 from lexigraph.functions import constants as C, entities as E
 from lexigraph.operators import entities as O
+from lexigraph.session import spread
 
 MENTIONS = mention_cte("documents", "doc_id", "text")
 ORDERED = "ordered as (select *, row_number() over (partition by doc_id order by pass, n) as ord from mention)"
@@ -28,7 +29,7 @@ DATED = """dated as (select o_orderkey, 'Clerk Anna Maria took it. Placed ' || s
 
 def dated_orders(spark, sf):
     """Orders told as sentences, so that names, full dates and years occur."""
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(
         "o_orderkey",
         F.concat(
             F.lit("Clerk Anna Maria took it. Placed "), F.date_format("o_orderdate", "MMMM dd, yyyy"), F.lit(" for customer "),

@@ -39,7 +39,7 @@ def requests(spark, sf):
 
 
 def _found(docs):
-    return docs.withColumn("entities", E.pattern_mentions(F.col("text"))).where(F.size("entities") > 0)
+    return docs.withColumn("entities", E.pattern_mentions(F.col("text")))
 
 
 def json_answers(spark, sf):
@@ -92,7 +92,7 @@ def markdown_answers(spark, sf):
     select doc_id, coalesce(original, item) as text, type, case when original is null then 0.8 else 1.0 end::double as confidence from hit""",
 )
 def parse_markdown(spark, sf):
-    rows = V.parse_responses(markdown_answers(spark, sf)).select("doc_id", F.inline("verdicts"))
+    rows = V.parse_responses(markdown_answers(spark, sf))
     return rows.select("doc_id", "text", "type", "confidence")
 
 

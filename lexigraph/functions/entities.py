@@ -139,28 +139,32 @@ def with_context(text: Column, window: int = C.CONTEXT_WINDOW, extract: Extracto
     A mention never crosses a sentence end, so looking per sentence finds the
     same mentions and needs no offset join.
     """
-    return F.transform(
-        mentions_in_sentences(text, extract),
-        lambda m: F.struct(
-            m["text"].alias("text"),
-            m["type"].alias("type"),
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            m["label"].alias("label"),
-            m["sentence_index"].alias("sentence_index"),
-            F.when(
-                type_description(m["type"]).isNotNull(),
-                F.struct(
-                    type_description(m["type"]).alias("description"),
-                    F.trim(
-                        F.substring(text, F.greatest(m["start"] - window, F.lit(0)) + 1, F.least(m["start"], F.lit(window)))
-                    ).alias("before"),
-                    F.trim(F.substring(text, m["end"] + 1, F.lit(window))).alias("after"),
-                    m["sentence"].alias("sentence"),
-                    F.concat_ws(" ", m["previous"], m["sentence"], m["following"]).alias("extended"),
-                    F.lit(window).alias("window_size"),
-                ),
-            ).alias("context"),
+
+    def surrounded(whole: Column, m: Column) -> Column:
+        return F.struct(
+            type_description(m["type"]).alias("description"),
+            F.trim(
+                F.substring(whole, F.greatest(m["start"] - window, F.lit(0)) + 1, F.least(m["start"], F.lit(window)))
+            ).alias("before"),
+            F.trim(F.substring(whole, m["end"] + 1, F.lit(window))).alias("after"),
+            m["sentence"].alias("sentence"),
+            F.concat_ws(" ", m["previous"], m["sentence"], m["following"]).alias("extended"),
+            F.lit(window).alias("window_size"),
+        )
+
+    return let(
+        text,
+        lambda whole: F.transform(
+            mentions_in_sentences(whole, extract),
+            lambda m: F.struct(
+                m["text"].alias("text"),
+                m["type"].alias("type"),
+                m["start"].alias("start"),
+                m["end"].alias("end"),
+                m["label"].alias("label"),
+                m["sentence_index"].alias("sentence_index"),
+                F.when(type_description(m["type"]).isNotNull(), surrounded(whole, m)).alias("context"),
+            ),
         ),
     )
 

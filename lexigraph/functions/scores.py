@@ -39,7 +39,7 @@ def temporal_score(year: Column, attributes: Column, valid_at: Column, invalid_a
 
 def matched_terms(terms: Column, text: Column) -> Column:
     """How many of the terms (repeats counted) occur inside a lower-case text."""
-    return F.size(F.filter(terms, lambda t: F.contains(text, t)))
+    return let(text, lambda bound: F.size(F.filter(terms, lambda t: F.contains(bound, t))))
 
 
 def query_match_score(
@@ -65,8 +65,9 @@ def query_match_score(
     def share(text: Column) -> Column:
         return F.coalesce(matched_terms(terms, text) / denominator, F.lit(0.0))
 
-    noun_hit = F.exists(
-        nouns, lambda n: F.contains(lowered, F.lower(n)) | F.contains(F.lower(n), lowered)
+    noun_hit = let(
+        lowered,
+        lambda own: F.exists(nouns, lambda n: F.contains(own, F.lower(n)) | F.contains(F.lower(n), own)),
     )
     earned = (
         F.when(named & F.contains(query, lowered), F.lit(C.MATCH_NAME)).otherwise(share(lowered) * C.MATCH_NAME)
@@ -88,16 +89,16 @@ def entity_type_score(weights: Column, counts: Column) -> Column:
     ``counts`` is array<struct<type, n>>.
     """
 
-    def mean(found: Column) -> Column:
+    def mean(found: Column, wanted: Column) -> Column:
         total = F.aggregate(found, F.lit(0.0), lambda acc, e: acc + e["n"])
         weighted = F.aggregate(
             found,
             F.lit(0.0),
-            lambda acc, e: acc + F.coalesce(F.try_element_at(weights, e["type"]), F.lit(1.0)) * e["n"],
+            lambda acc, e: acc + F.coalesce(F.try_element_at(wanted, e["type"]), F.lit(1.0)) * e["n"],
         )
         return F.greatest(F.lit(0.5), F.least(F.lit(2.0), weighted / total))
 
-    return F.when((F.size(weights) > 0) & (F.size(counts) > 0), let(counts, mean)).otherwise(1.0)
+    return F.when((F.size(weights) > 0) & (F.size(counts) > 0), let(counts, lambda found: let(weights, lambda wanted: mean(found, wanted)))).otherwise(1.0)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from lexigraph.functions.arrays import let, part, running_total
 
 # Whitespace as str.split() understands it, which includes the separators 1c-1f.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_GAP = r"(?U)(?<=[.!?])(?=\s)"
 
 
@@ -56,7 +57,9 @@ def tokenize(
     ``stemmer`` maps array<string> to array<string>, e.g. a pandas UDF.
     """
     stopwords = stopword_set(custom_stopwords)
-    bare = strip_numeric(strip_punct(strip_tags(F.lower(text))))
+    lowered = F.lower(text)
+    untagged = F.when(F.contains(lowered, F.lit("<")), strip_tags(lowered)).otherwise(lowered)
+    bare = F.regexp_replace(untagged, r"[\p{Punct}\p{Nd}]+", "")  # strip_punct and strip_numeric in one pass
     kept = F.filter(
         F.split(bare, SPACES),
         lambda w: (F.length(w) >= max(shortest, 1)) & (F.length(w) <= longest) & ~w.isin(*stopwords),
@@ -102,7 +105,11 @@ def ngrams(
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(text, F.lit(WHITE))
+
+
+def has_content(text: Column) -> Column:
+    return text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def sentences(text: Column) -> Column:
@@ -128,7 +135,7 @@ def indexed_sentences(text: Column) -> Column:
                     i.alias("index"),
                     (
                         F.get(stop, i)
-                        - F.length(F.regexp_replace(p, r"(?U)^[\s\x1c-\x1f]+", ""))
+                        - F.length(F.ltrim(p, F.lit(WHITE)))
                     ).alias("start"),
                 ),
             ),

@@ -48,7 +48,9 @@ def build(
         E.mentions_in_sentences(F.col(text), extract).alias("m"),
     )
     entity = lambda m: F.sha2(F.concat_ws("|", F.lower(m["text"]), m["type"]), 256)
-    rows = tagged.select("episode", "valid_at", F.posexplode("m").alias("ord", "m"))
+    # An expression, not a column, goes into the generator: Catalyst would otherwise guard it with a filter that finds all mentions again.
+    numbered = F.transform(E.mentions_in_sentences(F.col(text), extract), lambda m, i: F.struct(i.alias("ord"), m.alias("m")))
+    rows = episodes.select(episode_uuid.alias("episode"), F.col(reference_time).alias("valid_at"), F.inline(numbered))
     entity_nodes = rows.groupBy(entity(F.col("m")).alias("uuid")).agg(
         F.min_by("m.text", F.struct("episode", "ord")).alias("name"),
         F.min("m.type").alias("type"),

@@ -379,7 +379,7 @@ def extract(
     counts. With a corpus, phrases are cut to the top k inside the row wherever
     their score is final there, so at most k phrases per document are shuffled.
     """
-    docs = docs.where(T.trimmed(F.col(text)) != "").select(key, text)
+    docs = docs.where(T.has_content(F.col(text))).select(key, text)
     method = options.method.lower()
     against_corpus = (corpus is not None or self_corpus) and method in ("tfidf", "combined")
     unigram = lambda entries, field="score": F.transform(

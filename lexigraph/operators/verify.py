@@ -6,6 +6,9 @@ one request row; one answer makes one response row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigraph.functions import entities as E, text as T
@@ -29,33 +32,37 @@ def requests(
     Mentions do not cross sentences, so a block's mentions are those of its text.
     """
 
-    def pieces(block: Column) -> Column:
-        return E.mentions_in_sentences(block["text"], extract)
-
     def define(kind: Column) -> Column:
         return F.concat(
             F.lit("- "), kind, F.lit(": "), F.coalesce(E.type_description(kind), F.concat(kind, F.lit(" entity")))
         )
 
-    blocks = docs.select(key, F.explode(T.sentence_blocks(T.indexed_sentences(F.col(text)), blocksize)).alias("b"))
-    found = blocks.select(key, "b", pieces(F.col("b")).alias("m")).where(F.size("m") > 0)
-    kinds = F.sort_array(F.array_distinct(F.transform("m", lambda m: m["type"])))
-    listed = F.transform(
-        "m",
-        lambda m: F.struct(
-            F.trim(m["text"]).alias("text"),
-            m["type"].alias("type"),
-            m["sentence"].alias("sent"),
-            F.lit(False).alias("verified"),
-        ),
+    def describe(block: Column, found: Column) -> Column:
+        kinds = F.sort_array(F.array_distinct(F.transform(found, lambda m: m["type"])))
+        listed = F.transform(
+            found,
+            lambda m: F.struct(
+                F.trim(m["text"]).alias("text"),
+                m["type"].alias("type"),
+                m["sentence"].alias("sent"),
+                F.lit(False).alias("verified"),
+            ),
+        )
+        return F.when(
+            F.size(found) > 0,
+            F.struct(
+                block["block_index"].alias("block_index"),
+                F.array_join(F.concat(F.array(F.lit("Entity type definitions:")), F.transform(kinds, define)), "\n").alias("definitions"),
+                F.to_json(listed).alias("entities_json"),
+                block["text"].alias("block_text"),
+            ),
+        )
+
+    asked = F.transform(
+        T.sentence_blocks(T.indexed_sentences(F.col(text)), blocksize),
+        lambda b: let(E.mentions_in_sentences(b["text"], extract), lambda found: describe(b, found)),
     )
-    return found.select(
-        key,
-        F.col("b.block_index").alias("block_index"),
-        F.array_join(F.concat(F.array(F.lit("Entity type definitions:")), F.transform(kinds, define)), "\n").alias("definitions"),
-        F.to_json(listed).alias("entities_json"),
-        F.col("b.text").alias("block_text"),
-    ).withColumn(
+    return docs.select(key, F.inline(F.filter(asked, lambda r: r.isNotNull()))).withColumn(
         "request",
         F.concat_ws(
             "\n\n",
@@ -158,15 +165,23 @@ def markdown_verdicts(response: Column, found: Column, model: str = "LLM") -> Co
     return F.transform(markdown_items(response), verdict)
 
 
-def parse_responses(responses: DataFrame, response: str = "response", found: str = "entities", model: str = "LLM") -> DataFrame:
-    """Add ``verdicts``: the JSON array where it parses, else the headed list."""
-    as_json = json_verdicts(F.col(response))
-    return responses.withColumn("_json", as_json).withColumn(
-        "verdicts",
-        F.when(F.coalesce(F.size("_json"), F.lit(0)) > 0, F.col("_json")).otherwise(
-            markdown_verdicts(F.col(response), F.col(found), model)
-        ),
-    ).drop("_json")
+def verdicts_of(response: Column, found: Column, model: str = "LLM") -> Column:
+    """The verdicts of an answer: its JSON array where that parses, else its headed list."""
+
+    def either(answer: Column, mentions: Column) -> Column:
+        return let(
+            json_verdicts(answer),
+            lambda v: F.when(F.coalesce(F.size(v), F.lit(0)) > 0, v).otherwise(markdown_verdicts(answer, mentions, model)),
+        )
+
+    return let(response, lambda answer: let(found, lambda mentions: either(answer, mentions)))
+
+
+def parse_responses(
+    responses: DataFrame, key: str = "doc_id", response: str = "response", found: str = "entities", model: str = "LLM"
+) -> DataFrame:
+    """(key, text, type, verified, reasoning, confidence), one row per verdict."""
+    return responses.select(key, F.inline(verdicts_of(F.col(response), F.col(found), model)))
 
 
 def kept_verdicts(verdicts: Column, model: str = "LLM") -> Column:
@@ -193,22 +208,22 @@ def _normal(text: Column) -> Column:
 
 def match_verdict(mention: Column, verdicts: Column) -> Column:
     """First verdict with the same text, the same text up to spacing, or the same type and one text inside the other."""
-    lowered, normal = F.lower(F.trim(mention["text"])), _normal(mention["text"])
-
-    def first(rule) -> Column:
+    def first(rule: Callable[[Column], Column]) -> Column:
         return F.get(F.filter(verdicts, rule), F.lit(0))
 
-    def related(v: Column) -> Column:
-        other = F.lower(v["text"])
-        return (v["type"] == mention["type"]) & (
-            F.contains(other, lowered) | F.contains(lowered, other) | F.contains(other, normal) | F.contains(normal, other)
+    def rules(own: Column, spaced: Column) -> Column:
+        def related(v: Column) -> Column:
+            other = F.lower(v["text"])
+            inside = [(other, own), (own, other), (other, spaced), (spaced, other)]
+            return (v["type"] == mention["type"]) & reduce(lambda a, b: a | b, (F.contains(x, y) for x, y in inside))
+
+        return F.coalesce(
+            first(lambda v: F.lower(v["text"]) == own),
+            first(lambda v: _normal(v["text"]) == spaced),
+            first(related),
         )
 
-    return F.coalesce(
-        first(lambda v: F.lower(v["text"]) == lowered),
-        first(lambda v: _normal(v["text"]) == normal),
-        first(related),
-    )
+    return let(F.lower(F.trim(mention["text"])), lambda own: let(_normal(mention["text"]), lambda spaced: rules(own, spaced)))
 
 
 def apply_verdicts(
@@ -231,7 +246,7 @@ def apply_verdicts(
     kept = joined.withColumn("kept", F.coalesce(kept_verdicts(F.col("verdicts"), model), F.expr("cast(array() as array<struct<text:string,type:string,reasoning:string>>)")))
     usable = F.size("kept") > 0
 
-    def judge(m: Column, i: Column) -> Column:
+    def judge(m: Column, i: Column, kept_row: Column) -> Column:
         def with_match(v: Column) -> Column:
             kind = F.coalesce(v["type"], m["type"])
             return F.struct(
@@ -253,15 +268,19 @@ def apply_verdicts(
                 .alias("reasoning"),
             )
 
-        return let(match_verdict(m, F.col("kept")), with_match)
+        return let(match_verdict(m, kept_row), with_match)
 
     found = extract(F.col(text))
     if drop_removed:
-        removed = F.transform(
+        struck = F.transform(
             F.filter("verdicts", lambda v: (v["type"] == "REMOVE") | ~v["verified"]), lambda v: F.lower(v["text"])
         )
-        found = F.filter(found, lambda m: ~F.coalesce(F.array_contains(removed, F.lower(F.trim(m["text"]))), F.lit(False)))
-    ranked = rank_keywords(merge_mentions(F.transform(found, judge)), num_keywords)
+        found = let(
+            F.coalesce(struck, F.expr("cast(array() as array<string>)")),
+            lambda removed: F.filter(extract(F.col(text)), lambda m: ~F.array_contains(removed, F.lower(F.trim(m["text"])))),
+        )
+    judged = let(F.col("kept"), lambda kept_row: F.transform(found, lambda m, i: judge(m, i, kept_row)))
+    ranked = rank_keywords(merge_mentions(judged), num_keywords)
     rows = kept.select(key, F.inline(ranked))
     matched = F.filter("group.members", lambda x: x["matched"])
     return rows.select(
