@@ -50,9 +50,8 @@ def tally(items: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(items) > 0, let(F.sort_array(items), runs)).otherwise(
-        F.expr("cast(array() as array<struct<item:string,n:int>>)")
-    )
+    empty = F.expr("cast(array() as array<struct<item:string,n:int>>)")
+    return let(F.sort_array(items), lambda ordered: F.when(F.size(ordered) > 0, runs(ordered)).otherwise(empty))
 
 
 def sum_by_item(entries: Column, fields: list[str]) -> Column:
@@ -81,9 +80,8 @@ def sum_by_item(entries: Column, fields: list[str]) -> Column:
         )
 
     schema = ",".join(["item:string"] + [f"{field}:double" for field in fields])
-    return F.when(F.size(entries) > 0, let(F.sort_array(entries), runs)).otherwise(
-        F.expr(f"cast(array() as array<struct<{schema}>>)")
-    )
+    empty = F.expr(f"cast(array() as array<struct<{schema}>>)")
+    return let(F.sort_array(entries), lambda ordered: F.when(F.size(ordered) > 0, runs(ordered)).otherwise(empty))
 
 
 def merge_mentions(entries: Column) -> Column:
@@ -116,7 +114,7 @@ def merge_mentions(entries: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(entries) > 0, let(F.sort_array(entries), runs))
+    return let(F.sort_array(entries), lambda ordered: F.when(F.size(ordered) > 0, runs(ordered)))
 
 
 def running_total(lengths: Column) -> Column:

@@ -75,26 +75,35 @@ def ngrams(
     shortest: int = 3,
     longest: int = 50,
     stopwords: Iterable[str] = tuple(C.KEYWORD_STOPWORDS),
+    lowered: bool = False,
 ) -> Column:
-    """Contiguous n-grams (as strings) that pass the phrase rules."""
+    """Contiguous n-grams (as strings) that pass the phrase rules.
+
+    Tokens known to be free of stopwords need none here, and ``lowered`` says
+    that they are lower-case already.
+    """
     stop, common = list(stopwords), C.BIGRAM_COMMON_WORDS
 
-    def acceptable(word: Callable[[int], Column]) -> Column:
+    def plain(word: Column) -> Column:
+        return word if lowered else F.lower(word)
+
+    def refusals(word: Callable[[int], Column]) -> list[Column]:
         if n > 2:
-            inner = [F.lower(word(j)).isin(*stop) for j in range(1, n - 1)]
-            return ~reduce(lambda x, y: x | y, inner)
+            return [plain(word(j)).isin(*stop) for j in range(1, n - 1)] if stop else []
         first, second = word(0), word(1)
-        return (
-            ~(F.lower(first).isin(*stop) & F.lower(second).isin(*stop))
-            & ~(F.lower(first).isin(*common) & (F.length(second) <= 4))
-            & ~F.lower(second).isin(*common)
-            & (F.length(first) >= 3)
-            & (F.length(second) >= 3)
-        )
+        rules = [
+            F.length(first) < 3,
+            F.length(second) < 3,
+            plain(second).isin(*common),
+            plain(first).isin(*common) & (F.length(second) <= 4),
+        ]
+        return rules + ([plain(first).isin(*stop) & plain(second).isin(*stop)] if stop else [])
 
     def windows(toks: Column) -> Column:
         at = lambda i: lambda j: F.get(toks, i + j)
-        starts = F.filter(F.sequence(F.lit(0), F.size(toks) - n), lambda i: acceptable(at(i)))
+        starts = F.sequence(F.lit(0), F.size(toks) - n)
+        if n == 2 or stop:
+            starts = F.filter(starts, lambda i: ~reduce(lambda x, y: x | y, refusals(at(i))))
         grams = F.transform(starts, lambda i: F.concat_ws(" ", *[at(i)(j) for j in range(n)]))
         return F.filter(grams, lambda g: F.length(g).between(shortest * n, longest * n))
 

@@ -71,9 +71,9 @@ class KeywordOptions:
         return T.tokenize(text, self.min_word_length, self.max_word_length, self.custom_stopwords, self.stemmer)
 
     def grams(self, tokens: Column, n: int) -> Column:
-        return T.ngrams(
-            tokens, n, self.min_word_length, self.max_word_length, T.stopword_set(self.custom_stopwords)
-        )
+        """N-grams of :meth:`tokens`, which hold stopwords only where a stemmer made them."""
+        stopwords = T.stopword_set(self.custom_stopwords) if self.stemmer else []
+        return T.ngrams(tokens, n, self.min_word_length, self.max_word_length, stopwords, self.stemmer is None)
 
 
 # -- row-local statistics: Column -> Column -----------------------------------
@@ -145,42 +145,55 @@ def _local_terms(text: Column, options: KeywordOptions) -> Column:
             ),
         )
 
-    def score(merged: Column, sentences: Column, titles: Column) -> Column:
-        def with_top(top: Column) -> Column:
-            def one(e: Column) -> Column:
-                factor = F.when(
-                    F.size(sentences) > 0,
-                    position_factor(e["item"], F.lower(F.get(sentences, F.lit(0))), titles, options),
-                ).otherwise(1.0)
-                return F.struct(
-                    e["item"].alias("item"),
-                    e["tf"].alias("tf"),
-                    (
-                        options.textrank_weight * e["tr"] + options.word_freq_weight * (e["tf"] / F.greatest(top, F.lit(1.0)))
-                    ).alias("base"),
-                    (1.0 + options.position_weight * (factor - 1.0)).alias("boost"),
-                )
-
-            return F.transform(merged, one)
-
-        return let(F.array_max(F.transform(merged, lambda e: e["tf"])), with_top)
+    def score(merged: Column, opening: Column, titles: Column, top: Column) -> Column:
+        def one(e: Column) -> Column:
+            factor = F.when(opening.isNotNull(), position_factor(e["item"], opening, titles, options)).otherwise(1.0)
+            share = e["tf"] / F.greatest(top, F.lit(1.0))
+            return F.struct(
+                e["item"].alias("item"),
+                e["tf"].alias("tf"),
+                (options.textrank_weight * e["tr"] + options.word_freq_weight * share).alias("base"),
+                (1.0 + options.position_weight * (factor - 1.0)).alias("boost"),
+            )
+
+        return F.transform(merged, one)
 
     merged = sum_by_item(
         F.concat(tagged(freq_entries(options.tokens(text)), "tf"), tagged(textrank_entries(text, options), "tr")),
         ["tf", "tr"],
     )
+    opening = F.lower(F.get(T.sentences(text), F.lit(0)))
     return let(
         merged,
-        lambda m: let(T.sentences(text), lambda s: let(T.title_lines(text), lambda t: score(m, s, t))),
+        lambda m: let(
+            opening,
+            lambda o: let(
+                T.title_lines(text),
+                lambda t: let(F.array_max(F.transform(m, lambda e: e["tf"])), lambda top: score(m, o, t, top)),
+            ),
+        ),
     )
 
 
+def _most_frequent(counts: Column, k: int) -> Column:
+    """The k most frequent of a :func:`tally`, ties by item.
+
+    A tally comes in item order and most phrases occur once, so those only need
+    to be cut off; just the repeated ones are sorted.
+    """
+    repeated = lambda c: F.transform(
+        F.sort_array(F.transform(F.filter(c, lambda e: e["n"] > 1), lambda e: F.struct((-e["n"]).alias("order"), e["item"].alias("item")))),
+        lambda e: F.struct(e["item"].alias("item"), (-e["order"]).alias("n")),
+    )
+    return let(counts, lambda c: F.slice(F.concat(repeated(c), F.slice(F.filter(c, lambda e: e["n"] == 1), 1, k)), 1, k))
+
+
 def _gram_entries(tokens: Column, options: KeywordOptions) -> Column:
-    """array<struct<item, score, type>> of weighted n-gram counts of all sizes."""
+    """array<struct<item, score, type>>: the weighted n-gram counts that can reach the top k, per size."""
 
     def of_size(n: int) -> Column:
         return F.transform(
-            tally(options.grams(tokens, n)),
+            _most_frequent(tally(options.grams(tokens, n)), options.num_keywords),
             lambda e: F.struct(
                 e["item"].alias("item"),
                 (e["n"] * options.ngram_weight).alias("score"),
@@ -225,22 +238,19 @@ def textrank(docs: DataFrame, key: str = "doc_id", text: str = "text", options:
 def position(docs: DataFrame, key: str = "doc_id", text: str = "text", options: KeywordOptions = KeywordOptions()) -> DataFrame:
     """(key, keyword, factor) for the words of every document that has a sentence."""
 
-    def factors(sentences: Column) -> Column:
+    def factors(opening: Column) -> Column:
         return let(
             T.title_lines(F.col(text)),
             lambda titles: F.transform(
                 F.array_distinct(options.tokens(F.col(text))),
                 lambda w: F.struct(
-                    w.alias("keyword"),
-                    position_factor(w, F.lower(F.get(sentences, F.lit(0))), titles, options).alias("factor"),
+                    w.alias("keyword"), position_factor(w, opening, titles, options).alias("factor")
                 ),
             ),
         )
 
-    return docs.select(
-        key,
-        F.inline(let(T.sentences(F.col(text)), lambda s: F.when(F.size(s) > 0, factors(s)))),
-    )
+    opening = F.lower(F.get(T.sentences(F.col(text)), F.lit(0)))
+    return docs.select(key, F.inline(let(opening, lambda o: F.when(o.isNotNull(), factors(o)))))
 
 
 def ngram_freq(docs: DataFrame, key: str = "doc_id", text: str = "text", options: KeywordOptions = KeywordOptions()) -> DataFrame:
@@ -257,15 +267,15 @@ def ngram_freq(docs: DataFrame, key: str = "doc_id", text: str = "text", options
 
 
 def inverse_frequency(
-    postings: DataFrame, docs: DataFrame, corpus: DataFrame | None, terms: list[str], corpus_postings: DataFrame | None
+    occurrences: DataFrame, docs: DataFrame, corpus: DataFrame | None, terms: list[str]
 ) -> tuple[DataFrame, Column]:
     """Per-term document counts and the idf Column for rows that carry ``df``.
 
-    ``corpus`` None: the table itself is the corpus. Otherwise every document is
-    scored against the corpus plus itself, so both counts grow by one.
+    ``occurrences`` has one row per corpus document and distinct term. Without
+    ``corpus`` the table itself is the corpus. Otherwise every document is scored
+    against the corpus plus itself, so both counts grow by one.
     """
-    source = postings if corpus is None else corpus_postings
-    counts = source.groupBy(*terms).agg(F.count(F.lit(1)).alias("df"))
+    counts = occurrences.groupBy(*terms).agg(F.count(F.lit(1)).alias("df"))
     size = (docs if corpus is None else corpus).agg(F.count(F.lit(1))).scalar()
     if corpus is None:
         return counts, F.log2(size / F.col("df"))
@@ -298,12 +308,10 @@ def tfidf(
 ) -> DataFrame:
     """(key, keyword, score): log2 TF-IDF with unit length per document."""
 
-    def postings(table: DataFrame, columns: list[str], column: str) -> DataFrame:
-        return table.select(*columns, F.inline(tally(options.tokens(F.col(column)))).alias("keyword", "tf"))
-
-    rows = postings(docs, [key], text)
-    other = None if corpus is None else postings(corpus, [], corpus_text)
-    counts, idf = inverse_frequency(rows, docs, corpus, ["keyword"], other)
+    rows = docs.select(key, F.inline(tally(options.tokens(F.col(text)))).alias("keyword", "tf"))
+    source, column = (docs, text) if corpus is None else (corpus, corpus_text)
+    distinct = source.select(F.explode(F.array_distinct(options.tokens(F.col(column)))).alias("keyword"))
+    counts, idf = inverse_frequency(distinct, docs, corpus, ["keyword"])
     scored = _weigh(rows, counts, idf, key, ["keyword"], [])
     return scored.where(F.col("score").isNotNull()).select(key, "keyword", "score")
 
@@ -318,11 +326,16 @@ def ngram_tfidf(
 ) -> DataFrame:
     """(key, n, keyword, score): TF-IDF of n-grams, each size for itself."""
     rows = ngram_freq(docs, key, text, options).withColumnRenamed("score", "tf")
-    other = None
-    if corpus is not None:
-        numbered = corpus.select(F.lit(0).alias("_"), F.col(corpus_text).alias("_text"))
-        other = ngram_freq(numbered, "_", "_text", options).drop("_")
-    counts, idf = inverse_frequency(rows, docs, corpus, ["n", "keyword"], other)
+    source, column = (docs, text) if corpus is None else (corpus, corpus_text)
+
+    def of_size(n: int) -> Column:
+        return F.transform(
+            F.array_distinct(options.grams(F.col("tokens"), n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("keyword"))
+        )
+
+    tokens = source.select(options.tokens(F.col(column)).alias("tokens"))
+    distinct = tokens.select(F.inline(F.concat(*[of_size(n) for n in options.sizes])))
+    counts, idf = inverse_frequency(distinct, docs, corpus, ["n", "keyword"])
     scored = _weigh(rows, counts, idf, key, ["n", "keyword"], ["n"])
     return scored.where(F.col("score").isNotNull()).select(key, "n", "keyword", "score")
 
@@ -343,12 +356,10 @@ def combined(
     """
     rows = docs.select(key, F.inline(_local_terms(F.col(text), options)).alias("keyword", "tf", "base", "boost"))
     if use_corpus:
-        if corpus is None:
-            counted, other = rows.where(F.col("tf") > 0), None
-        else:
-            counted = rows
-            other = corpus.select(F.inline(tally(options.tokens(F.col(corpus_text)))).alias("keyword", "n"))
-        counts, idf = inverse_frequency(counted, docs, corpus, ["keyword"], other)
+        # Document counts need the distinct words alone, not the local scores.
+        source, column = (docs, text) if corpus is None else (corpus, corpus_text)
+        distinct = source.select(F.explode(F.array_distinct(options.tokens(F.col(column)))).alias("keyword"))
+        counts, idf = inverse_frequency(distinct, docs, corpus, ["keyword"])
         rows = _weigh(rows, counts, idf, key, ["keyword"], [])
         total = options.tfidf_weight * F.coalesce(F.col("score"), F.lit(0.0)) + F.col("base")
     else:
@@ -428,10 +439,11 @@ def extract(
                 (F.col("score") * options.ngram_weight).alias("score"),
                 F.format_string("%d-gram", "n").alias("type"),
             )
-    rows = words.withColumn("type", F.lit("unigram"))
-    if phrases is not None:
-        rows = rows.unionByName(phrases)
-    return _ranked(rows, key, options.num_keywords)
+    # Words are cut to k while they still lie together by document, so the last exchange carries few rows.
+    best = _ranked(words.withColumn("type", F.lit("unigram")), key, options.num_keywords)
+    if phrases is None:
+        return best
+    return _ranked(best.drop("rank").unionByName(phrases), key, options.num_keywords)
 
 
 def keyword_lists(keywords: DataFrame, key: str = "doc_id") -> DataFrame:
