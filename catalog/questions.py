@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import NON_ASCII_LETTERS, query, sql_list, table
 from lexigraph.functions import constants as C, questions as Q
+from lexigraph.session import spread
 
 # Fixed question forms; an order picks one by its key and fills in its own values.
 FORMS = [
@@ -47,7 +48,8 @@ def asked(spark, sf):
     form = F.when(F.lit(False), "")
     for i, f in enumerate(FORMS):
         form = form.when(F.col("o_orderkey") % 9 == i, filled(f))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), form.alias("query"))
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
+    return orders.select(F.col("o_orderkey").alias("query_id"), form.alias("query"))
 
 
 def hits_sql(patterns: list[str]) -> str:

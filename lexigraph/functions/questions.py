@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from lexigraph.functions import constants as C
@@ -20,11 +22,19 @@ def detect_question(query: Column) -> Column:
     Every type counts its matching patterns; most matches win and the earlier
     declared type wins a tie.
     """
-    lowered = F.lower(query)
-    candidates = []
-    for order, (name, spec) in enumerate(C.QUESTION_TYPES.items()):
-        hits = sum((lowered.rlike(f"(?U){p}").cast("int") for p in spec["patterns"]), F.lit(0))
-        candidates.append(F.struct(hits.alias("hits"), F.lit(-order).alias("priority"), F.lit(name).alias("type")))
+
+    def matches(lowered: Column, pattern: str) -> Column:
+        """A pattern that opens with plain words is only tried where those words occur at all."""
+        opening = re.match(r"\\b([a-z ]+)", pattern)
+        found = lowered.rlike(f"(?U){pattern}")
+        return F.contains(lowered, F.lit(opening.group(1))) & found if opening else found
+
+    def candidates(lowered: Column) -> Column:
+        counted = []
+        for order, (name, spec) in enumerate(C.QUESTION_TYPES.items()):
+            hits = sum((matches(lowered, p).cast("int") for p in spec["patterns"]), F.lit(0))
+            counted.append(F.struct(hits.alias("hits"), F.lit(-order).alias("priority"), F.lit(name).alias("type")))
+        return F.array_max(F.array(*counted))
 
     def describe(best: Column) -> Column:
         name = F.when(best["hits"] > 0, best["type"]).otherwise(C.GENERAL_QUESTION[0])
@@ -39,7 +49,7 @@ def detect_question(query: Column) -> Column:
             weights.alias("entity_weights"),
         )
 
-    return let(F.array_max(F.array(*candidates)), describe)
+    return let(let(F.lower(query), candidates), describe)
 
 
 def query_year(query: Column) -> Column:
