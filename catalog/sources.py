@@ -72,11 +72,20 @@ def text(spark, sf):
     )
 
 
-@query("validate_input", "select item_id, strlen(text) + 1 as length, true as valid, cast(null as varchar) as error from benchmark")
+@query(
+    "validate_input",
+    """select item_id, strlen(text) + 1 as length, true as valid, '' as error from benchmark
+       union all select -1 - item_id, 0, false, 'File not found or invalid: gone-' || item_id from benchmark""",
+)
 def validate(spark, sf):
-    return files.validate(spark, passage_files(spark, sf)).where(F.col("path").contains("item_id=")).select(
-        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "length", "valid", "error"
-    )
+    """The file of every passage, found by its listing, and as many names that do not exist."""
+    folder = passage_files(spark, sf)
+    there = files.text_files(spark, folder + "/*").select("path", F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"))
+    gone = there.select(F.concat(F.lit("gone-"), F.col("item_id").cast("string")).alias("path"))
+    rows = files.validate(spark, folder, there.select("path").unionByName(gone))
+    known = F.regexp_extract("path", r"item_id=(\d+)", 1).try_cast("long")
+    lost = -1 - F.regexp_extract("path", r"gone-(\d+)", 1).try_cast("long")
+    return rows.select(F.coalesce(known, lost).alias("item_id"), "length", "valid", F.coalesce("error", F.lit("")).alias("error"))
 
 
 @query(
