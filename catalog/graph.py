@@ -142,7 +142,7 @@ def stats(spark, sf):
 def document_episodes(spark, sf):
     return documents(spark, sf, "source").select(
         F.col("doc_id").alias("episode_id"), F.col("text").alias("content"),
-        F.timestamp_seconds(F.lit(946684800) + F.col("doc_id") * 86400).alias("reference_time"),
+        F.date_add(F.lit("2000-01-01").cast("date"), F.col("doc_id").cast("int")).cast("timestamp").alias("reference_time"),
     )
 
 

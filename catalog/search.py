@@ -10,9 +10,8 @@ from catalog.questions import detect_sql
 from lexigraph.functions import constants as C, scores as S
 from lexigraph.operators import graph as G, ranking as R
 from lexigraph.plans import search
-from lexigraph.session import materialize
+from lexigraph.session import materialize, scratch_path, spread
 from lexigraph.sources.sinks import results_envelope, write_json
-from lexigraph.session import scratch_path
 
 
 def bm25_sql(nodes: str, questions: str, limit: int) -> str:
@@ -147,7 +146,7 @@ def star_questions(spark, sf):
 
 
 def star_postings(spark, sf, nodes):
-    return materialize(R.lexical_postings(nodes, F.concat_ws(" ", "name", "summary")), "postings")
+    return materialize(R.lexical_postings(spread(nodes), F.concat_ws(" ", "name", "summary")), "postings")
 
 
 def star_candidates(spark, sf, nodes, questions):

@@ -45,9 +45,9 @@ def bm25(
 ) -> DataFrame:
     """(query_id, uuid, score[, rank]) by BM25 over a postings table.
 
-    Only postings of question words are kept, which is a join against a small
-    vocabulary; hot words are then combined per (question, node) in each task
-    before any exchange.
+    Only postings of question words are kept. They are laid out by node once,
+    so what moves does not grow with the questions: the sums per (question,
+    node) and the first cut to ``limit`` both happen where a node's words lie.
     """
     wanted = questions.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("token"))
     hits = postings.join(wanted.select("token").distinct(), "token")
@@ -59,7 +59,8 @@ def bm25(
     weights = wanted.join(counts, "token").select("query_id", "token", idf.alias("idf"))
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
     scored = (
-        postings.select("uuid", "token", "tf", "length")
+        hits.select("uuid", "token", "tf", "length")
+        .repartition("uuid")
         .join(weights, "token")
         .groupBy("query_id", "uuid")
         .agg(F.sum(gain).alias("score"))
