@@ -117,10 +117,6 @@ def trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE))
 
 
-def has_content(text: Column) -> Column:
-    return text.rlike(r"(?U)[^\s\x1c-\x1f]")
-
-
 def sentences(text: Column) -> Column:
     """Non-empty pieces between runs of . ! ? — the split the keyword scores use."""
     return F.filter(F.transform(F.split(text, "[.!?]+"), trimmed), lambda s: s != "")

@@ -41,6 +41,7 @@ class KeywordOptions:
     stemmer: Callable[[Column], Column] | None = None
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "custom_stopwords", tuple(self.custom_stopwords))
         bounds = {
             "num_keywords": (1, 100),
             "min_word_length": (1, 50),
@@ -390,7 +391,7 @@ def extract(
     counts. With a corpus, phrases are cut to the top k inside the row wherever
     their score is final there, so at most k phrases per document are shuffled.
     """
-    docs = docs.where(T.has_content(F.col(text))).select(key, text)
+    docs = docs.select(key, text)  # a blank text yields no rows but counts as a document of its own corpus
     method = options.method.lower()
     against_corpus = (corpus is not None or self_corpus) and method in ("tfidf", "combined")
     unigram = lambda entries, field="score": F.transform(

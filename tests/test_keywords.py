@@ -97,6 +97,12 @@ def test_tfidf_without_a_corpus_falls_back_to_counts(spark, docs):
     assert {r.doc_id for r in alone} == {d for d, t in texts_of(docs).items() if t.strip()}
 
 
+def test_extract_and_tfidf_agree_on_the_corpus(docs):
+    plain = scores(K.tfidf(docs))
+    top = scores(K.extract(docs, self_corpus=True, options=replace(OPTIONS, num_keywords=100, enable_ngrams=False)))
+    near(top, plain)
+
+
 def test_combined_score(docs):
     found = scores(K.combined(docs, use_corpus=False))[0]
     rank = textrank_by_hand(TEXTS[0])

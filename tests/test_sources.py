@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.functions import entities as E
@@ -82,6 +81,14 @@ def test_sheets_in_pages_are_the_whole_sheet(spark):
     assert files.render_tables(cells, max_rows_per_sheet=1).where("sheet = 'S1'").first().text == "=== Sheet: S1 ===\n0 | x"
 
 
+def test_corpus(spark, tmp_path):
+    texts = ['roses "bloom"', "tulips\nlate", ""]
+    (tmp_path / "list.json").write_text(json.dumps(texts, indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(t) for t in texts) + "\n")
+    assert [r.text for r in files.corpus(spark, str(tmp_path / "list.json")).collect()] == texts
+    assert [r.text for r in files.corpus(spark, str(tmp_path / "lines.json"), lines=True).collect()] == texts
+
+
 def test_html(spark):
     html = (
         '<html><head><title>A &amp; B</title><meta name="description" content="about"><style>p{}</style></head><body><script>x()</script>'
