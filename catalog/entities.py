@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import WS, documents, mention_cte, quoted, query, sentence_cte, table
+from catalog.common import documents, mention_cte, quoted, query, sentence_cte, table
 from lexigraph.functions import constants as C, entities as E
 from lexigraph.operators import entities as O
 from lexigraph.session import spread

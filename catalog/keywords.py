@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from catalog.common import STOP, documents, query, sents, table, tok
+from catalog.common import documents, query, sents, table, tok
 from catalog.text import TITLE_SQL, gram_sql
 from lexigraph.operators import keywords as K
 from lexigraph.plans.extract import keywords_of

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import Window, functions as F
 
-from catalog.common import documents, mention_cte, query, table, tok
+from catalog.common import documents, mention_cte, query, table
 from catalog.keywords import EXTERNAL, FREQ_PHRASES, GRAMS, SECTION_SQL, WORDS, WORD_COUNTS, top_sql, visible_sql
 from lexigraph.functions import text as T
 from lexigraph.operators import keywords as K

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import documents, mention_cte, query, quoted, sentence_cte, table
+from catalog.common import mention_cte, query, quoted, sentence_cte
 from catalog.entities import DATED, dated_orders, weight_sql
 from lexigraph.functions import constants as C, entities as E
 from lexigraph.operators import verify as V

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigraph.functions import entities as E, text as T
 from lexigraph.functions.arrays import let, merge_mentions
-from lexigraph.operators.entities import keyword_entries, rank_keywords
+from lexigraph.operators.entities import rank_keywords
 
 VERDICTS = "array<struct<text:string,entity:string,type:string,verified:boolean,reasoning:string,confidence:double>>"
 VERDICT = ["text", "type", "verified", "reasoning", "confidence"]

@@ -6,7 +6,6 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from lexigraph.functions import text as T
 from lexigraph.operators import keywords as K
 from test_text import words_by_hand
 
