@@ -59,6 +59,7 @@ def mix(
     share: float = 1.5,
     most: int = 2,
     seed: int = 17,
+    offsets: int = 32,
     size: Column | None = None,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (size times copies).
@@ -66,7 +67,8 @@ def mix(
     ``docs`` needs doc_id, text and source; other columns pass through, those
     named like a result are replaced. A null text has size 0, a null source is a
     source of its own, repeated rows count as rows. An empty table gives no
-    rows. The offset of a source depends on ``seed`` and its name, so reruns agree.
+    rows. A source's random offset is the one of ``offsets`` draws that comes
+    nearest to its target; draws depend on ``seed`` and the name, so reruns agree.
     """
     results = ["size", "source_size", "target", "copies", "taken"]
     plain = docs.drop(*results)
@@ -91,20 +93,29 @@ def mix(
     )
     rank = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) - F.col("_from")
     half = F.shiftright("_rank", 1)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    crossed = F.floor(F.col("_each") * (F.col("_at") + 1) + F.col("_offset")) - F.floor(F.col("_each") * F.col("_at") + F.col("_offset"))
-    return (
+    along = (
         joined.withColumn("_rank", rank)
         .withColumn("_at", F.when(F.col("_rank") % 2 == 0, half).otherwise(F.col("n") - 1 - half))
         .withColumn("_each", each)
-        .withColumn("_offset", offset)
-        .withColumn("copies", crossed.cast("long"))
+    )
+    draws = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("source")), F.lit(1 << 20)) / F.lit(float(1 << 20)) for k in range(offsets)]
+    tried = along.groupBy("source", "target").agg(*[F.sum(_crossed(u) * F.col("size")).alias(f"_{k}") for k, u in enumerate(draws)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")), F.lit(k), u.alias("u")) for k, u in enumerate(draws)]))
+    chosen = tried.select(F.col("source").alias("_named"), best["u"].alias("_offset"))
+    return (
+        along.join(chosen, F.col("source").eqNullSafe(F.col("_named")))
+        .withColumn("copies", _crossed(F.col("_offset")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select(*plain.columns, *results)
     )
 
 
+def _crossed(offset: Column) -> Column:
+    """Integers between the running sum before a document and after it."""
+    return F.floor(F.col("_each") * (F.col("_at") + 1) + offset) - F.floor(F.col("_each") * F.col("_at") + offset)
+
+
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as often as it was taken."""
     return mixed.filter(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
