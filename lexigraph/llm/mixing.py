@@ -61,18 +61,20 @@ def mix(
     seed: int = 17,
     offsets: int = 32,
     size: Column | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (size times copies).
 
     ``docs`` needs doc_id, text and source; other columns pass through, those
-    named like a result are replaced. A null text has size 0, a null source is a
+    named like a result are replaced, and ``keep`` names those to carry (all). A null text has size 0, a null source is a
     source of its own, repeated rows count as rows. An empty table gives no
     rows. A source's random offset is the one of ``offsets`` draws that comes
     nearest to its target; draws depend on ``seed`` and the name, so reruns agree.
     """
     results = ["size", "source_size", "target", "copies", "taken"]
-    plain = docs.drop(*results)
-    sized = plain.withColumn("size", word_count(F.col("text")) if size is None else size)
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
+    sized = sized.select(*dict.fromkeys([*carried, "doc_id", "source", "size"]))
     per_source = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most
     )
@@ -107,7 +109,7 @@ def mix(
         along.join(chosen, F.col("source").eqNullSafe(F.col("_named")))
         .withColumn("copies", _crossed(F.col("_offset")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*plain.columns, *results)
+        .select(*carried, *results)
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigraph.llm import mixing, packing, quality, secrets
+from lexigraph.llm import mixing, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,10 +44,20 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_source_mixing")
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query("op10_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
