@@ -53,28 +53,47 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     )
 
 
-def mix(
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken (size times copies).
+
+    ``docs`` needs doc_id, text and source; other columns pass through, those
+    named like a result are replaced, and ``keep`` names those to carry (all).
+    Options: weights, share, most (see ``targets``), seed, offsets, size (a
+    column in place of the number of words).
+
+    A null text has size 0, a null source is a source of its own, repeated rows
+    count as rows. An empty table gives no rows. A source's random offset is the
+    one of ``offsets`` draws that comes nearest to its target; draws depend on
+    ``seed`` and the name, so reruns agree.
+    """
+    carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in RESULTS]
+    mixed = _mixed(docs, carried, **options)
+    return mixed.select(*[F.col("_row")[c].alias(c) for c in carried], *RESULTS)
+
+
+def resample(docs: DataFrame, **options) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it; its columns are unchanged, whatever they are called."""
+    taken = _mixed(docs, docs.columns, **options).filter(F.col("copies") > 0)
+    copies = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copies.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _mixed(
     docs: DataFrame,
+    carried: list[str],
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
     most: int = 2,
     seed: int = 17,
     offsets: int = 32,
     size: Column | None = None,
-    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken (size times copies).
-
-    ``docs`` needs doc_id, text and source; other columns pass through, those
-    named like a result are replaced, and ``keep`` names those to carry (all). A null text has size 0, a null source is a
-    source of its own, repeated rows count as rows. An empty table gives no
-    rows. A source's random offset is the one of ``offsets`` draws that comes
-    nearest to its target; draws depend on ``seed`` and the name, so reruns agree.
-    """
-    results = ["size", "source_size", "target", "copies", "taken"]
-    carried = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
-    sized = sized.select(*dict.fromkeys([*carried, "doc_id", "source", "size"]))
+    """The carried columns as one struct ``_row``, with the results beside it."""
+    words = word_count(F.col("text")) if size is None else size
+    sized = docs.select(F.struct(*carried).alias("_row"), "doc_id", "source", words.alias("size"))
     per_source = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most
     )
@@ -109,15 +128,10 @@ def mix(
         along.join(chosen, F.col("source").eqNullSafe(F.col("_named")))
         .withColumn("copies", _crossed(F.col("_offset")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*carried, *results)
+        .select("_row", *RESULTS)
     )
 
 
 def _crossed(offset: Column) -> Column:
     """Integers between the running sum before a document and after it."""
     return F.floor(F.col("_each") * (F.col("_at") + 1) + offset) - F.floor(F.col("_each") * F.col("_at") + offset)
-
-
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as it was taken."""
-    return mixed.filter(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexigraph.llm.common import free_name, let
+from lexigraph.llm.common import let
 
 MINIMUM_VALUE = 6
 
@@ -98,6 +98,17 @@ def link(found: DataFrame, key: list[str], scope: int = 200, kinds: tuple[Kind,
     return seen.filter(~weak | together).select(*key, "kind", "start", "stop", together.alias("linked"))
 
 
+def _scanned(docs: DataFrame, carried: list[str], scope: int, kinds: tuple[Kind, ...]) -> DataFrame:
+    """The carried columns as one struct ``_row``, with ``spans`` beside it."""
+    rows = docs.select(F.struct(*carried).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    keyed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
+    linked = link(parts(keyed, ["_doc", "_hash"], kinds), ["_doc", "_hash"], scope, kinds)
+    spans = linked.groupBy("_doc", "_hash").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "stop", "linked"))).alias("spans"))
+    none = F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint,linked:boolean>>)")
+    found = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left")
+    return found.select("_row", F.coalesce("spans", none).alias("spans"))
+
+
 def scan(docs: DataFrame, scope: int = 200, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` plus ``spans``: array of (start, kind, stop, linked), by start, then kind; never null.
 
@@ -105,16 +116,9 @@ def scan(docs: DataFrame, scope: int = 200, kinds: tuple[Kind, ...] = KINDS) ->
     is replaced. Null and empty texts have no spans. Rows are matched by id and
     text, so repeated rows and ids each get their own spans.
     """
-    plain = docs.drop("spans")
-    mark = free_name(plain, "_text_hash")
-    marked = plain.withColumn(mark, F.xxhash64("text"))
-    keyed = marked.select(F.col("doc_id").alias("_doc"), F.col(mark).alias("_hash"), "text")
-    linked = link(parts(keyed, ["_doc", "_hash"], kinds), ["_doc", "_hash"], scope, kinds)
-    spans = linked.groupBy("_doc", "_hash").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "stop", "linked"))).alias("spans"))
-    none = F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint,linked:boolean>>)")
-    return marked.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col(mark) == F.col("_hash")), "left").select(
-        *plain.columns, F.coalesce("spans", none).alias("spans")
-    )
+    carried = [c for c in docs.columns if c.lower() != "spans"]
+    scanned = _scanned(docs, carried, scope, kinds)
+    return scanned.select(*[F.col("_row")[c].alias(c) for c in carried], "spans")
 
 
 def digest(spans: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
@@ -128,29 +132,24 @@ def redact(docs: DataFrame, mask: str = "[secret]", scope: int = 200) -> DataFra
 
     n_chars, where there, follows the text. Texts without spans stay as they are.
     """
-    scanned = scan(docs, scope)
+    scanned = _scanned(docs, docs.columns, scope, KINDS)
+    text = F.col("_row")["text"]
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
 
+    def between(first: Column, size: Column) -> Column:
+        return F.substring(text, (first + 1).cast("int"), size.cast("int"))
+
     def step(done: Column, span: Column) -> Column:
-        gap = F.when(span["start"] >= done["at"], F.concat(F.substring(F.col("text"), (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int")), F.lit(mask)))
+        gap = F.when(span["start"] >= done["at"], F.concat(between(done["at"], span["start"] - done["at"]), F.lit(mask)))
         return F.struct(
             F.concat(done["text"], F.coalesce(gap, F.lit(""))).alias("text"), F.greatest(done["at"], span["stop"]).alias("at")
         )
 
-    cut = F.aggregate(
-        "spans",
-        start,
-        step,
-        lambda done: F.concat(done["text"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))),
-    )
-    new = F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
-    columns = [
-        F.when(F.size("spans") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-        if c == "n_chars"
-        else F.col("_new").alias("text")
-        if c == "text"
-        else F.col(c)
-        for c in docs.columns
-        if c != "spans"
-    ]
-    return scanned.withColumn("_new", new).select(*columns)
+    cut = F.aggregate("spans", start, step, lambda done: F.concat(done["text"], between(done["at"], F.length(text))))
+    hit = F.size("spans") > 0
+    changed = scanned.withColumn("_new", F.when(hit, cut).otherwise(text))
+    values = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        values["n_chars"] = F.when(hit, F.length("_new").cast(kind)).otherwise(F.col("_row")["n_chars"])
+    return changed.select(*[values.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
