@@ -50,6 +50,7 @@ TEMPLATES = (
 )
 K = 3
 DRIFT = 3
+SHORT = 12
 
 # A-Z fold, other ASCII letters and digits stay, all other ASCII separates; what is not ASCII belongs to words.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -98,7 +99,8 @@ def spans(keyed: DataFrame, coverage: float = 0.75, templates=TEMPLATES, k: int
     """(doc_id, text_hash, label, template, start, stop, score) from rows with ``hashes``, the rolling k-grams of a text.
 
     start and stop are word positions. Score is the part of the template's
-    k-grams that stand in the span in order; spans below ``coverage`` go.
+    k-grams that stand in the span in order; spans below ``coverage`` go, and so
+    do incomplete ones of short templates, which differ by a word from others.
     """
     places = template_places(keyed.sparkSession, templates, k)
     rows = keyed.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "hash"))
@@ -124,7 +126,7 @@ def spans(keyed: DataFrame, coverage: float = 0.75, templates=TEMPLATES, k: int
     in_order = F.aggregate("hits", start, step, lambda s: s["n"])
     return (
         merged.withColumn("score", F.least(F.lit(1.0), in_order / F.col("grams")))
-        .filter(F.col("score") >= coverage)
+        .filter(F.col("score") >= F.when(F.col("grams") < SHORT, 1.0).otherwise(coverage))
         .select("doc_id", "text_hash", "label", "template", F.array_min("hits")["pos"].alias("start"), (F.array_max("hits")["pos"] + k).alias("stop"), "score")
     )
 
