@@ -45,8 +45,8 @@ def _encoder(ranks_file: str, tokenizer_file: str):
         with open(public_tokenizers.path(ranks_file), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        full = Tokenizer.from_file(public_tokenizers.path(tokenizer_file))
-        _encoders[key] = (fast.encode_ordinary, lambda text: full.encode(text, add_special_tokens=False).ids)
+        coder = Tokenizer.from_file(public_tokenizers.path(tokenizer_file))
+        _encoders[key] = (fast.encode_ordinary, lambda text: coder.encode(text, add_special_tokens=False).ids)
     fast, full = _encoders[key]
     return lambda text: full(text) if SPECIAL in text else fast(text)
 
