@@ -49,13 +49,15 @@ def lexical(spark, sf):
     return ranked(R.bm25(questions, document_postings(spark, sf), 20), "query_id")
 
 
-CENTROIDS = """dims as (select label, generate_subscripts(embedding, 1) as pos, cast(unnest(embedding) as double) as v from embeddings),
+def near_sql(limit: int) -> str:
+    """CTEs ending in ``near(query_id, uuid, score, rank)``: the nearest embeddings of each label's mean."""
+    return f"""dims as (select label, generate_subscripts(embedding, 1) as pos, cast(unnest(embedding) as double) as v from embeddings),
     centroid as (select label as query_id, list(v order by pos) as vector from (select label, pos, avg(v) as v from dims group by all) group by label),
     near as (
       select * from (
         select query_id, uuid, score, row_number() over (partition by query_id order by round(score, 9) desc, uuid) as rank from (
           select query_id, 'doc:' || vec_id as uuid, list_cosine_similarity(cast(embedding as double[]), vector) as score from embeddings, centroid)
-      ) where rank <= 20
+      ) where rank <= {limit}
     )"""
 
 
@@ -68,26 +70,33 @@ def label_questions(spark, sf):
     return vectors.select(F.col("label").cast("long").alias("query_id"), "vector").join(passages, "query_id")
 
 
+def passage_questions(spark, sf):
+    """Every passage as a question; those whose number is a label also carry its mean embedding."""
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return passages.join(label_questions(spark, sf).select("query_id", "vector"), "query_id", "left")
+
+
 def document_vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.concat(F.lit("doc:"), F.col("vec_id").cast("string")).alias("uuid"), "embedding")
 
 
-@query("rank_vector", f"with {CENTROIDS} select query_id, uuid, round(score, 6) as score, rank from near")
+@query("rank_vector", f"with {near_sql(20)} select query_id, uuid, round(score, 6) as score, rank from near")
 def vector(spark, sf):
     return ranked(R.vector_top_k(label_questions(spark, sf), document_vectors(spark, sf), 20), "query_id")
 
 
-@query("rank_vector_blocks", f"with {CENTROIDS} select query_id, uuid, round(score, 6) as score, rank from near")
+@query("rank_vector_blocks", f"with {near_sql(20)} select query_id, uuid, round(score, 6) as score, rank from near")
 def vector_blocks(spark, sf):
     """The way taken when the questions are too many to broadcast, here from four questions up."""
-    return ranked(R.vector_top_k(label_questions(spark, sf), document_vectors(spark, sf), 20, broadcast_limit=4), "query_id")
+    return ranked(R.vector_top_k(label_questions(spark, sf), document_vectors(spark, sf), 20, shared_bytes=4 * 8 * 64), "query_id")
 
 
 def fused_sql(limit: int) -> str:
     return f"""node_text as (select 'doc:' || doc_id as uuid, text from documents),
-    question as (select item_id as query_id, text as query from benchmark where item_id in (select label from embeddings)),
-    {bm25_sql('node_text', 'question', limit)}, {CENTROIDS},
-    part as (select query_id, uuid, 1.0 / (60 + rank) as p from lexical union all select query_id, uuid, 1.0 / (60 + rank) from near where rank <= {limit}),
+    question as (select item_id as query_id, text as query from benchmark),
+    {bm25_sql('node_text', 'question', search.RETRIEVAL_DEPTH)}, {near_sql(search.RETRIEVAL_DEPTH)},
+    part as (select query_id, uuid, 1.0 / (60 + rank) as p from lexical union all
+      select query_id, uuid, 1.0 / (60 + rank) from near where query_id in (select query_id from question)),
     fused as (select query_id, uuid, sum(p) as score from part group by all)
     select query_id, uuid, round(score, 6) as score, rank from (
       select *, row_number() over (partition by query_id order by round(score, 9) desc, uuid) as rank from fused) where rank <= {limit}"""
@@ -95,13 +104,13 @@ def fused_sql(limit: int) -> str:
 
 @query("rank_rrf", f"with {fused_sql(20)}")
 def rrf(spark, sf):
-    found = search.hybrid(label_questions(spark, sf), document_postings(spark, sf), document_vectors(spark, sf), 20)
+    found = search.hybrid(passage_questions(spark, sf), document_postings(spark, sf), document_vectors(spark, sf), 20)
     return ranked(found, "query_id")
 
 
 @query("search_standard", f"with {fused_sql(5)}")
 def standard(spark, sf):
-    found = search.standard(label_questions(spark, sf), document_postings(spark, sf), document_vectors(spark, sf))
+    found = search.standard(passage_questions(spark, sf), document_postings(spark, sf), document_vectors(spark, sf))
     return ranked(found, "query_id")
 
 

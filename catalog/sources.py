@@ -88,16 +88,41 @@ def validate(spark, sf):
     return rows.select(F.coalesce(known, lost).alias("item_id"), "length", "valid", F.coalesce("error", F.lit("")).alias("error"))
 
 
+NOTE_SQL = "'said \"no\"; ' || s_name"
+CSV_SQL = f"""line as (
+      select 'supplier' as kind, s_suppkey as id, concat_ws(' | ', s_suppkey, s_name, s_nationkey, s_acctbal, {NOTE_SQL}) as line, 5 as cells from supplier
+      union all select 'nation', n_nationkey, concat_ws(' | ', n_nationkey, n_name, n_regionkey), 3 from nation)"""
+
+
+def csv_folder(spark, sf):
+    """Suppliers and nations as CSV files with different headers in one folder."""
+    path = scratch_path(spark, "csv")
+    suppliers = table(spark, sf, "supplier").withColumn("note", F.concat(F.lit('said "no"; '), "s_name"))
+    for kind, rows in (("supplier", suppliers), ("nation", table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))):
+        rows.write.option("header", True).option("sep", ";").option("quote", "'").option("escape", "'").csv(f"{path}/kind={kind}")
+    return path + "/*"
+
+
+def kind_of(rows):
+    return F.when(F.get("cells", F.lit(1)).startswith("Supplier"), "supplier").otherwise("nation")
+
+
+@query("src_csv", f"with {CSV_SQL} select kind, id, line, cells from line")
+def csv(spark, sf):
+    """Every record with its own cells, whatever file it stands in."""
+    rows = files.csv_lines(files.csv_rows(spark, csv_folder(spark, sf), delimiter=";", quotechar="'"), include_headers=False)
+    return rows.select(kind_of(rows).alias("kind"), F.get("cells", F.lit(0)).cast("long").alias("id"), "line", F.size("cells").alias("cells"))
+
+
 @query(
-    "src_csv",
-    """select concat_ws(' | ', s_suppkey, s_name, s_nationkey, s_acctbal, 'said "no"; ' || s_name) as line, 5 as column_count from supplier""",
+    "src_csv_tables",
+    """select 's_suppkey,s_name,s_nationkey,s_acctbal,note' as headers, count(*) as row_count, 5 as column_count from supplier
+       union all select 'n_nationkey,n_name,n_regionkey', count(*), 3 from nation""",
 )
-def csv(spark, sf):
-    path = scratch_path(spark, "csv")
-    rows = table(spark, sf, "supplier").withColumn("note", F.concat(F.lit('said "no"; '), "s_name"))
-    rows.write.option("header", True).option("sep", ";").option("quote", "'").option("escape", "'").csv(path)
-    lines = files.csv_lines(files.csv_rows(spark, path, delimiter=";", quotechar="'"))
-    return lines.select("line", F.size("cells").alias("column_count"))
+def csv_tables(spark, sf):
+    """Header, rows and columns per file, summed over the files of one header."""
+    tables = files.csv_tables(files.csv_rows(spark, csv_folder(spark, sf), delimiter=";", quotechar="'"), delimiter=";")
+    return tables.groupBy(F.array_join("headers", ",").alias("headers"), "column_count").agg(F.sum("row_count").alias("row_count"))
 
 
 @query(
@@ -151,24 +176,33 @@ def route(spark, sf):
 RULE = "-" * 80
 
 
-@query(
-    "render_table_text",
-    f"""with line as (
+def rendered_sql(most: str) -> str:
+    return f"""with line as (
       select l_orderkey, l_linestatus, row_number() over (partition by l_orderkey, l_linestatus order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as i,
-        concat_ws(' | ', l_linenumber, l_partkey, cast(l_quantity as bigint), l_returnflag) as line from lineitem),
-    sheet as (
-      select l_orderkey, l_linestatus, '=== Sheet: ' || l_linestatus || ' ===' || chr(10) || 'line | part | quantity | flag' || chr(10) || '{RULE}' || chr(10)
-        || array_to_string(list(line order by i), chr(10)) as text from line where i < 3 group by l_orderkey, l_linestatus)
-    select l_orderkey as source, array_to_string(list(text order by l_linestatus), chr(10) || chr(10)) as text from sheet group by all""",
-)
-def render(spark, sf):
-    """Order lines as sheets by status, three rows per sheet."""
+        concat_ws(' | ', l_linenumber, l_partkey, cast(l_quantity as bigint), l_returnflag) as line from lineitem)
+    select l_orderkey as source, l_linestatus as sheet, 0 as page, '=== Sheet: ' || l_linestatus || ' ===' || chr(10) || 'line | part | quantity | flag' || chr(10)
+        || '{RULE}' || chr(10) || array_to_string(list(line order by i), chr(10)) as text from line {most} group by l_orderkey, l_linestatus"""
+
+
+def order_sheets(spark, sf):
+    """Order lines as sheets by status."""
     order = Window.partitionBy("l_orderkey", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    cells = table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("source"), F.col("l_linestatus").alias("sheet"), (F.row_number().over(order) - 1).alias("row_idx"),
         F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), F.col("l_returnflag")).alias("cells"),
     )
-    return files.join_sheets(files.render_tables(cells, ["line", "part", "quantity", "flag"], max_rows_per_sheet=3))
+
+
+@query("render_table_text", rendered_sql(""))
+def render(spark, sf):
+    """Whole sheets, page by page."""
+    return files.render_tables(order_sheets(spark, sf), ["line", "part", "quantity", "flag"])
+
+
+@query("render_table_text_first_rows", rendered_sql("where i < 3"))
+def render_first(spark, sf):
+    """Three rows per sheet."""
+    return files.render_tables(order_sheets(spark, sf), ["line", "part", "quantity", "flag"], max_rows_per_sheet=3)
 
 
 @query(

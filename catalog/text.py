@@ -161,7 +161,7 @@ def snippet(spark, sf):
     return documents(spark, sf).select("doc_id", T.snippet(F.col("text")).alias("summary"))
 
 
-MENTION_TEXT = "url || ' ' || chr(34) || 'page ' || page_id || '.pdf' || chr(34) || ', /data/' || page_id || '.csv; see ' || html"
+MENTION_TEXT = "url || ' ' || chr(34) || 'page ' || page_id || '.pdf' || chr(34) || ', /data/' || page_id || '.csv; file=/in/' || page_id || '.xlsx see ' || html"
 
 
 @query(
@@ -170,8 +170,9 @@ MENTION_TEXT = "url || ' ' || chr(34) || 'page ' || page_id || '.pdf' || chr(34)
     found as (
       select page_id, list_distinct(
         regexp_extract_all(t, 'https?://[^\s<>"{{}}|\\^`\[\]]+')
-        || list_transform(regexp_extract_all(t, '["'']([^"'']*[^"'']+\.(?:pdf|txt|csv|xlsx|xls|ods|xlsm))["'']', 1), lambda x: trim(x))
-        || list_transform(list_filter(regexp_extract_all(t, '([^\s,]+\.(?:pdf|txt|csv|xlsx|xls|ods|xlsm))', 1),
+        || list_transform(regexp_extract_all(t, '["'']([^"'']*[^"'']+\.{T._EXT})["'']', 1), lambda x: trim(x))
+        || list_transform(regexp_extract_all(t, '(?:^|[\s,=(\[{{<:|"''`])(/[^\s,/][^\s,]*\.{T._EXT})', 1), lambda x: rtrim(x, '.,;'))
+        || list_transform(list_filter(regexp_extract_all(t, '([^\s,]+\.{T._EXT})', 1),
              lambda x: not contains(x, '://') and not starts_with(x, 'http')), lambda x: rtrim(x, '.,;'))) as links from src)
     select page_id, unnest(links) as link from found""",
 )
@@ -179,6 +180,6 @@ def extract_urls(spark, sf):
     """Links in pages that also mention a quoted and an absolute file name."""
     text = F.concat(
         "url", F.lit(' "page '), F.col("page_id").cast("string"), F.lit('.pdf", /data/'), F.col("page_id").cast("string"),
-        F.lit(".csv; see "), "html",
+        F.lit(".csv; file=/in/"), F.col("page_id").cast("string"), F.lit(".xlsx see "), "html",
     )
     return table(spark, sf, "pages").select("page_id", F.explode(T.extract_links(text)).alias("link"))

@@ -99,10 +99,3 @@ def entity_type_score(weights: Column, counts: Column) -> Column:
         return F.greatest(F.lit(0.5), F.least(F.lit(2.0), weighted / total))
 
     return F.when((F.size(weights) > 0) & (F.size(counts) > 0), let(counts, lambda found: let(weights, lambda wanted: mean(found, wanted)))).otherwise(1.0)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v
-    )
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

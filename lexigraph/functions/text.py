@@ -270,6 +270,7 @@ URL_PATTERN = r"""https?://[^\s<>"{}|\\^`\[\]]+"""
 _EXT = "(?:" + "|".join(C.FILE_EXTENSIONS) + ")"
 QUOTED_PATH_PATTERN = rf"""["']([^"']+\.{_EXT})["']"""
 # A plain name starts where a run of non-space characters starts, so each run is tried once.
+ABSOLUTE_PATH_PATTERN = rf"""(?<![^\s,=(\[{{<:|"'`])(/[^\s,/][^\s,]*\.{_EXT})"""
 PLAIN_PATH_PATTERN = rf"""(?<![^\s,])([^\s,]+\.{_EXT})"""
 
 
@@ -285,7 +286,8 @@ def extract_links(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(f"(?U){PLAIN_PATH_PATTERN}"), F.lit(1)),
         lambda x: ~x.contains("://") & ~x.startswith("http"),
     )
-    return F.array_distinct(F.concat(urls, quoted, tidy(plain)))
+    absolute = F.regexp_extract_all(text, F.lit(f"(?U){ABSOLUTE_PATH_PATTERN}"), F.lit(1))
+    return F.array_distinct(F.concat(urls, quoted, tidy(absolute), tidy(plain)))
 
 
 def parser_kind(path: Column) -> Column:

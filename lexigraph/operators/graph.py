@@ -148,9 +148,11 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def central(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, center): source node of the best-scored edge per question.
 
-    ``hits`` is (query_id, uuid, score) over node ids.
+    ``hits`` is (query_id, uuid, score) over node ids. Of the edges into a node
+    only the one with the largest source can win, so a hub moves as one row.
     """
-    scored = hits.join(edges.select(F.col("dst").alias("uuid"), "src"), "uuid")
+    into = edges.groupBy(F.col("dst").alias("uuid")).agg(F.max("src").alias("src"))
+    scored = hits.join(into, "uuid")
     best = F.max_by("src", F.struct(F.round("score", 9), F.col("src")))
     return scored.groupBy("query_id").agg(best.alias("center"))
 

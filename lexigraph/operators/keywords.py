@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigraph.functions import text as T
 from lexigraph.functions.arrays import let, sum_by_item, tally
+from lexigraph.session import materialize
 
 EPSILON = 1e-12
 RANK_DIGITS = 9
@@ -274,9 +275,11 @@ def inverse_frequency(
 
     ``occurrences`` has one row per corpus document and distinct term. Without
     ``corpus`` the table itself is the corpus. Otherwise every document is scored
-    against the corpus plus itself, so both counts grow by one.
+    against the corpus plus itself, so both counts grow by one. The counts are
+    written: a join with a table that was read can be split by adaptive
+    execution where a term is hot, one with an aggregate cannot.
     """
-    counts = occurrences.groupBy(*terms).agg(F.count(F.lit(1)).alias("df"))
+    counts = materialize(occurrences.groupBy(*terms).agg(F.count(F.lit(1)).alias("df")), "term-counts")
     size = (docs if corpus is None else corpus).agg(F.count(F.lit(1))).scalar()
     if corpus is None:
         return counts, F.log2(size / F.col("df"))
@@ -288,9 +291,9 @@ def _weigh(
 ) -> DataFrame:
     """Attach L2-normalised tf·idf as ``score``; rows of near-zero weight get null.
 
-    Term keys can be hot, so this is a plain equi-join: adaptive execution turns
-    it into a broadcast when the counts prove small and splits skewed partitions
-    otherwise. The norm then needs one exchange by document.
+    Term keys can be hot, so this is a plain equi-join of two tables: adaptive
+    execution turns it into a broadcast when the counts prove small and splits
+    skewed partitions otherwise. The norm then needs one exchange by document.
     """
     per_doc = Window.partitionBy(key, *groups)
     weighted = postings.join(counts, terms, "left").withColumn("w", F.col("tf") * idf)
@@ -310,8 +313,10 @@ def tfidf(
     """(key, keyword, score): log2 TF-IDF with unit length per document."""
 
     rows = docs.select(key, F.inline(tally(options.tokens(F.col(text)))).alias("keyword", "tf"))
-    source, column = (docs, text) if corpus is None else (corpus, corpus_text)
-    distinct = source.select(F.explode(F.array_distinct(options.tokens(F.col(column)))).alias("keyword"))
+    if corpus is None:  # a row is one word of one document, so the words are found once and counted from there
+        distinct = rows = materialize(rows, "word-postings")
+    else:
+        distinct = corpus.select(F.explode(F.array_distinct(options.tokens(F.col(corpus_text)))).alias("keyword"))
     counts, idf = inverse_frequency(distinct, docs, corpus, ["keyword"])
     scored = _weigh(rows, counts, idf, key, ["keyword"], [])
     return scored.where(F.col("score").isNotNull()).select(key, "keyword", "score")
@@ -327,15 +332,17 @@ def ngram_tfidf(
 ) -> DataFrame:
     """(key, n, keyword, score): TF-IDF of n-grams, each size for itself."""
     rows = ngram_freq(docs, key, text, options).withColumnRenamed("score", "tf")
-    source, column = (docs, text) if corpus is None else (corpus, corpus_text)
 
     def of_size(n: int) -> Column:
         return F.transform(
             F.array_distinct(options.grams(F.col("tokens"), n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("keyword"))
         )
 
-    tokens = source.select(options.tokens(F.col(column)).alias("tokens"))
-    distinct = tokens.select(F.inline(F.concat(*[of_size(n) for n in options.sizes])))
+    if corpus is None:
+        distinct = rows = materialize(rows, "phrase-postings")
+    else:
+        tokens = corpus.select(options.tokens(F.col(corpus_text)).alias("tokens"))
+        distinct = tokens.select(F.inline(F.concat(*[of_size(n) for n in options.sizes])))
     counts, idf = inverse_frequency(distinct, docs, corpus, ["n", "keyword"])
     scored = _weigh(rows, counts, idf, key, ["n", "keyword"], ["n"])
     return scored.where(F.col("score").isNotNull()).select(key, "n", "keyword", "score")
@@ -357,9 +364,10 @@ def combined(
     """
     rows = docs.select(key, F.inline(_local_terms(F.col(text), options)).alias("keyword", "tf", "base", "boost"))
     if use_corpus:
-        # Document counts need the distinct words alone, not the local scores.
-        source, column = (docs, text) if corpus is None else (corpus, corpus_text)
-        distinct = source.select(F.explode(F.array_distinct(options.tokens(F.col(column)))).alias("keyword"))
+        if corpus is None:
+            distinct = rows = materialize(rows, "local-terms")
+        else:
+            distinct = corpus.select(F.explode(F.array_distinct(options.tokens(F.col(corpus_text)))).alias("keyword"))
         counts, idf = inverse_frequency(distinct, docs, corpus, ["keyword"])
         rows = _weigh(rows, counts, idf, key, ["keyword"], [])
         total = options.tfidf_weight * F.coalesce(F.col("score"), F.lit(0.0)) + F.col("base")
@@ -388,9 +396,11 @@ def extract(
 
     Without a corpus every method is row-local and the whole job is a map:
     TF-IDF against the document alone is zero everywhere and falls back to
-    counts. With a corpus, phrases are cut to the top k inside the row wherever
+    counts; so does an empty corpus. With a corpus, phrases are cut to the top k inside the row wherever
     their score is final there, so at most k phrases per document are shuffled.
     """
+    if corpus is not None and corpus.isEmpty():
+        corpus = None  # an empty corpus is none: counts stand in for TF-IDF
     docs = docs.select(key, text)  # a blank text yields no rows but counts as a document of its own corpus
     method = options.method.lower()
     against_corpus = (corpus is not None or self_corpus) and method in ("tfidf", "combined")

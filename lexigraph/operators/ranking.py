@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigraph.functions import constants as C, text as T
 from lexigraph.functions.arrays import tally
+from lexigraph.session import materialize
 
 RANK_DIGITS = 9
+PAGE = 1000
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", tie: str = "uuid", score: str = "score") -> DataFrame:
@@ -44,33 +46,29 @@ def bm25(
 ) -> DataFrame:
     """(query_id, uuid, score[, rank]) by BM25 over a postings table.
 
-    Only postings of question words are kept. They are laid out by node once,
-    so what moves does not grow with the questions: the sums per (question,
-    node) and the first cut to ``limit`` both happen where a node's words lie.
+    Only postings of question words are kept. The weights of the words are
+    written, so the join by word is one of two tables: it is broadcast where they
+    are few and split where a word is hot. Gains are combined per task before
+    they move, once, by (question, node). Statistics of the index are one pass.
     """
     wanted = questions.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("query")))).alias("token"))
-    hits = postings.join(wanted.select("token").distinct(), "token")
+    asked = materialize(wanted.select("token").distinct(), "question-words")
+    hits = postings.join(asked, "token")
     counts = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    size = postings.agg(F.count_if("lead")).scalar()
-    mean = postings.agg(F.sum("tf") / F.count_if("lead")).scalar()
+    index = postings.agg(F.struct(F.count_if("lead").alias("size"), (F.sum("tf") / F.count_if("lead")).alias("mean"))).scalar()
     # The weight of a word is the same for every question, so the idf joins the short list of wanted words.
-    idf = F.log(1 + (size - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(counts, "token").select("query_id", "token", idf.alias("idf"))
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = (
-        hits.select("uuid", "token", "tf", "length")
-        .repartition("uuid")
-        .join(weights, "token")
-        .groupBy("query_id", "uuid")
-        .agg(F.sum(gain).alias("score"))
-    )
+    idf = F.log(1 + (index["size"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = materialize(wanted.join(counts, "token").select("query_id", "token", idf.alias("idf")), "word-weights")
+    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / index["mean"]))
+    scored = postings.join(weights, "token").groupBy("query_id", "uuid").agg(F.sum(gain).alias("score"))
     return scored if limit is None else top_k(scored, limit)
 
 
 # -- vector half ---------------------------------------------------------------
 
-BROADCAST_VECTORS = 16_384
-SLICE_ROWS = 500_000
+# Bytes that a task may hold at once, whatever the dimension and the number of questions.
+SHARED_BYTES = 128 << 20
+SCORE_BYTES = 64 << 20
 
 
 def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -80,15 +78,26 @@ def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def score_blocks(n_queries: int, n_nodes: int, budget: int = SCORE_BYTES) -> list[range]:
+    """Node ranges whose score matrix (8 bytes each) fits the budget."""
+    step = max(1, budget // (8 * max(1, n_queries)))
+    return [range(a, min(a + step, n_nodes)) for a in range(0, n_nodes, step)]
+
+
 def _best(query_ids: np.ndarray, queries: np.ndarray, table: pa.Table, k: int) -> pa.Table:
-    """Top k nodes of one batch per question, ties included until the final rank."""
-    scores = np.round(queries @ _unit_rows(table["embedding"]).T, RANK_DIGITS)
-    if scores.shape[1] > k:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        rows, cols = np.nonzero(scores >= kth[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    return pa.table({"query_id": query_ids[rows], "uuid": table["uuid"].take(pa.array(cols)), "score": scores[rows, cols]})
+    """Top k nodes of a batch per question, found block by block."""
+    kept: pa.Table | None = None
+    for block in score_blocks(len(queries), len(table)):
+        part = table.slice(block.start, len(block))
+        scores = np.round(queries @ _unit_rows(part["embedding"]).T, RANK_DIGITS)
+        if scores.shape[1] > k:
+            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            rows, cols = np.nonzero(scores >= kth[:, None])  # ties are settled by the final rank
+        else:
+            rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
+        fresh = pa.table({"query_id": query_ids[rows], "uuid": part["uuid"].take(pa.array(cols)), "score": scores[rows, cols]})
+        kept = _trim(fresh if kept is None else pa.concat_tables([kept, fresh]), k)
+    return kept
 
 
 def _trim(found: pa.Table, k: int) -> pa.Table:
@@ -99,18 +108,20 @@ def _trim(found: pa.Table, k: int) -> pa.Table:
     return ordered.filter(pa.array(place < k))
 
 
-def vector_top_k(questions: DataFrame, nodes: DataFrame, k: int, broadcast_limit: int = BROADCAST_VECTORS) -> DataFrame:
+def vector_top_k(questions: DataFrame, nodes: DataFrame, k: int, shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """(query_id, uuid, score, rank): exact cosine top k.
 
     ``questions`` is (query_id long, vector), ``nodes`` is (uuid string, embedding).
-    A batch of questions within ``broadcast_limit`` visits the nodes where they
-    lie and every task keeps k rows per question. Beyond it, blocks of questions
-    meet slices of nodes, both of bounded size, with the same result.
+    Questions whose vectors take at most ``shared_bytes`` visit the nodes where
+    they lie and every task keeps k rows per question. Beyond that, blocks of
+    questions meet slices of nodes, both of so many bytes, with the same result.
     """
     schema = "query_id long, uuid string, score double"
     asked = questions.select("query_id", "vector").where(F.col("vector").isNotNull())
     held = nodes.select("uuid", "embedding").where(F.col("embedding").isNotNull())
-    if asked.limit(broadcast_limit + 1).count() <= broadcast_limit:
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("dim")).first()
+    rows = max(1, shared_bytes // (8 * max(1, size["dim"])))
+    if size["n"] <= rows:
         local = asked.toArrow()
         if len(local) == 0:
             return nodes.sparkSession.createDataFrame([], schema + ", rank int")
@@ -129,8 +140,8 @@ def vector_top_k(questions: DataFrame, nodes: DataFrame, k: int, broadcast_limit
 
         return top_k(held.mapInArrow(scan, schema), k)
 
-    blocks = -(-asked.count() // broadcast_limit)
-    slices = max(1, -(-held.count() // SLICE_ROWS))
+    blocks = -(-size["n"] // rows)
+    slices = max(1, -(-held.count() // rows))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", spread(slices))
     right = held.withColumn("part", F.pmod(F.xxhash64("uuid"), F.lit(slices)).cast("int")).withColumn("block", spread(blocks))
@@ -181,10 +192,9 @@ class Weights:
 
 
 def candidate_degree(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """(uuid, degree) for the candidates only: the edges are cut down before they are counted."""
+    """(uuid, degree) for the candidates: ends are counted per task before they move, so a hub moves as a few numbers."""
     wanted = candidates.select("uuid").distinct()
-    touched = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("uuid")).join(wanted, "uuid")
-    counted = touched.groupBy("uuid").agg(F.count(F.lit(1)).alias("degree"))
+    counted = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("uuid")).groupBy("uuid").agg(F.count(F.lit(1)).alias("degree"))
     return wanted.join(counted, "uuid", "left").select("uuid", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
@@ -200,12 +210,14 @@ def neighbour_hits(candidates: DataFrame, questions: DataFrame, nodes: DataFrame
     """(query_id, uuid, neighbour_hits): question terms found in names of neighbours.
 
     ``questions`` carries ``important_terms``. Each (node, term) is tried once,
-    whatever number of questions share it, and the hits of a hub are combined
-    per task before they move.
+    whatever number of questions share it. The neighbours of a hub are dealt
+    into pages of about ``PAGE`` by hash and its terms are tried page by page, so
+    no task holds a hub; the hits are combined per task before they move.
     """
     terms = questions.select("query_id", F.explode("important_terms").alias("term"))
     asked = candidates.select("query_id", "uuid").join(terms, "query_id")
-    wanted = candidates.select("uuid").distinct()
+    degrees = candidate_degree(candidates, edges).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("degree") / PAGE)).cast("int"))
+    wanted = materialize(degrees.select("uuid", "pages"), "candidate-pages")
     ends = edges.select(
         F.inline(
             F.array(
@@ -214,10 +226,13 @@ def neighbour_hits(candidates: DataFrame, questions: DataFrame, nodes: DataFrame
             )
         )
     ).join(wanted, "uuid")
-    named = ends.join(nodes.select(F.col("uuid").alias("other"), F.lower("name").alias("other_name")), "other")
+    paged = ends.withColumn("page", F.pmod(F.xxhash64("other"), "pages").cast("int"))
+    named = paged.join(nodes.select(F.col("uuid").alias("other"), F.lower("name").alias("other_name")), "other")
+    tried = asked.select("uuid", "term").distinct().join(wanted, "uuid")
+    tried = tried.select("uuid", "term", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"))
     found = (
-        named.select("uuid", "other_name")
-        .join(asked.select("uuid", "term").distinct(), "uuid")
+        named.select("uuid", "page", "other_name")
+        .join(tried, ["uuid", "page"])
         .where(F.contains("other_name", "term"))
         .select("uuid", "term")
         .distinct()

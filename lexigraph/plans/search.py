@@ -15,20 +15,28 @@ def analyse(questions: DataFrame, query: str = "query") -> DataFrame:
     return questions.withColumn("_info", info).withColumn("_terms", terms).select("*", "_info.*", "_terms.*").drop("_info", "_terms")
 
 
+# How deep each list goes before fusion. It does not follow the size of the result, so a shorter answer is the start of a longer one.
+RETRIEVAL_DEPTH = 100
+
+
 def hybrid(
     questions: DataFrame,
     postings: DataFrame,
     embeddings: DataFrame | None = None,
     limit: int = C.SEARCH_RESULT_LIMIT,
     k: int = 60,
+    depth: int = RETRIEVAL_DEPTH,
 ) -> DataFrame:
     """(query_id, uuid, score, rank): lexical and, where given, vector lists fused.
 
-    ``embeddings`` is (uuid, embedding); the questions then carry ``vector``.
+    ``embeddings`` is (uuid, embedding); the questions then carry ``vector``, and
+    those without one have a lexical list alone. Each list holds ``depth`` nodes.
     """
-    lists = [R.bm25(questions, postings, limit)]
+    if depth < limit:
+        raise ValueError("depth must be at least limit")
+    lists = [R.bm25(questions, postings, depth)]
     if embeddings is not None:
-        lists.append(R.vector_top_k(questions, embeddings, limit))
+        lists.append(R.vector_top_k(questions, embeddings, depth))
     return R.fuse(lists, limit, k)
 
 
@@ -167,11 +175,12 @@ def answer(
     embeddings: DataFrame | None = None,
     weights: R.Weights = R.Weights(),
     extract: E.Extractor = E.pattern_mentions,
+    limit: int = C.SEARCH_RESULT_LIMIT,
 ) -> DataFrame:
     """Questions to re-ranked candidates in one call.
 
-    The candidates (at most 20 per question) feed several features, so they are
-    written once to the shared folder instead of being searched again.
+    The candidates (at most ``limit`` per question) feed several features, so they
+    are written once to the shared folder instead of being searched again.
     """
-    found = materialize(hybrid(questions, postings, embeddings), "candidates")
+    found = materialize(hybrid(questions, postings, embeddings, limit), "candidates")
     return question_aware(analyse(questions), found, nodes, edges, weights, extract)

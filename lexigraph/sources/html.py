@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 COMMENT = r"(?s)<!--.*?-->"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+QUOTED = r"""(["'])((?:(?!\%d).)*)\%d"""  # up to the quote that opened it
+HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*" + QUOTED % (1, 1)
 HEADING_START = r"(?i)(?=<h[1-6][\s>])"
-HEADING = r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]\s*>"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
@@ -30,12 +30,12 @@ def visible(html: Column, remove_scripts: bool = True) -> Column:
 
 def meta(html: Column, name: str) -> Column:
     """Content of a meta tag, null where there is none."""
-    found = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*?\bname\s*=\s*["']{name}["'][^>]*?\bcontent\s*=\s*["']([^"']*)["']""", 1)
+    found = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*?\bname\s*=\s*["']{name}["'][^>]*?\bcontent\s*=\s*""" + QUOTED % (1, 1), 2)
     return F.nullif(found, F.lit(""))
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(HREF), F.lit(2))
 
 
 def sections(html: Column, remove_scripts: bool = True) -> Column:

@@ -93,6 +93,9 @@ def test_tfidf_without_a_corpus_falls_back_to_counts(spark, docs):
     counted = K.extract(docs, options=replace(OPTIONS, method="word_freq")).collect()
     unknown = K.extract(docs, options=replace(OPTIONS, method="no such method")).collect()
     assert alone == counted == unknown
+    assert K.extract(docs, corpus=empty, options=OPTIONS).collect() == alone
+    combined = replace(OPTIONS, method="combined")
+    assert K.extract(docs, corpus=empty, options=combined).collect() == K.extract(docs, options=combined).collect() != []
     assert {r.doc_id for r in alone} == {d for d, t in texts_of(docs).items() if t.strip()}
 
 
@@ -149,3 +152,26 @@ def test_ngram_sizes():
     assert K.KeywordOptions(min_ngram=4, max_ngram=2).sizes == [2, 3, 4]
     assert K.KeywordOptions(min_ngram=3, max_ngram=3).sizes == [3]
     assert K.KeywordOptions(enable_ngrams=False).sizes == []
+
+
+def test_a_word_of_every_document_is_split_over_tasks(spark):
+    """Broadcasts off and small skew limits: the join with the counts must be one that can be split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("everywhere word"), "id").alias("text")).repartition(8)
+        scored = K.tfidf(docs)
+        assert scored.count() >= 0
+        scored.write.format("noop").mode("overwrite").save()
+        plan = scored._jdf.queryExecution()
+        rows = scored.collect()
+        assert "skew=true" in plan.executedPlan().toString() and rows is not None
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -188,3 +188,57 @@ def test_fusion(spark):
     rows = R.fuse([ranked([(1, "a", 1), (1, "b", 2)]), ranked([(1, "b", 1), (1, "c", 2)])], 2).orderBy("rank").collect()
     assert [(r.uuid, r["rank"]) for r in rows] == [("b", 1), ("a", 2)]
     assert rows[0].score == pytest.approx(1 / 61 + 1 / 62)
+
+
+def small_index(spark):
+    words = ["apple", "pear", "plum", "fig", "quince"]
+    nodes = [(f"n{i:02d}", " ".join(words[j % 5] for j in range(i, i + 3)) + f" own{i}") for i in range(40)]
+    df = spark.createDataFrame(nodes, "uuid string, text string")
+    return df, R.lexical_postings(df, F.col("text"))
+
+
+def test_a_shorter_answer_is_the_start_of_a_longer_one(spark):
+    nodes, postings = small_index(spark)
+    vectors = nodes.select("uuid", F.array(*[F.pmod(F.xxhash64("uuid", F.lit(i)), F.lit(100)).cast("double") for i in range(4)]).alias("embedding"))
+    asked = spark.createDataFrame([(1, "apple plum", [1.0, 2.0, 3.0, 4.0]), (2, "fig", None)], "query_id long, query string, vector array<double>")
+    deep = search.hybrid(asked, postings, vectors, limit=20).orderBy("query_id", "rank").collect()
+    short = search.standard(asked, postings, vectors, limit=5).orderBy("query_id", "rank").collect()
+    assert short == [r for r in deep if r["rank"] <= 5] and len(short) == 10
+    with pytest.raises(ValueError):
+        search.hybrid(asked, postings, limit=20, depth=5)
+
+
+def test_score_blocks_stay_within_their_budget():
+    for queries in (1, 100, 16384, 1 << 20):
+        blocks = R.score_blocks(queries, 10_000)
+        assert sum(len(b) for b in blocks) == 10_000
+        assert max(8 * queries * len(b) for b in blocks) <= max(R.SCORE_BYTES, 8 * queries)
+
+
+def test_vectors_in_blocks_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "SCORE_BYTES", 8 * 3 * 7)
+    nodes = [(f"n{i:03d}", [float((i * k) % 17 - 8) for k in (1, 2, 3)]) for i in range(1, 120)]
+    asked = [(q, [1.0, float(q), 2.0]) for q in range(3)]
+    import numpy as np
+
+    unit = lambda m: np.array(m) / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit([v for _, v in asked]) @ unit([v for _, v in nodes]).T, 9)
+    expected = {q: [nodes[i][0] for i in sorted(range(len(nodes)), key=lambda i: (-scores[q, i], nodes[i][0]))[:6]] for q, _ in asked}
+    frames = spark.createDataFrame(asked, "query_id long, vector array<double>"), spark.createDataFrame(nodes, "uuid string, embedding array<double>")
+    for shared in (R.SHARED_BYTES, 2 * 8 * 3):
+        found = {}
+        for r in R.vector_top_k(*frames, 6, shared_bytes=shared).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["uuid"])
+        assert found == expected
+
+
+def test_hub_neighbours_are_tried_page_by_page(spark, monkeypatch):
+    monkeypatch.setattr(R, "PAGE", 10)
+    nodes = spark.createDataFrame([("hub", "Hub")] + [(f"n{i}", f"Leaf {i}") for i in range(200)], "uuid string, name string")
+    edges = spark.createDataFrame([("hub", f"n{i}", "x") for i in range(200)] + [("n0", "n1", "x")], "src string, dst string, rel_type string")
+    asked = spark.createDataFrame([(1, ["leaf 19", "nothing", "hub"]), (2, ["hub"])], "query_id long, important_terms array<string>")
+    found = spark.createDataFrame([(1, "hub"), (2, "n5"), (2, "hub")], "query_id long, uuid string")
+    hits = {(r["query_id"], r["uuid"]): r["neighbour_hits"] for r in R.neighbour_hits(found, asked, nodes, edges).collect()}
+    assert hits == {(1, "hub"): 1, (2, "n5"): 1}
+    degrees = {r["uuid"]: r["degree"] for r in R.candidate_degree(found, edges).collect()}
+    assert degrees == {"hub": 200, "n5": 1}

@@ -62,10 +62,57 @@ def test_csv(spark, tmp_path):
     path = tmp_path / "people.csv"
     path.write_text('Name;Age;City\nAnn;30;"New; York"\nBob;;Rome\n')
     rows = files.csv_rows(spark, str(path), delimiter=";")
-    assert [r.line for r in files.csv_lines(rows).collect()] == ["Ann | 30 | New; York", "Bob |  | Rome"]
-    table = files.csv_tables(rows).first()
-    assert (table.headers, table.row_count, table.column_count) == (["Name", "Age", "City"], 2, 3)
-    assert files.csv_rows(spark, str(path), delimiter=";", max_rows=1).count() == 1
+    lines = [r.line for r in files.csv_lines(rows, include_headers=False).orderBy("pos").collect()]
+    assert lines == ["Ann | 30 | New; York", "Bob |  | Rome"]
+    assert files.csv_lines(rows).count() == 3
+    table = files.csv_tables(rows, delimiter=";").first()
+    assert (table.headers, table.row_count, table.column_count, table.delimiter, table.has_headers) == (["Name", "Age", "City"], 2, 3, ";", True)
+
+
+def test_csv_files_keep_their_own_headers_and_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Name,Age\nAnn,30\nBob,31,extra\n")
+    (tmp_path / "b.csv").write_bytes(b"City,Zip,Land\r\nRome\r\n,00100,\r\n")
+    (tmp_path / "c.csv").write_text("Only,Header\n")
+    rows = files.csv_rows(spark, str(tmp_path))
+    found = sorted((r._source, r.header, r.cells) for r in rows.collect())
+    assert found == [
+        ("a.csv", False, ["Ann", "30"]), ("a.csv", False, ["Bob", "31", "extra"]), ("a.csv", True, ["Name", "Age"]),
+        ("b.csv", False, ["", "00100", ""]), ("b.csv", False, ["Rome"]), ("b.csv", True, ["City", "Zip", "Land"]),
+        ("c.csv", True, ["Only", "Header"]),
+    ]
+    tables = {r._source: (r.headers, r.row_count, r.column_count) for r in files.csv_tables(rows).collect()}
+    assert tables == {"a.csv": (["Name", "Age"], 2, 2), "b.csv": (["City", "Zip", "Land"], 2, 3), "c.csv": (["Only", "Header"], 0, 2)}
+    capped = files.csv_tables(files.csv_rows(spark, str(tmp_path), max_rows=2)).collect()
+    assert sorted((r._source, r.row_count) for r in capped) == [("a.csv", 1), ("b.csv", 1), ("c.csv", 0)]
+    bare = files.csv_tables(files.csv_rows(spark, str(tmp_path), has_headers=False)).collect()
+    assert sorted((r._source, r.row_count, r.headers, r.has_headers) for r in bare) == [
+        ("a.csv", 3, None, False), ("b.csv", 3, None, False), ("c.csv", 1, None, False)
+    ]
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('k,v\n1,"two\nlines"\n2,"said ""no"""\n3,""\n,x\n')
+    rows = files.csv_rows(spark, str(path), multi_line=True)
+    assert [r.cells for r in rows.orderBy("pos").collect()] == [["k", "v"], ["1", "two\nlines"], ["2", 'said "no"'], ["3", ""], ["", "x"]]
+
+
+def test_broken_episode_files_become_error_rows(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "good.json").write_text(json.dumps([{"episode_id": 1, "content": "Ann met Bob Stone.", "type": "text"}]))
+    (folder / "bad.json").write_text('[{"episode_id": 2, "content": "x"}, {"episode_id": ')
+    rows = files.episodes(spark, str(folder)).collect()
+    assert sorted((r.content or "", r.error is None) for r in rows if r.content != "x") == [("", False), ("Ann met Bob Stone.", True)]
+    stream.ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert any(r.error is None and "Ann" in r.body for r in stored) and any(r.error is not None for r in stored)
+
+
+def test_attributes_end_at_the_quote_that_opened_them(spark):
+    page = """<html><head><meta name="description" content="Bob's shop"></head><a href="it's.html">x</a><a href='say "hi"'>y</a></html>"""
+    row = parse_pages(spark.createDataFrame([("u", page)], "url string, html string")).first()
+    assert row.metadata.description == "Bob's shop" and row.metadata.links == ["it's.html", 'say "hi"']
 
 
 def test_sheets_in_pages_are_the_whole_sheet(spark):
@@ -73,7 +120,7 @@ def test_sheets_in_pages_are_the_whole_sheet(spark):
         [("f", "S1", i, [str(i), None if i == 1 else "x"]) for i in range(5)] + [("f", "S2", 0, ["9", "y"])],
         "source string, sheet string, row_idx int, cells array<string>",
     )
-    whole = files.join_sheets(files.render_tables(cells, ["a", "b"])).first().text
+    whole = "\n\n".join(r.text for r in files.render_tables(cells, ["a", "b"]).orderBy("sheet", "page").collect())
     assert whole.startswith("=== Sheet: S1 ===\na | b\n" + "-" * 80 + "\n0 | x\n1 | \n2 | x")
     assert "\n\n=== Sheet: S2 ===\n" in whole
     paged = files.render_tables(cells, ["a", "b"], sheets=["S1"], rows_per_page=2).orderBy("page").collect()

@@ -88,7 +88,9 @@ def test_title_lines_and_snippet(one):
 
 def test_links_and_routes(one):
     found = one('see https://a.b/c?x=1 and "my file.pdf" or /tmp/x.csv, rel/y.txt;', T.extract_links)
-    assert found == ["https://a.b/c?x=1", "my file.pdf", "file.pdf", "/tmp/x.csv", "rel/y.txt"]
+    assert found == ["https://a.b/c?x=1", "my file.pdf", "/tmp/x.csv", "file.pdf", "rel/y.txt"]
+    found = one("path=/data/x.csv (/data/y.txt http://h/z.pdf a/b.csv", T.extract_links)
+    assert [x for x in found if x.startswith("/")] == ["/data/x.csv", "/data/y.txt"]
     expected = {
         "https://e.com/a.pdf": "url", "http://e.com": "url", "a/b.TXT": "txt", "f.text": "txt", "x.csv": "csv", "x.pdf": "pdf",
         "x.xlsx": "spreadsheet", "x.xlsm": "spreadsheet", "x.ods": "spreadsheet", ".txt": None, "noext": None, "a.doc": None,
