@@ -9,10 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+_made_up: dict[str, str] = {}  # scratch folders of local applications that name none
+
+
+def local_session(cores: str = "*", shuffle_partitions: int = 8, scratch: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
+    builder = SparkSession.builder
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("lexigraph")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -36,9 +42,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _made_up:
+        _made_up[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _made_up[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
