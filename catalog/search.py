@@ -348,40 +348,58 @@ def central(spark, sf):
     return G.central(star_candidates(spark, sf, nodes, questions).select("query_id", "uuid", "score"), star_edges(spark, sf))
 
 
+KINDS_AT = """kinds_at as (select uuid, array_to_string(list(distinct rel_type order by rel_type), ',') as relationship_types from ends group by uuid)"""
+
+
 @query(
     "search_response",
-    f"""with {STAR_CANDIDATES}, {FEATURES}, {FIVE},
-    pair as (select distinct uuid, other from ends where uuid in (select uuid from cand)),
-    entity as (select pair.uuid, count(*) as n from pair join node on node.uuid = pair.other group by pair.uuid)
-    select query_id, rank, uuid, name, summary, round(final_score, 6) as final_score, degree as connection_count, coalesce(n, 0) as entities
-    from ranked left join entity using (uuid) where rank <= 5""",
+    f"""with {STAR_CANDIDATES}, {FEATURES}, {FIVE}, {KINDS_AT}
+    select query_id, rank, uuid, name, summary, round(final_score, 6) as final_score, degree as connection_count, coalesce(relationship_types, '') as relationship_types
+    from ranked left join kinds_at using (uuid) where rank <= 5""",
 )
 def search_response(spark, sf):
+    edges = star_edges(spark, sf)
+    rows = search.response(search.with_relationships(star_search(spark, sf, search.question_aware), edges))
+    return rows.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "uuid", "name", "summary",
+        F.round("scoring.final_score", 6).alias("final_score"), "connection_count", F.array_join("relationship_types", ",").alias("relationship_types"),
+    )
+
+
+@query(
+    "search_response_connections",
+    f"""with {STAR_CANDIDATES}, {FEATURES}, {FIVE}, pair as (select distinct uuid, other from ends where uuid in (select uuid from ranked where rank <= 5))
+    select pair.uuid, other as neighbour, name, label as type, 'Entity|' || label as labels from pair join node on node.uuid = pair.other""",
+)
+def search_response_connections(spark, sf):
+    """Every neighbour of every node in the answers, once per node."""
     nodes, edges = star_nodes(spark, sf), star_edges(spark, sf)
     rows = materialize(search.response(star_search(spark, sf, search.question_aware)), "response")
     degrees = rows.select("uuid", F.col("connection_count").alias("degree")).distinct()
     pages = search.connection_pages(rows, G.neighbours(nodes, edges), degrees, page_size=100)
-    entities = pages.groupBy("query_id", "rank", "uuid").agg(F.sum(F.size("entities")).alias("entities"))
-    return rows.join(entities, ["query_id", "rank", "uuid"], "left").select(
-        "query_id", F.col("rank").cast("long").alias("rank"), "uuid", "name", "summary",
-        F.round("scoring.final_score", 6).alias("final_score"), "connection_count", F.coalesce("entities", F.lit(0)).alias("entities"),
+    return pages.select("uuid", F.explode("entities").alias("e")).select(
+        "uuid", F.col("e.uuid").alias("neighbour"), "e.name", "e.type", F.array_join("e.labels", "|").alias("labels")
     )
 
 
 @query(
     "sink_results_json",
-    f"""with {STAR_CANDIDATES}, {FEATURES}, {FIVE}
-    select query_id, query, 'question-aware' as method, count(*) as total_results, array_to_string(list(uuid order by rank), ',') as uuids,
-      round(max(final_score), 6) as best from ranked join question using (query_id) group by all""",
+    f"""with {STAR_CANDIDATES}, {FEATURES}, {FIVE}, {KINDS_AT}
+    select query_id, query, 'question-aware' as method, rank, uuid, name, summary, round(final_score, 6) as final_score, round(query_match_score, 6) as query_match_score,
+      degree as connections, coalesce(relationship_types, '') as relationship_types, strftime(valid_at, '%Y-%m-%d') as valid_at, coalesce(per, 0) + coalesce(dat, 0) as entities
+    from ranked join question using (query_id) left join kinds_at using (uuid) left join kinds using (uuid) left join (select uuid, valid_at from node) using (uuid)""",
 )
 def results_json(spark, sf):
-    """Search answers written as JSON and read back."""
+    """Search answers written as JSON and read back, whole."""
     path = scratch_path(spark, "results")
-    out = results_envelope(star_search(spark, sf, search.question_aware), "question-aware")
+    ranked_rows = search.with_relationships(star_search(spark, sf, search.question_aware), star_edges(spark, sf))
+    out = results_envelope(ranked_rows, "question-aware")
     write_json(out, path)
-    back = spark.read.schema(out.schema).json(path)
+    back = spark.read.schema(out.schema).json(path).select("query_id", "query", "method", F.explode("results").alias("r"))
+    distinct = F.array_distinct(F.col("r.all_entities"))
     return back.select(
-        "query_id", "query", "method", F.col("total_results").cast("long").alias("total_results"),
-        F.array_join(F.transform("results", lambda r: r["uuid"]), ",").alias("uuids"),
-        F.round(F.array_max(F.transform("results", lambda r: r["scoring"]["final_score"])), 6).alias("best"),
+        "query_id", "query", "method", F.col("r.rank").cast("long").alias("rank"), "r.uuid", "r.name", "r.summary",
+        F.round("r.scoring.final_score", 6).alias("final_score"), F.round("r.scoring.query_match_score", 6).alias("query_match_score"),
+        F.col("r.connections.count").alias("connections"), F.array_join("r.connections.relationship_types", ",").alias("relationship_types"),
+        F.date_format("r.temporal_info.valid_at", "yyyy-MM-dd").alias("valid_at"), F.size(distinct).cast("long").alias("entities"),
     )

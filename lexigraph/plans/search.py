@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigraph.functions import constants as C, entities as E, questions as Q, scores as S
-from lexigraph.operators import ranking as R
+from lexigraph.operators import graph as G, ranking as R
 from lexigraph.session import materialize
 
 
@@ -78,7 +78,10 @@ def question_aware(
     mentioned = extract(R.node_text())
     details = (
         nodes.join(found.select("uuid").distinct(), "uuid")
-        .withColumn("recognized_entities", E.texts_by_type(mentioned))
+        .withColumn("_mentions", mentioned)
+        .withColumn("recognized_entities", E.texts_by_type(F.col("_mentions")))
+        .withColumn("all_entities", F.transform("_mentions", lambda m: F.struct(m["text"].alias("text"), m["type"].alias("type"))))
+        .drop("_mentions")
         .withColumn("type_counts", E.type_counts(F.col("recognized_entities")))
     )
     hits = R.neighbour_hits(found, questions, nodes, edges)
@@ -120,6 +123,16 @@ def scoring() -> Column:
     return F.struct(*names)
 
 
+def with_relationships(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ranked rows plus ``relationship_types``, the sorted kinds of edge at each node.
+
+    Kinds are combined per task before they move, so a hub moves as a short list.
+    """
+    return ranked.join(G.relationship_types(edges), "uuid", "left").withColumn(
+        "relationship_types", F.coalesce("relationship_types", F.expr("cast(array() as array<string>)"))
+    )
+
+
 def public_attributes(attributes: Column) -> Column:
     return F.map_filter(attributes, lambda k, _: k != "name_embedding")
 
@@ -127,7 +140,8 @@ def public_attributes(attributes: Column) -> Column:
 def response(ranked: DataFrame, limit: int = C.SEARCH_TOP_K) -> DataFrame:
     """Rows of a search answer, at most ``limit`` per question (1..100).
 
-    Works for plain and scored results; scores and connection counts are added where present.
+    Works for plain and scored results; scores, connection counts, relationship
+    types and entities are added where present.
     Connected entities are a table of their own, see :func:`connection_pages`.
     """
     if not 1 <= limit <= 100:
@@ -137,23 +151,24 @@ def response(ranked: DataFrame, limit: int = C.SEARCH_TOP_K) -> DataFrame:
         columns.append(scoring().alias("scoring"))
     if "degree" in ranked.columns:
         columns.append(F.col("degree").alias("connection_count"))
-    if "recognized_entities" in ranked.columns:
-        columns.append("recognized_entities")
+    columns += [c for c in ("relationship_types", "recognized_entities", "all_entities") if c in ranked.columns]
     return ranked.where(F.col("rank") <= limit).select(*columns)
 
 
 def connection_pages(results: DataFrame, neighbours: DataFrame, degrees: DataFrame, page_size: int = 1000) -> DataFrame:
-    """(query_id, rank, uuid, page, entities): the neighbours of each result, all of them.
+    """(uuid, page, entities): the neighbours of each node among the results, all of them.
 
-    A hub can have any number of neighbours, so they come in pages of about
-    ``page_size`` picked by hash: every page is built by its own group.
+    A table per node, joined to results by uuid, so a node that many questions
+    return is laid out once. A hub can have any number of neighbours; they come
+    in pages of about ``page_size`` picked by hash, each built by its own group.
     """
-    keyed = results.select("query_id", "rank", "uuid").join(degrees.select("uuid", "degree"), "uuid")
+    keyed = results.select("uuid").distinct().join(degrees.select("uuid", "degree"), "uuid")
+    keyed = materialize(keyed, "result-nodes")
     rows = keyed.join(neighbours.withColumnRenamed("name", "neighbour_name").withColumnRenamed("labels", "neighbour_labels"), "uuid")
     pages = F.greatest(F.lit(1), F.ceil(F.col("degree") / page_size)).cast("long")
     return (
         rows.withColumn("page", F.pmod(F.xxhash64("neighbour"), pages).cast("int"))
-        .groupBy("query_id", "rank", "uuid", "page")
+        .groupBy("uuid", "page")
         .agg(
             F.sort_array(
                 F.collect_list(

@@ -15,7 +15,9 @@ def results_envelope(ranked: DataFrame, method: str, timestamp: Column | None =
 
     The results of a question are limited beforehand (20 candidates or a limit
     up to 100), so a question's list is short. Scored results carry a
-    ``scoring`` struct, plain ones a ``score``.
+    ``scoring`` struct, connections, times and entities, plain ones a ``score``.
+    The connected entities of a node are unbounded and make a table of their own
+    (``search.connection_pages``), written beside this one.
     """
     fields = [
         F.col("rank"), F.col("uuid"), F.col("name"), F.col("summary"), F.col("labels"),
@@ -24,9 +26,13 @@ def results_envelope(ranked: DataFrame, method: str, timestamp: Column | None =
     if "final_score" in ranked.columns:
         fields += [
             scoring().alias("scoring"),
-            F.col("degree").alias("connection_count"),
+            F.struct(
+                F.col("degree").alias("count"),
+                *([F.col("relationship_types")] if "relationship_types" in ranked.columns else []),
+            ).alias("connections"),
             F.struct("created_at", "valid_at", "invalid_at").alias("temporal_info"),
             F.col("recognized_entities"),
+            F.col("all_entities"),
         ]
     else:
         fields.append(F.col("score"))

@@ -136,7 +136,7 @@ def test_question_aware_search(graph, spark):
         search.response(rows, 101)
     envelope = {r.query_id: r for r in results_envelope(rows, "question-aware").collect()}
     assert envelope[1].total_results == 4 and [x["rank"] for x in envelope[1].results] == [1, 2, 3, 4]
-    pages = search.connection_pages(rows.where("query_id = 1"), G.neighbours(nodes, edges), G.degree(nodes, edges), page_size=10).collect()
+    pages = search.connection_pages(rows, G.neighbours(nodes, edges), G.degree(nodes, edges), page_size=10).collect()
     hub = [p for p in pages if p.uuid == "b"]
     assert len(hub) > 1 and sum(len(p.entities) for p in hub) == 32
 
