@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigraph.llm import ann, html, jaccard, licenses, mixing, packing, quality, secrets, spans, toxicity
+from lexigraph.llm import ann, checks, html, jaccard, licenses, mixing, packing, quality, secrets, spans, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_quality_rules")
+@query("op1_quality_rules", checks.QUALITY)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -52,7 +52,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", checks.JACCARD)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

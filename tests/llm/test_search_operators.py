@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from lexigraph.llm import ann, html, jaccard, queries, toxicity
 from lexigraph.llm.components import components
+from oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -345,6 +346,11 @@ def test_pipeline_on_empty_and_null_rows(spark):
         docs = corpus_pipeline.materialize(stage(spark, docs, SF_DIR), name)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_agrees_with_sql(spark, name):
+    assert compare(queries.QUERIES[name](spark, SF_DIR), connect(SF_DIR), queries.ORACLES[name]) is None
+
+
 def test_every_operator_and_the_pipeline_are_registered(spark):
     names = entry.queries()
     assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11)) and "pipeline" in names
