@@ -39,14 +39,10 @@ EPISODE_SQL = f"""turns as (select {TURN_KEY} as episode_id, role, text, turn %
 
 @query("src_episodes", f"with {EPISODE_SQL} select episode_id, type, description, body from episode")
 def episodes(spark, sf):
-    """One JSON array of episodes per conversation, each in its own file."""
+    """Episodes as JSON lines in a fixed number of files, the form for large input."""
     path = scratch_path(spark, "episodes")
-    turns = turn_episodes(spark, sf)
-    arrays = turns.groupBy(F.floor(F.col("episode_id") / 1000).alias("conv_id")).agg(
-        F.to_json(F.collect_list(F.struct(*turns.columns))).alias("value")
-    )
-    arrays.repartition("conv_id").write.partitionBy("conv_id").text(path)
-    found = files.episodes(spark, path + "/*")
+    turn_episodes(spark, sf).repartition(8, "episode_id").write.json(path)
+    found = files.episodes(spark, path, multi_line=False)
     body = F.when(F.col("type") == "json", T.json_to_text(F.col("content"))).otherwise(F.col("content"))
     return found.select("episode_id", "type", "description", body.alias("body"))
 
@@ -144,11 +140,10 @@ def pages(spark, sf):
 
 @query("src_corpus", f"with {WORDS}, {EXTERNAL} select doc_id, keyword, round(score, 6) as score from tfidf")
 def corpus(spark, sf):
-    """The benchmark passages as JSON lists of strings, read back as the corpus of TF-IDF."""
+    """The benchmark passages as a file of JSON strings, read back as the corpus of TF-IDF."""
     path = scratch_path(spark, "corpus")
-    rows = table(spark, sf, "benchmark").groupBy("item_id").agg(F.to_json(F.collect_list("text")).alias("value"))
-    rows.select("value", "item_id").repartition("item_id").write.partitionBy("item_id").text(path)
-    listed = files.corpus(spark, path + "/*")
+    table(spark, sf, "benchmark").select(F.expr("substr(to_json(array(text)), 2, length(to_json(array(text))) - 2)").alias("value")).coalesce(4).write.text(path)
+    listed = files.corpus(spark, path, lines=True)
     return K.tfidf(documents(spark, sf), corpus=listed).withColumn("score", F.round("score", 6))
 
 

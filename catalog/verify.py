@@ -121,3 +121,37 @@ def apply(spark, sf):
     answers = json_answers(spark, sf).select("doc_id", V.json_verdicts(F.col("response")).alias("verdicts"))
     docs = dated_orders(spark, sf).withColumnRenamed("o_orderkey", "doc_id")
     return V.apply_verdicts(docs, answers).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "ner_keywords_deep_verified",
+    f"""with {DATED}, {sentence_cte('dated', 'o_orderkey', 'text')},
+    keyed as (select o_orderkey || ':' || idx as sid, text from sent),
+    {mention_cte('keyed', 'sid', 'text')},
+    ordered as (
+      select cast(split_part(sid, ':', 1) as bigint) as doc_id, cast(split_part(sid, ':', 2) as bigint) as place, text, type,
+             cast(split_part(sid, ':', 2) as bigint) * 10000000 + pass * 1000000 + n as ord, length(text) <> 4 as matched from mention
+    ),
+    summed as (
+      select doc_id, lower(text) as k, sum(w) as score, arg_min(text, ord) as keyword, arg_min(type, ord) as type, min(ord) as ord, bool_or(matched) as matched, list(place) as places
+      from (select *, {weight_sql('type', 'text')} as w from ordered) group by all
+    ),
+    best as (select *, row_number() over (partition by doc_id order by round(score, 4) desc, ord) as rank from summed)
+    select doc_id, rank, keyword, round(least(round(score, 4) / first_value(round(score, 4)) over (partition by doc_id order by rank), 1.0), 4) as score, type,
+      case when matched then 'verified' else 'Not verified' end as status,
+      case when matched then 'found it' else 'Not verified by LLM model LLM - using original classification (' || type || ')' end as reasoning,
+      array_to_string(list_sort(list_distinct(places)), ',') as sentence_indices
+    from best where rank <= 20""",
+)
+def apply_deep(spark, sf):
+    """Verdicts per sentence block, texts in capitals; struck-out years come back as not verified."""
+    docs = dated_orders(spark, sf).withColumnRenamed("o_orderkey", "doc_id")
+    found = docs.select("doc_id", F.explode(E.mentions_in_sentences(F.col("text"))).alias("m"))
+    year = F.length("m.text") == 4
+    verdict = F.struct(
+        F.upper("m.text").alias("text"), F.when(year, "REMOVE").otherwise(F.col("m.type")).alias("type"), (~year).alias("verified"),
+        F.when(year, "just a year").otherwise("found it").alias("reasoning"),
+    )
+    blocks = found.groupBy("doc_id", F.floor(F.col("m.sentence_index") / 2).alias("block_index")).agg(F.collect_list(verdict).alias("verdicts"))
+    rows = V.apply_verdicts(docs, blocks, deep=True)
+    return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("sentence_indices", F.array_join("sentence_indices", ","))

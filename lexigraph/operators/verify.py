@@ -226,6 +226,15 @@ def match_verdict(mention: Column, verdicts: Column) -> Column:
     return let(F.lower(F.trim(mention["text"])), lambda own: let(_normal(mention["text"]), lambda spaced: rules(own, spaced)))
 
 
+def same_text(mention: Column, verdicts: Column) -> Column:
+    """First verdict with the same text, else the first with the same text up to spacing."""
+
+    def first(text: Column) -> Column:
+        return F.get(F.filter(verdicts, lambda v: F.lower(F.trim(v["text"])) == text), F.lit(0))
+
+    return F.coalesce(first(F.lower(F.trim(mention["text"]))), first(_normal(mention["text"])))
+
+
 def apply_verdicts(
     docs: DataFrame,
     verdicts: DataFrame,
@@ -235,13 +244,22 @@ def apply_verdicts(
     model: str = "LLM",
     drop_removed: bool = False,
     extract: E.Extractor = E.pattern_mentions,
+    deep: bool = False,
 ) -> DataFrame:
-    """(key, rank, keyword, score, type, status, reasoning): verified entity keywords.
+    """(key, rank, keyword, score, type, status, reasoning[, sentence_indices]): verified entity keywords.
 
     ``verdicts`` is (key, verdicts) with one row per document: one equi-join,
     then all matching happens inside the row. Removed entities come back as
     not verified unless ``drop_removed`` is set.
+
+    ``deep`` looks sentence by sentence and takes (key, block_index, verdicts),
+    a row per block of a document. The last verdict on a text counts, and texts
+    match exactly or up to spacing; keywords say in which sentences they occur.
     """
+    if deep:
+        ordered = F.sort_array(F.collect_list(F.struct("block_index", "verdicts")))
+        verdicts = verdicts.groupBy(key).agg(F.reverse(F.flatten(F.transform(ordered, lambda b: b["verdicts"]))).alias("verdicts"))
+    match = same_text if deep else match_verdict
     joined = docs.select(key, text).join(verdicts.select(key, "verdicts"), key, "left")
     kept = joined.withColumn("kept", F.coalesce(kept_verdicts(F.col("verdicts"), model), F.expr("cast(array() as array<struct<text:string,type:string,reasoning:string>>)")))
     usable = F.size("kept") > 0
@@ -255,7 +273,7 @@ def apply_verdicts(
                 F.trim(m["text"]).alias("text"),
                 kind.alias("type"),
                 E.keyword_weight(kind, m["text"]).alias("weight"),
-                F.lit(0).alias("sentence_index"),
+                (m["sentence_index"] if deep else F.lit(0)).alias("sentence_index"),
                 v.isNotNull().alias("matched"),
                 F.when(v.isNotNull(), v["reasoning"])
                 .when(
@@ -268,16 +286,17 @@ def apply_verdicts(
                 .alias("reasoning"),
             )
 
-        return let(match_verdict(m, kept_row), with_match)
+        return let(match(m, kept_row), with_match)
 
-    found = extract(F.col(text))
+    found_in = (lambda t: E.mentions_in_sentences(t, extract)) if deep else extract
+    found = found_in(F.col(text))
     if drop_removed:
         struck = F.transform(
             F.filter("verdicts", lambda v: (v["type"] == "REMOVE") | ~v["verified"]), lambda v: F.lower(v["text"])
         )
         found = let(
             F.coalesce(struck, F.expr("cast(array() as array<string>)")),
-            lambda removed: F.filter(extract(F.col(text)), lambda m: ~F.array_contains(removed, F.lower(F.trim(m["text"])))),
+            lambda removed: F.filter(found_in(F.col(text)), lambda m: ~F.array_contains(removed, F.lower(F.trim(m["text"])))),
         )
     judged = let(F.col("kept"), lambda kept_row: F.transform(found, lambda m, i: judge(m, i, kept_row)))
     ranked = rank_keywords(merge_mentions(judged), num_keywords)
@@ -297,4 +316,5 @@ def apply_verdicts(
             )["reasoning"]
         )
         .alias("reasoning"),
+        *(["group.sentence_indices"] if deep else []),
     )
