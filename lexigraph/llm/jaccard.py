@@ -180,7 +180,8 @@ def _survivors(docs: DataFrame, known: DataFrame) -> DataFrame:
     whole = materialize(whole.groupBy("cls").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole-sets")
     lists = _shared(whole.select("cls", "n", F.explode("hashes").alias("hash")))
     covered = lists.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= _need(F.col("n")))
-    return materialize(whole.join(covered.select("cls"), "cls", "left_semi"), "survivors")
+    covered = materialize(covered.select("cls"), "covered")
+    return materialize(whole.join(_bounded(covered, covered.count()), "cls", "left_semi"), "survivors")
 
 
 def _groups(survivors: DataFrame) -> DataFrame:
@@ -284,7 +285,8 @@ def class_links(survivors: DataFrame, groups: DataFrame, block: int = BLOCK) ->
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
     blocks = groups.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("members") / block))
     part = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    members = materialize(survivors.join(blocks, "cls").withColumn("label", F.col("cls")).select("cls", "grp", "blocks", "label", "hashes"), "members")
+    blocks = materialize(blocks.select("cls", "grp", "blocks"), "group-blocks")
+    members = materialize(survivors.join(_bounded(blocks, blocks.count()), "cls").withColumn("label", F.col("cls")).select("cls", "grp", "blocks", "label", "hashes"), "members")
     inside = members.withColumn("task", F.xxhash64("grp", part)).withColumn("side", F.lit(2))
     links = materialize(_search(inside), "links-inside")
     large = members.filter("blocks > 1")
