@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigraph.functions.arrays import let
 from lexigraph.session import materialize
 
-__all__ = ["BLANKS", "WORD", "free_name", "let", "materialize", "word_count", "words"]
+__all__ = ["BLANKS", "WORD", "each", "free_name", "let", "materialize", "word_count", "words"]
 
 # ASCII white space; every other character belongs to a word.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -31,3 +34,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def each(column: pa.Array) -> Iterator:
+    """The values of a batch one at a time, so a batch of long texts is not held twice."""
+    return (value.as_py() for value in column)

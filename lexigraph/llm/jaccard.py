@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexigraph.llm.common import materialize
+from lexigraph.llm.common import each, materialize
 from lexigraph.llm.components import components
 
 WIDTH = 5
@@ -99,7 +99,7 @@ def facts(docs: DataFrame) -> DataFrame:
         hashes = _WordHashes()
         for batch in batches:
             sizes, names = [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 values = shingle_set(text, hashes)
                 sizes.append(len(values))
                 names.append(_class(values) if len(values) else None)
@@ -118,7 +118,7 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
         hashes, seen = _WordHashes(), set()
         for batch in batches:
             names, sizes, lists = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 values = shingle_set(text, hashes)
                 n = len(values)
                 if not n or (name := _class(values)) in seen:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexigraph.llm.common import materialize
+from lexigraph.llm.common import each, materialize
 from lexigraph.llm.jaccard import _WordHashes
 
 # Phrases that count wherever they stand.
@@ -145,7 +145,7 @@ def scan(docs: DataFrame, coverage: float = 0.75) -> DataFrame:
         hashes = _WordHashes()
         for batch in batches:
             lists, facts = [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 words = words_of(text)
                 lists.append(grams(words, hashes))
                 facts.append((len(words), *base(words)))

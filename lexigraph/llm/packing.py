@@ -15,19 +15,20 @@ import base64
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexigraph.llm.common import materialize
+from lexigraph.llm.common import each, materialize
 
 CAPACITY = 2048
 SPECIAL = "<|endoftext|>"
 
-_encoders: dict[tuple[str, str], tuple] = {}
+_encoders: dict[tuple[str, str], Callable[[str], list[int]]] = {}
 
 
 def _encoder(ranks_file: str, tokenizer_file: str):
@@ -40,15 +41,21 @@ def _encoder(ranks_file: str, tokenizer_file: str):
     if key not in _encoders:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(ranks_file), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        coder = Tokenizer.from_file(public_tokenizers.path(tokenizer_file))
-        _encoders[key] = (fast.encode_ordinary, lambda text: coder.encode(text, add_special_tokens=False).ids)
-    fast, full = _encoders[key]
-    return lambda text: full(text) if SPECIAL in text else fast(text)
+        _encoders[key] = lambda text: _full(tokenizer_file)(text) if SPECIAL in text else fast.encode_ordinary(text)
+    return _encoders[key]
+
+
+@lru_cache
+def _full(tokenizer_file: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path(tokenizer_file))
+    return lambda text: coder.encode(text, add_special_tokens=False).ids
 
 
 def pieces(
@@ -81,7 +88,7 @@ def pieces(
         encode = _encoder(ranks_file, tokenizer_file)
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), each(batch.column("text"))):
                 ids = encode(text) if text else []
                 ids.append(0)
                 raw = np.asarray(ids, dtype="<u4").tobytes()

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigraph.llm.common import materialize
+from lexigraph.llm.common import each, materialize
 from lexigraph.llm.jaccard import _WordHashes
 
 PIECE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -75,7 +75,7 @@ def spans(docs: DataFrame, least_sentences: int = 3, least_words: int = 16) -> D
         for batch in batches:
             found: list[tuple[int, int, int]] = []
             rows = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(each(batch.column("text"))):
                 if text:
                     _, ends, h = sentences(text, hashes)
                     mine = list(runs(ends, h, least_sentences, least_words))
@@ -123,7 +123,7 @@ def deduplicate(docs: DataFrame, least_sentences: int = 3, least_words: int = 16
         hashes = _WordHashes()
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            for text, gone in zip(each(batch.column("text")), batch.column("gone").to_pylist()):
                 if not text:
                     texts.append(text)
                     counts.append(0)
