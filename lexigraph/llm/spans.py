@@ -18,52 +18,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexigraph.llm.common import each, materialize
-from lexigraph.llm.jaccard import _WordHashes
+from lexigraph.llm.jaccard import WORD_CACHE
 
 PIECE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 CLOSERS = "\"')]}»”’"
 ONE_IN = 16
 
 
-def sentences(text: str, hashes: dict) -> tuple[list[str], list[int], np.ndarray]:
-    """Words with the white space after them, where sentences end (exclusive word positions), and word hashes."""
-    pieces = PIECE.findall(text)
-    words = [p.rstrip(" \t\n\x0b\f\r") for p in pieces]
-    h = np.fromiter((hashes[w.encode("utf-8", "surrogatepass")] for w in words), dtype=np.uint64, count=len(words))
-    cut = (h >> np.uint64(20)) % np.uint64(ONE_IN) == 0
-    for i, (piece, word) in enumerate(zip(pieces, words)):
-        if word.rstrip(CLOSERS)[-1:] in (".", "!", "?") or "\n" in piece[len(word) :]:
-            cut[i] = True
-    if len(words):
-        cut[-1] = True
-    return pieces, (np.flatnonzero(cut) + 1).tolist(), h
-
-
-def runs(ends: list[int], h: np.ndarray, least_sentences: int, least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, sentence after the last): from each sentence the shortest run with so many sentences and words."""
-    # the hash of words i..j-1 is a difference of running hashes (Horner's rule modulo 2^64)
-    base = 0x9E3779B97F4A7C15
-    mask = (1 << 64) - 1
-    value, sums = 0, [0]
-    for x in h.tolist():
-        value = (value * base + (x | 1)) & mask
-        sums.append(value)
-    powers = [1]
-    starts = [0, *ends[:-1]]
-    stop = 0
-    for first, start in enumerate(starts):
-        stop = max(stop, first + least_sentences)
-        while stop <= len(ends) and ends[stop - 1] - start < least_words:
-            stop += 1
-        if stop > len(ends):
-            return
-        n = ends[stop - 1] - start
-        while len(powers) <= n:
-            powers.append((powers[-1] * base) & mask)
-        mixed = (sums[ends[stop - 1]] - sums[start] * powers[n]) & mask
-        mixed = ((mixed ^ (mixed >> 31)) * 0xBF58476D1CE4E5B9 + n) & mask
-        mixed ^= mixed >> 29
-        yield (mixed - (1 << 64) if mixed >> 63 else mixed), first, stop
+class Words(dict):
+    """word -> 64-bit hash whose lowest bit says that a sentence, or a part of a long one, ends after the word."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word)
+        last = word.decode("utf-8", "surrogatepass").rstrip(CLOSERS)[-1:]
+        value = self[word] = value | 1 if last in (".", "!", "?") or (value >> 20) % ONE_IN == 0 else value & ~1
+        return value
+
+
+def sentences(text: str, known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where sentences end (exclusive word positions) and word hashes; a line ends a sentence too."""
+    words: list[bytes] = []
+    lines = []
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        words += line.split()
+        lines.append(len(words))
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    cut = np.append(False, (h & np.uint64(1)).astype(bool))
+    cut[lines] = True
+    cut[0] = False
+    return np.flatnonzero(cut), h
+
+
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+BASE = 0x9E3779B97F4A7C15
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """BASE ** i and its inverse modulo 2^64, for i below n at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers
+
+
+def runs(ends: np.ndarray, h: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first sentence, sentence after the last): from each sentence the shortest run with so many sentences and words.
+
+    The hash of words i..j-1 is a difference of running sums, moved to i = 0.
+    """
+    first = np.arange(len(ends))
+    start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    stop = np.maximum(first + least_sentences, np.searchsorted(ends, start + least_words, "left") + 1)
+    whole = stop <= len(ends)
+    first, start, stop = first[whole], start[whole], stop[whole]
+    power, inverse = _powers_to(len(h) + 1)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
+    end = ends[stop - 1]
+    mixed = (total[end] - total[start]) * inverse[start]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (end - start).astype(np.uint64)
+    mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.int64), first, stop
 
 
 def spans(docs: DataFrame, least_sentences: int = 3, least_words: int = 16) -> DataFrame:
@@ -71,24 +91,23 @@ def spans(docs: DataFrame, least_sentences: int = 3, least_words: int = 16) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        known = Words()
+        none = np.empty(0, dtype=np.int64)
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            rows = []
+            parts, rows = [(none, none, none)], [none]
             for i, text in enumerate(each(batch.column("text"))):
                 if text:
-                    _, ends, h = sentences(text, hashes)
-                    mine = list(runs(ends, h, least_sentences, least_words))
-                    found += mine
-                    rows += [i] * len(mine)
-            take = pa.array(rows, pa.int32())
+                    parts.append(runs(*sentences(text, known), least_sentences, least_words))
+                    rows.append(np.full(len(parts[-1][0]), i))
+            take = pa.array(np.concatenate(rows))
+            run, first, stop = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(take),
                     batch.column("text_hash").take(take),
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([f[1] for f in found], pa.int32()),
-                    pa.array([f[2] for f in found], pa.int32()),
+                    pa.array(run, pa.int64()),
+                    pa.array(first.astype(np.int32)),
+                    pa.array(stop.astype(np.int32)),
                 ],
                 ["doc_id", "text_hash", "run", "first", "stop"],
             )
@@ -120,22 +139,19 @@ def deduplicate(docs: DataFrame, least_sentences: int = 3, least_words: int = 16
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        known = Words()
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, gone in zip(each(batch.column("text")), batch.column("gone").to_pylist()):
-                if not text:
-                    texts.append(text)
-                    counts.append(0)
-                    removed.append(0)
-                    continue
-                pieces, ends, _ = sentences(text, hashes)
+            for text, gone in zip(each(batch.column("text")), each(batch.column("gone"))):
+                ends = sentences(text, known)[0] if text else []
                 out = np.zeros(len(ends), dtype=bool)
                 for span in gone or ():
                     out[span["first"] : span["stop"]] = True
                 if out.any():
+                    pieces = PIECE.findall(text)
                     lead = text[: len(text) - sum(map(len, pieces))]
-                    text = lead + "".join("".join(pieces[a:b]) for a, b, o in zip([0, *ends], ends, out) if not o)
+                    starts = [0, *ends[:-1].tolist()]
+                    text = lead + "".join("".join(pieces[a:b]) for a, b, o in zip(starts, ends.tolist(), out) if not o)
                 texts.append(text)
                 counts.append(len(ends))
                 removed.append(int(out.sum()))
