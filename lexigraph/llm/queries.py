@@ -44,7 +44,7 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.deduplicate(table(spark, sf_dir, "documents"))
+    return spans.deduplicate(table(spark, sf_dir, "documents"), closing=True)
 
 
 @query("op4_license_scan")

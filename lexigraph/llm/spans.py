@@ -1,8 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; long ones are cut further after words whose hash
-says so, which depends on the words alone, so a passage is cut alike wherever it
-stands. Every run of several consecutive sentences is hashed, all runs are
+A text is cut into sentences, and these further after each word whose hash is the
+least of WINDOW words in a row. That depends on the words alone, so a passage is
+cut alike wherever it stands, and of any WINDOW words one ends a part: a passage
+of 2 * WINDOW + 24 words or more is found and loses all but WINDOW words at
+either end. Runs of several consecutive sentences are hashed, all runs are
 joined globally, and the sentences of a run that is not the first of its kind
 go. What is cut is put together again unchanged, so a text without repeated
 runs stays as it was, byte for byte.
@@ -22,11 +24,11 @@ from lexigraph.llm.jaccard import WORD_CACHE
 
 PIECE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 CLOSERS = "\"')]}»”’"
-ONE_IN = 16
+WINDOW = 8  # a power of two
 
 
 class Words(dict):
-    """word -> 64-bit hash whose lowest bit says that a sentence, or a part of a long one, ends after the word."""
+    """word -> 64-bit hash whose lowest bit says that a sentence ends after the word."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -35,10 +37,24 @@ class Words(dict):
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         last = word.decode("utf-8", "surrogatepass").rstrip(CLOSERS)[-1:]
-        value = self[word] = value | 1 if last in (".", "!", "?") or (value >> 20) % ONE_IN == 0 else value & ~1
+        value = self[word] = value | 1 if last in (".", "!", "?") else value & ~1
         return value
 
 
+def least(x: np.ndarray) -> np.ndarray:
+    """Which values are the least of some WINDOW values in a row, by sliding minima and the sliding maxima of these."""
+    if len(x) < WINDOW:
+        return np.zeros(len(x), dtype=bool)
+    low, step = x, 1
+    while step < WINDOW:
+        low, step = np.minimum(low[:-step], low[step:]), 2 * step
+    none = np.zeros(WINDOW - 1, dtype=x.dtype)
+    high, step = np.concatenate([none, low, none]), 1
+    while step < WINDOW:
+        high, step = np.maximum(high[:-step], high[step:]), 2 * step
+    return high == x
+
+
 def sentences(text: str, known: Words) -> tuple[np.ndarray, np.ndarray]:
     """Where sentences end (exclusive word positions) and word hashes; a line ends a sentence too."""
     words: list[bytes] = []
@@ -47,7 +63,7 @@ def sentences(text: str, known: Words) -> tuple[np.ndarray, np.ndarray]:
         words += line.split()
         lines.append(len(words))
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    cut = np.append(False, (h & np.uint64(1)).astype(bool))
+    cut = np.append(False, (h & np.uint64(1)).astype(bool) | least(h >> np.uint64(1)))
     cut[lines] = True
     cut[0] = False
     return np.flatnonzero(cut), h
@@ -67,26 +83,34 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def runs(ends: np.ndarray, h: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(ends: np.ndarray, h: np.ndarray, least_sentences: int, least_words: int, closing: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first sentence, sentence after the last): from each sentence the shortest run with so many sentences and words.
 
-    The hash of words i..j-1 is a difference of running sums, moved to i = 0.
+    With ``closing`` also the shortest run that ends with each sentence, where it
+    is another. The hash of words i..j-1 is a difference of running sums, moved to i = 0.
     """
     first = np.arange(len(ends))
     start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     stop = np.maximum(first + least_sentences, np.searchsorted(ends, start + least_words, "left") + 1)
     whole = stop <= len(ends)
-    first, start, stop = first[whole], start[whole], stop[whole]
+    if closing:
+        last = first + 1
+        opens = np.minimum(last - least_sentences, np.searchsorted(start, ends - least_words, "right") - 1)
+        new = opens >= 0
+        new[new] = stop[opens[new]] != last[new]
+        first, stop = np.concatenate([first[whole], opens[new]]), np.concatenate([stop[whole], last[new]])
+    else:
+        first, stop = first[whole], stop[whole]
+    start, end = start[first], ends[stop - 1]
     power, inverse = _powers_to(len(h) + 1)
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
-    end = ends[stop - 1]
     mixed = (total[end] - total[start]) * inverse[start]
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (end - start).astype(np.uint64)
     mixed ^= mixed >> np.uint64(29)
     return mixed.view(np.int64), first, stop
 
 
-def spans(docs: DataFrame, least_sentences: int = 3, least_words: int = 16) -> DataFrame:
+def spans(docs: DataFrame, least_sentences: int = 3, least_words: int = 16, closing: bool = False) -> DataFrame:
     """(doc_id, text_hash, run, first, stop) of every run of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -97,7 +121,7 @@ def spans(docs: DataFrame, least_sentences: int = 3, least_words: int = 16) -> D
             parts, rows = [(none, none, none)], [none]
             for i, text in enumerate(each(batch.column("text"))):
                 if text:
-                    parts.append(runs(*sentences(text, known), least_sentences, least_words))
+                    parts.append(runs(*sentences(text, known), least_sentences, least_words, closing))
                     rows.append(np.full(len(parts[-1][0]), i))
             take = pa.array(np.concatenate(rows))
             run, first, stop = (np.concatenate(x) for x in zip(*parts))
@@ -116,23 +140,25 @@ def spans(docs: DataFrame, least_sentences: int = 3, least_words: int = 16) -> D
     return hashed.mapInArrow(read, f"doc_id {kind}, text_hash long, run long, first int, stop int")
 
 
-def deduplicate(docs: DataFrame, least_sentences: int = 3, least_words: int = 16) -> DataFrame:
+def deduplicate(docs: DataFrame, least_sentences: int = 3, least_words: int = 16, closing: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without repeated spans, n_sentences, n_removed.
 
     ``docs`` needs doc_id and text; other columns are ignored. Of equal runs the
     one with the smallest id, then place, stays. A null text stays null, an
-    empty one empty, both with no sentences. Rows with equal id and text share
-    their fate. Runs of a hot passage are combined before they are shuffled, and
-    the join with the repeated runs is one that adaptive execution can split.
+    empty one empty, both with no sentences. With ``closing`` the shortest runs
+    that end with a sentence count too, so the end of a passage goes like its
+    start. Rows with equal id and text share their fate. Runs are counted before
+    places move, those of a hot passage are combined before they are shuffled, and
+    the joins with the repeated runs are ones that adaptive execution can split.
     """
     plain = docs.select("doc_id", "text")
-    found = spans(plain, least_sentences, least_words)
+    found = spans(plain, least_sentences, least_words, closing)
     place = F.struct(F.col("doc_id"), F.col("first"), F.col("text_hash"))
-    repeated = materialize(
-        found.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keep")).filter("n > 1").select("run", "keep"), "repeated-runs"
-    )
+    repeated = materialize(found.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"), "repeated-runs")
+    hits = materialize(found.join(repeated, "run"), "repeated-places")
+    keep = materialize(hits.groupBy("run").agg(F.min(place).alias("keep")), "first-places")
     # min over structs puts a null id first, so equality has to be null-safe as well
-    later = found.join(repeated, "run").filter(~place.eqNullSafe(F.col("keep")))
+    later = hits.join(keep, "run").filter(~place.eqNullSafe(F.col("keep")))
     gone = later.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("first", "stop")).alias("gone"))
     hashed = plain.withColumn("text_hash", F.xxhash64("text"))
     joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "gone")

@@ -326,6 +326,32 @@ def test_passage_stays_once_wherever_it_stands(spark):
     assert left < 25 and "another start" in rows[2]["text"] and "Another end." in rows[2]["text"]
 
 
+@pytest.mark.parametrize("size", [51, 60, 80])
+def test_planted_passages_lose_all_but_edge_words(spark, size):
+    """Passages without a stop inside other sentences, 100 of a size: each second copy keeps at most WINDOW words at either end."""
+    texts = []
+    for n in range(100):
+        passage = " ".join(f"p{n}x{size}x{i}" for i in range(size))
+        for copy in "ab":
+            own = [f"{copy}{n}o{size}o{i}" for i in range(60 + n)]
+            texts.append((len(texts), " ".join(own[: 20 + n % 17]) + f" {passage} " + " ".join(own[20 + n % 17 :]) + "."))
+    rows = {r["doc_id"]: r["text"] for r in spans.deduplicate(spark.createDataFrame(texts, "doc_id long, text string"), closing=True).collect()}
+    for doc, text in texts:
+        words = rows[doc].split()
+        left = [int(w.split("x")[2]) for w in words if w.startswith("p")]
+        if doc % 2 == 0:
+            assert rows[doc] == text
+        else:
+            assert all(i < 8 or i >= size - 8 for i in left), (doc, left)
+            assert len(words) - len(left) == len(text.split()) - size
+
+
+def test_a_copy_goes_to_its_last_word(spark):
+    text = " ".join(f"c{i}." for i in range(40)) + " " + " ".join(f"d{i}" for i in range(10)) + ". Go. On. Now."
+    rows = {r["doc_id"]: r for r in spans.deduplicate(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), closing=True).collect()}
+    assert rows[1]["text"] == text and rows[2]["text"] == "" and rows[2]["n_removed"] == rows[2]["n_sentences"]
+
+
 def test_spans_agree_with_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in documents(spark).collect()}
     places, cut = defaultdict(list), {}
