@@ -45,7 +45,7 @@ BASE = tuple(k.name for k in KINDS if not k.weak)
 ASSIGN_VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?(.+)$"""
 
 # What makes a weak part of a role a finding: a part of one of these roles nearby.
-COMPLEMENTS = {"secret": ("identifier",), "identifier": ("secret",), "endpoint": ("secret",)}
+COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
 
 
 def _found(text: Column, kind: Kind, number: int) -> Column:

@@ -202,6 +202,14 @@ def test_weak_parts_count_only_together(spark):
     assert kinds == {1: [], 2: ["access", "random"], 3: [], 4: [], 5: ["endpoint", "assign"]}
 
 
+def test_a_random_token_beside_an_endpoint_counts_and_is_masked(spark):
+    weak = "aB3dE5gH7jK9mN1pQ3rS5tU7vW9xY1zA3bC5dE7f"
+    docs = spark.createDataFrame([(1, f"https://db.example.com/path {weak} end"), (2, f"{weak}, host=db.example.com end")], "doc_id long, text string")
+    kinds = {r["doc_id"]: [secrets.KINDS[s["kind"]].name for s in r["spans"]] for r in secrets.scan(docs).collect()}
+    assert kinds == {1: ["endpoint", "random"], 2: ["random", "endpoint"]}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == {1: "[secret] [secret] end", 2: "[secret], [secret] end"}
+
+
 def test_redact_masks_and_keeps_the_rest(spark, odd):
     docs = spark.createDataFrame([(1, 'a token = "abcdef123" b', 23), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars int")
     rows = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
