@@ -4,7 +4,7 @@ Three base kinds are found by pattern alone. Weak parts (a random-looking
 token, a user name, an address of a service) mean nothing alone; they become
 findings only where complementary parts stand together: an access identifier or
 user with a secret, or a secret with an endpoint. Parts are joined by interval:
-two parts are together when their starts are within ``scope`` characters.
+two parts are together when the gap between them is at most ``scope`` characters.
 
 Positions come from splitting a text at the matches and adding up lengths, so
 everything stays in DataFrame functions. Only texts that hold a part leave
@@ -14,6 +14,7 @@ their row; the others are never shuffled with their text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -83,18 +84,27 @@ def parts(docs: DataFrame, key: list[str], kinds: tuple[Kind, ...] = KINDS) -> D
 def link(found: DataFrame, key: list[str], scope: int = 200, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """Parts that count: the strong ones, and weak ones with a complement within ``scope`` characters.
 
-    The interval join is a window over each text's parts in order of start whose
-    frame is the scope, so no pairs are formed however many parts a text has.
+    The interval join is a running maximum of stop per role over the parts that
+    start before, and a running minimum of start over those that start after, so
+    no pairs are formed however many parts a text has.
     """
     role = F.element_at(F.array(*[F.lit(k.role) for k in kinds]), F.col("kind") + 1)
     weak = F.element_at(F.array(*[F.lit(k.weak) for k in kinds]), F.col("kind") + 1)
-    near = Window.partitionBy(*key).orderBy("start").rangeBetween(-scope, scope)
+    place = ["start", "stop", "kind"]
+    before = Window.partitionBy(*key).orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in place]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = found.withColumn("_role", role)
     for name in sorted({k.role for k in kinds}):
-        seen = seen.withColumn(f"_near_{name}", F.max(F.when(F.col("_role") == name, 1)).over(near) == 1)
+        mine = F.col("_role") == name
+        seen = seen.withColumn(f"_stop_{name}", F.max(F.when(mine, F.col("stop"))).over(before))
+        seen = seen.withColumn(f"_start_{name}", F.min(F.when(mine, F.col("start"))).over(after))
+
+    def near(other: str) -> Column:
+        return F.coalesce(F.col(f"_stop_{other}") >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.col(f"_start_{other}") <= F.col("stop") + scope, F.lit(False))
+
     together = F.lit(False)
     for name, others in COMPLEMENTS.items():
-        together = together | ((F.col("_role") == name) & F.coalesce(F.greatest(*[F.col(f"_near_{o}") for o in others], F.lit(False)), F.lit(False)))
+        together = together | ((F.col("_role") == name) & reduce(Column.__or__, map(near, others)))
     return seen.filter(~weak | together).select(*key, "kind", "start", "stop", together.alias("linked"))
 
 

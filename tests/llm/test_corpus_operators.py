@@ -210,6 +210,14 @@ def test_a_random_token_beside_an_endpoint_counts_and_is_masked(spark):
     assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == {1: "[secret] [secret] end", 2: "[secret], [secret] end"}
 
 
+def test_scope_is_the_gap_between_parts(spark):
+    weak = "aB3dE5gH7jK9mN1pQ3rS5tU7vW9xY1zA3bC5dE7f"
+    url = "https://db.example.com/" + "path/" * 60
+    texts = [f"{url} {weak}", f"{weak * 8} user=carol", f"user=carol {'x' * 198} {weak}", f"user=carol {'x' * 199} {weak}", f"{weak} {'x' * 198} {url}"]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: len(r["spans"]) for r in rows} == {0: 2, 1: 2, 2: 2, 3: 0, 4: 2}
+
+
 def test_redact_masks_and_keeps_the_rest(spark, odd):
     docs = spark.createDataFrame([(1, 'a token = "abcdef123" b', 23), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars int")
     rows = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
