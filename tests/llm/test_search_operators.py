@@ -213,6 +213,16 @@ def test_blocks_of_a_page(page, text):
     assert html.choose(html.blocks(page)) == text
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "content-sidebar-wrap", "comments-open", "layout sidebar"])
+def test_a_name_around_an_article_does_not_take_it(name):
+    assert html.choose(html.blocks(f"<div class='{name}'><div class=menu>m</div><article><p>x</p><p class=ad>y</p></article><p>z</p></div>")) == "x"
+
+
+def test_names_around_other_blocks():
+    assert html.choose(html.blocks("<body><div class='has-sidebar comments-open'><p>x</p><div class=left-sidebar>s</div><div id=widget-2>w</div></div>")) == "x"
+    assert html.choose(html.blocks("<article>x</article><div class=related><article>teaser</article></div>")) == "x"
+
+
 def host_pages():
     """Pages without an article mark: own text, a notice all share, a run two of them share."""
     own = {i: " ".join(f"p{i}w{j}" for j in range(30)) for i in range(6)}
