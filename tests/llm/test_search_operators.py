@@ -240,6 +240,14 @@ def test_host_repeats_go_and_own_text_stays(spark, most):
     assert found[10] == found[11] == found[12] and own[0] in found[10] and "this site" in found[10]
 
 
+@pytest.mark.parametrize("most", [4_000_000, 1])
+def test_a_page_under_two_addresses_keeps_its_text(spark, most):
+    rows, own = host_pages()
+    rows += [(20 + i, f"{url}?ref=x", page) for i, url, page in rows[2:4]]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most_tokens=most).collect()}
+    assert found == own | {22: own[2], 23: own[3]}
+
+
 def test_covered_tokens_agree_with_brute_force():
     draw = random.Random(2)
     for _ in range(20):
