@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigraph.llm import ann, checks, html, jaccard, licenses, mixing, packing, quality, secrets, spans, toxicity
+from lexigraph.llm import align, ann, checks, html, jaccard, licenses, mixing, packing, quality, secrets, spans, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +98,8 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.digest(base), 256).alias("base_sha256"),
         secrets.digest(F.col("spans")).alias("spans"),
     )
+
+
+@query("op13_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
