@@ -53,3 +53,38 @@ def _quality(alpha: float = 0.05, delta: float = 0.05) -> str:
 
 
 QUALITY = _quality()
+
+# crc32 of the decimal id, bit by bit: a byte is taken in, then eight times a bit is shifted out (-1)
+_CRC = """xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))]),
+      lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295)"""
+
+TRIE = f"""with turned as (
+      select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+      from conversations where conv_id is not null),
+    conv as (select conv_id, conv_id - conv_id % 100 as base, {_CRC} % 6 as h from (select distinct conv_id from turned)),
+    rebuilt as (
+      select c.conv_id, t.pos as d, t.role, t.text from conv c join turned t on t.conv_id = c.base where t.pos <= c.h
+      union all
+      select c.conv_id, (select count(*) from turned b where b.conv_id = c.base and b.pos <= c.h) + t.pos - c.h, t.role, t.text
+      from conv c join turned t using (conv_id) where t.pos > c.h),
+    prefix as (
+      select conv_id, 0 as d, '' as node, 0 as chars from conv
+      union all
+      select conv_id, d, string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+        over (partition by conv_id order by d rows between unbounded preceding and current row), length(text) from rebuilt),
+    size as (select conv_id, max(d) as n from prefix group by conv_id),
+    node as (
+      select d, node, min(prefix.conv_id) as conv_id, count(*) as n_convs, max(chars) as chars, max(n) as deepest,
+        coalesce(string_agg(case when d = n then cast(prefix.conv_id as varchar) end, ',' order by prefix.conv_id), '') as ends
+      from prefix join size on size.conv_id = prefix.conv_id group by d, node),
+    up as (select b.d, b.node, a.conv_id as parent_conv_id, a.node as parent
+      from node b join prefix p on p.conv_id = b.conv_id and p.d = b.d - 1 join node a on a.d = p.d and a.node = p.node),
+    child as (select d - 1 as d, parent as node, count(*) as n_children from up group by all),
+    below as (
+      select p.d, p.node, sum((v.n_convs - 1) * v.chars) as saved_tokens, sum(cast(v.deepest = v.d as int)) as n_leaves
+      from prefix p join prefix q on q.conv_id = p.conv_id and q.d >= p.d join node v on v.conv_id = q.conv_id and v.d = q.d and v.node = q.node group by p.d, p.node)
+    select node.conv_id, cast(node.d as bigint) as depth, parent_conv_id, n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves,
+      cast(saved_tokens as bigint) as saved_tokens, sha256(ends) as ends_sha256
+    from node left join up on up.d = node.d and up.node = node.node left join child on child.d = node.d and child.node = node.node
+    join below on below.d = node.d and below.node = node.node"""

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexigraph.functions.arrays import let
 from lexigraph.session import materialize
 
-__all__ = ["BLANKS", "WORD", "each", "free_name", "let", "materialize", "word_count", "words"]
+__all__ = ["BATCH_ROWS", "BLANKS", "WORD", "batches_of", "each", "free_name", "let", "materialize", "word_count", "words"]
 
 # ASCII white space; every other character belongs to a word.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -39,3 +40,18 @@ def free_name(df: DataFrame, name: str) -> str:
 def each(column: pa.Array) -> Iterator:
     """The values of a batch one at a time, so a batch of long texts is not held twice."""
     return (value.as_py() for value in column)
+
+
+BATCH_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Texts that are written inside go to the Python workers so many at a time, which bounds what both sides hold."""
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
