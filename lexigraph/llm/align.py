@@ -3,13 +3,13 @@
 Both tokenizers read the whole text. Where both have a token that ends at the
 same byte and the next token of both starts with a space, the text is split:
 between two such anchors stands a window, a tuple of ids of the first tokenizer
-beside a tuple of ids of the second. Windows repeat all over a corpus, so the
-alignment of a window (its groups and its linked id pairs) is worked out once
-and remembered by its id tuples.
+beside a tuple of ids of the second. Windows repeat all over a corpus, so windows
+with equal id tuples are one kind, and its alignment (groups and linked id pairs)
+is worked out once in a chunk.
 
 A task reads its texts in chunks of bounded size and writes for each text the
-numbers of its windows, for each chunk its distinct windows and how often each
-id pair is linked. Counts of the corpus are sums of these small tables, and come
+kinds of its windows, for each chunk its kinds and how often each id pair is
+linked. Counts of the corpus are sums of these small tables, and come
 back to the chunks by a join of chunk and pair, never of text and pair.
 """
 
@@ -26,11 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexigraph.llm.common import each, materialize
+from lexigraph.llm.common import BATCH_ROWS, batches_of, each, materialize
 
 CHUNK_TOKENS = 1_500_000  # of the first tokenizer, in a chunk; one longer text is a chunk of its own
 CHUNK_TEXTS = 20_000
-MEMO = 200_000  # windows a worker remembers
 SHIFT = 1 << 24  # pair = first id * SHIFT + second id; a vocabulary has fewer ids than this
 
 
@@ -53,8 +52,8 @@ class Coders:
         self.bytes = b
         self.sizes = [np.array([len(x) for x in v], dtype=np.int64) for v in (a, b)]
         self.spaced = [np.array([x[:1] == b" " for x in v]) for v in (a, b)]
-        self.plain_sizes = [s.tolist() for s in self.sizes]
-        self.names = [[str(i) for i in range(len(v))] for v in (a, b)]
+        signs = ((",", "|"), (",", ";"))  # inside a group, at its end
+        self.names = [np.array([f"{i}{sign}" for i in range(len(v)) for sign in s], dtype=object) for v, s in zip((a, b), signs)]
 
     def _bytes(self, i: int) -> bytes:
         piece = self.second.id_to_piece(i)
@@ -81,32 +80,28 @@ def coders(ranks_file: str, pieces_file: str) -> Coders:
     return _coders[key]
 
 
-def align_window(a: list[int], b: list[int], coder: Coders) -> tuple[str, list[int], int]:
-    """(groups as text, linked pairs in order, number of groups) of one window."""
-    size_a, size_b = coder.plain_sizes
-    name_a, name_b = coder.names
-    links, groups = [], []
-    i = j = from_a = from_b = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        links.append(a[i] * SHIFT + b[j])
-        if end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-        elif end_b < end_a:
-            j += 1
-            end_b += size_b[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            if i - from_a == 1 and j - from_b == 1:
-                groups.append(f"{name_a[a[from_a]]}|{name_b[b[from_b]]}")
-            else:
-                groups.append(",".join([name_a[x] for x in a[from_a:i]]) + "|" + ",".join([name_b[x] for x in b[from_b:j]]))
-            if i == len(a):
-                return ";".join(groups), links, len(groups)
-            from_a, from_b = i, j
-            end_a += size_a[a[i]]
-            end_b += size_b[b[j]]
+def align_windows(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray, coder: Coders) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(groups as text, number of groups, linked pairs, where a window's pairs end) of windows laid one behind the other.
+
+    Every byte where either sequence has an end closes a link of the two tokens that cover it; where both have, a group ends.
+    """
+    end_a, end_b = np.cumsum(coder.sizes[0][a]), np.cumsum(coder.sizes[1][b])
+    ends = np.zeros(end_a[-1] + 1, dtype=np.uint8)
+    ends[end_a] = 1
+    ends[end_b] += 1
+    closed = np.flatnonzero(ends)
+    pairs = a[np.searchsorted(end_a, closed)].astype(np.int64) * SHIFT + b[np.searchsorted(end_b, closed)]
+    upto = np.searchsorted(closed, end_a[stop_a - 1], "right")
+    last_a, last_b = ends[end_a] > 1, ends[end_b] > 1
+    per_window = np.diff(np.cumsum(last_a)[stop_a - 1], prepend=0)
+    # the text: of each group the first tokens, then the second ones, each name with the sign that follows it
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    names = np.empty(len(a) + len(b), dtype=object)
+    names[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = coder.names[0][2 * a + last_a]
+    names[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = coder.names[1][2 * b + last_b]
+    parts, cut = names.tolist(), (stop_a + stop_b).tolist()
+    texts = ["".join(parts[i:j])[:-1] for i, j in zip([0, *cut], cut)]
+    return texts, per_window, pairs, upto
 
 
 def windows(a: np.ndarray, b: np.ndarray, coder: Coders, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +139,39 @@ def _mix(ids: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _by_frequency(first: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent kinds get small numbers, which compress well."""
+    order = np.argsort(-np.bincount(kind, minlength=len(first)), kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[kind]
+
+
+def _picked(ids: np.ndarray, stop: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the chosen windows one behind the other, where each ends)."""
+    start = np.concatenate([[0], stop[:-1]])[chosen]
+    size = stop[chosen] - start
+    cut = np.cumsum(size)
+    return ids[np.repeat(start - (cut - size), size) + np.arange(cut[-1])], cut
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Window numbers of a text, compressed: they are the bulk of what is written and moved."""
+    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), dtype="<i4") if n else np.empty(0, dtype=np.int32)
+
+
+NO_WINDOWS = b""
+
+
 class Chunk:
     """Texts of one chunk, and the rows they give."""
 
-    def __init__(self, number: int, coder: Coders, memo: dict, digest: bool):
-        self.number, self.coder, self.memo, self.digest = number, coder, memo, digest
+    def __init__(self, number: int, coder: Coders, digest: bool):
+        self.number, self.coder, self.digest = number, coder, digest
         self.docs: list = []
         self.ids: list[tuple[np.ndarray, np.ndarray] | None] = []
         self.tokens = 0
@@ -162,31 +185,19 @@ class Chunk:
     def full(self) -> bool:
         return self.tokens >= CHUNK_TOKENS or len(self.docs) >= CHUNK_TEXTS
 
-    def _aligned(self, a: list[int], b: list[int]):
-        key = (tuple(a), tuple(b))
-        found = self.memo.get(key)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            found = self.memo[key] = align_window(a, b, self.coder)
-        return found
-
     def rows(self) -> list[dict]:
         read = [n for n, x in enumerate(self.ids) if x]
-        out = [{"chunk": self.number, "doc_id": d, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups": "", "windows": []} for d in self.docs]
+        out = [{"chunk": self.number, "doc_id": d, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "n_windows": 0, "groups": "", "windows": NO_WINDOWS} for d in self.docs]
         if not read:
             return out
         a, b = (np.concatenate([self.ids[n][k] for n in read]) for k in (0, 1))
         upto = np.cumsum([len(self.ids[n][0]) for n in read])
         stop_a, stop_b = windows(a, b, self.coder, np.cumsum(self.coder.sizes[0][a])[upto - 1])
-        first, kind = distinct(a, b, stop_a, stop_b)
-        start_a, start_b = np.concatenate([[0], stop_a[:-1]])[first].tolist(), np.concatenate([[0], stop_b[:-1]])[first].tolist()
-        all_a, all_b = a.tolist(), b.tolist()
-        spans = zip(start_a, stop_a[first].tolist(), start_b, stop_b[first].tolist())
-        found = [self._aligned(all_a[i:j], all_b[k:m]) for i, j, k, m in spans]
-        texts, links, groups = [x[0] for x in found], [x[1] for x in found], np.array([x[2] for x in found])
-        ends = np.cumsum([len(x) for x in links])
-        pairs, link = np.unique(np.fromiter((p for x in links for p in x), dtype=np.int64, count=int(ends[-1])), return_inverse=True)
+        first, kind = _by_frequency(*distinct(a, b, stop_a, stop_b))
+        # one window of each kind stands for all
+        (own_a, cut_a), (own_b, cut_b) = (_picked(x, stop, first) for x, stop in ((a, stop_a), (b, stop_b)))
+        texts, groups, links, ends = align_windows(own_a, own_b, cut_a, cut_b, self.coder)
+        pairs, link = np.unique(links, return_inverse=True)
         times = np.repeat(np.bincount(kind, minlength=len(first)), np.diff(ends, prepend=0))
         counts = np.bincount(link, weights=times, minlength=len(pairs)).astype(np.int64)
         cut = np.searchsorted(stop_a, upto, "left") + 1
@@ -197,7 +208,7 @@ class Chunk:
             text = ";".join(map(texts.__getitem__, mine.tolist()))
             n_a, n_b = (len(x) for x in self.ids[n])
             n_groups = int(per_window[stop] - per_window[start])
-            out[n] |= {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups, "windows": mine.astype(np.int32)}
+            out[n] |= {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups, "n_windows": stop - start, "windows": _packed(mine)}
             out[n]["groups"] = hashlib.sha256(text.encode()).hexdigest() if self.digest else text
             start = stop
         out.append({"chunk": self.number, "pairs": pairs, "counts": counts, "ends": ends.astype(np.int32), "link": link.astype(np.int32)})
@@ -205,10 +216,10 @@ class Chunk:
 
 
 def _schema(doc_id: T.DataType) -> T.StructType:
-    numbers = [T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")]
-    arrays = [("windows", T.IntegerType()), ("pairs", T.LongType()), ("counts", T.LongType()), ("ends", T.IntegerType()), ("link", T.IntegerType())]
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_windows")]
+    arrays = [("pairs", T.LongType()), ("counts", T.LongType()), ("ends", T.IntegerType()), ("link", T.IntegerType())]
     return T.StructType(
-        [T.StructField("chunk", T.LongType()), T.StructField("doc_id", doc_id), *numbers, T.StructField("groups", T.StringType())]
+        [T.StructField("chunk", T.LongType()), T.StructField("doc_id", doc_id), *numbers, T.StructField("groups", T.StringType()), T.StructField("windows", T.BinaryType())]
         + [T.StructField(c, T.ArrayType(t)) for c, t in arrays]
     )
 
@@ -219,20 +230,21 @@ def aligned(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken", pieces_f
     arrow = to_arrow_schema(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, memo = coders(ranks_file, pieces_file), {}
+        coder = coders(ranks_file, pieces_file)
         number = TaskContext.get().partitionId() << 32
-        chunk = Chunk(number, coder, memo, digest)
+        chunk = Chunk(number, coder, digest)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), each(batch.column("text"))):
                 chunk.add(doc, text)
                 if chunk.full():
                     yield _batch(chunk.rows(), arrow)
                     number += 1
-                    chunk = Chunk(number, coder, memo, digest)
+                    chunk = Chunk(number, coder, digest)
         if chunk.docs:
             yield _batch(chunk.rows(), arrow)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(read, schema), "aligned")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return materialize(docs.select("doc_id", "text").mapInArrow(read, schema), "aligned")
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -279,9 +291,9 @@ def align(docs: DataFrame, digest: bool = False, **files: str) -> DataFrame:
             starts = np.concatenate([[0], ends[:-1]])
             count = np.add.reduceat(totals.column("n").to_numpy()[link], starts)
             best = np.add.reduceat(totals.column("is_best").to_numpy().astype(np.int64)[link], starts)
-        lists = texts.column("windows").combine_chunks()
-        kind = np.asarray(lists.flatten())
-        upto = np.cumsum(np.concatenate([[0], np.asarray(pc.list_value_length(lists))]))
+        many = texts.column("n_windows").to_pylist()
+        kind = np.concatenate([np.empty(0, dtype=np.int32), *map(_unpacked, texts.column("windows").to_pylist(), many)])
+        upto = np.cumsum([0, *many])
         sums = {}
         for name, value in (("n_best", best), ("count_sum", count)):
             running = np.concatenate([[0], np.cumsum(value[kind])]).astype(np.int64)
