@@ -30,13 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigraph.llm.common import each, materialize
+from lexigraph.llm.common import BATCH_ROWS, batches_of, each, materialize
 
 LENGTH = 400
 WINDOW = 8  # a power of two up to 8
 MODULUS = 40
-MOST_CONTEXTS = 4096  # of one anchor in a shard
-SHARD_BYTES = 8 << 20
+MOST_CONTEXTS = 1024  # of one anchor in a shard
+SHARD_BYTES = 1 << 20
 
 
 def grams(raw: np.ndarray, window: int) -> np.ndarray:
@@ -307,7 +307,8 @@ def _contexts(docs: DataFrame, flagged: DataFrame, length: int, window: int, mod
     texts = docs.select("text").mapInArrow(once, "k long, key binary, raw binary")
     matched = texts.join(flagged, "k").dropDuplicates(["k", "key"]).select("key", "raw", "repeated")
     kind = "array<struct<at:long,n:long,context:binary,anchor:long,bytes:binary>>"
-    return materialize(matched.mapInArrow(read, f"key binary, raw binary, found {kind}"), "contexts")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return materialize(matched.mapInArrow(read, f"key binary, raw binary, found {kind}"), "contexts")
 
 
 def _by_order(contexts: DataFrame, length: int, window: int, modulus: int, shard_bytes: int) -> DataFrame:
@@ -395,7 +396,8 @@ def repeats(
     has nothing to remove; repeated rows repeat each other whole. Ids are only
     carried. Long texts are read whole. An empty table gives no rows.
     """
-    parsed = materialize(_parsed(docs, length, window, modulus), "parsed-texts")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        parsed = materialize(_parsed(docs, length, window, modulus), "parsed-texts")
     texts = _contexts(docs, _flagged(parsed), length, window, modulus)
     hits = _hits(texts, length, window, modulus, most_contexts, shard_bytes)
     runs = hits.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
@@ -412,7 +414,8 @@ def repeats(
                 removed.append([{"start": i, "stop": j} for i, j in spans])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, kind), pa.array(digests, pa.string())], ["key", "spans", "kept"])
 
-    per_text = materialize(texts.select("key", "raw").join(runs, "key").mapInArrow(cut, f"key binary, spans {span}, kept string"), "cut-texts")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        per_text = materialize(texts.select("key", "raw").join(runs, "key").mapInArrow(cut, f"key binary, spans {span}, kept string"), "cut-texts")
     copies = materialize(parsed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copied-texts")
     facts = parsed.select("doc_id", "n_bytes", "sha256", "key")
     joined = facts.join(per_text, "key", "left").join(copies, "key", "left")
