@@ -19,8 +19,9 @@ set, which is what every step below uses:
 
 A group larger than a block is searched block by block first; blocks whose
 members already hang together need not meet again, all others do, so no link
-between components is lost and no group is taken into one task. Lists that are
-known to be hot count as shared at once and are not shuffled.
+between components is lost and no group is taken into one task. What a list says
+of its members is counted by step of size before it moves, so a hot list is a few
+rows, and comes back by a join that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexigraph.llm.common import each, materialize
+from lexigraph.llm.common import BATCH_ROWS, batches_of, each, materialize
 from lexigraph.llm.components import components
 
 WIDTH = 5
 PERCENT = 75
 BLOCK = 256
 BROADCAST_ROWS = 1_000_000
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 
 
 class _WordHashes(dict):
@@ -93,26 +94,35 @@ def _class(values: np.ndarray) -> int:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls): one row per row; equal sets have one class, an empty set has none."""
+    """(doc_id, n_shingles, cls, first): one row per row; equal sets have one class, an empty set has none.
+
+    ``first`` are a set's first shingles in the global order, where a task meets
+    the class for the first time; elsewhere it is null.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes, seen = _WordHashes(), set()
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, firsts = [], [], []
             for text in each(batch.column("text")):
                 values = shingle_set(text, hashes)
-                sizes.append(len(values))
-                names.append(_class(values) if len(values) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "cls"]
-            )
+                n = len(values)
+                name = _class(values) if n else None
+                new = name is not None and name not in seen
+                if new:
+                    seen.add(name)
+                sizes.append(n)
+                names.append(name)
+                firsts.append(values[: n - need(n) + slack(n)].view(np.int64) if new else None)
+            arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "cls", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n_shingles long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n_shingles long, cls long, first array<long>")
 
 
-def _sets(docs: DataFrame, whole: bool) -> DataFrame:
-    """(cls, n, hashes): whole sets, or their first shingles in the global order; copies within a task once."""
+def _whole_sets(docs: DataFrame) -> DataFrame:
+    """(cls, n, hashes): whole sets; copies within a task once."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _WordHashes(), set()
@@ -120,13 +130,12 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
             names, sizes, lists = [], [], []
             for text in each(batch.column("text")):
                 values = shingle_set(text, hashes)
-                n = len(values)
-                if not n or (name := _class(values)) in seen:
+                if not len(values) or (name := _class(values)) in seen:
                     continue
                 seen.add(name)
                 names.append(name)
-                sizes.append(n)
-                lists.append(values.view(np.int64) if whole else values[: n - need(n) + slack(n)].view(np.int64))
+                sizes.append(len(values))
+                lists.append(values.view(np.int64))
             ends = np.cumsum([0] + [len(x) for x in lists])
             flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -138,22 +147,27 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Postings (hash, cls, n) whose list has another class of a fitting size, with the list's length ``df``."""
-    by_size = Window.partitionBy("hash").orderBy("n", "cls")
-    whole = Window.partitionBy("hash")
-    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * PERCENT) | (F.col("n") * 100 >= F.lead("n").over(by_size) * PERCENT)
-    return postings.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("df", F.count(F.lit(1)).over(whole)).filter("fits").drop("fits")
+    """Postings (hash, cls, n) whose list has another class of a fitting size, with the list's length ``df``.
 
-
-def _hot(docs: DataFrame, one_in: int = 50, most: int = 4096) -> DataFrame:
-    """Shingles in so many documents that their lists need no look: found in a sample, at most ``most`` of them.
-
-    What the sample misses is only slower. A row of the sample is a document by
-    hash of its text, so copies come or go together and do not make a list hot.
+    Sizes fall into steps a little wider than the ratio of linked sizes, so a
+    fitting partner is in the same step or the next one. A list is a few dozen
+    steps, counted before they move; no list's members meet in one task.
     """
-    sample = _sets(docs.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0), whole=False)
-    lists = sample.select("cls", F.explode("hashes").alias("hash")).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    return lists.filter("n >= 64").orderBy(F.desc("n"), "hash").limit(most).select("hash")
+    step = F.floor(F.log("n") / math.log(1.34)).cast("int")
+    stepped = postings.withColumn("step", step)
+    steps = stepped.groupBy("hash", "step").agg(
+        F.count(F.lit(1)).alias("members"), F.min("cls").alias("a"), F.max("cls").alias("b"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    whole = Window.partitionBy("hash")
+    along = whole.orderBy("step")
+    above = F.when(F.lead("step").over(along) == F.col("step") + 1, F.lead("low").over(along))
+    below = F.when(F.lag("step").over(along) == F.col("step") - 1, F.lag("high").over(along))
+    several = F.col("a") != F.col("b")
+    met = F.coalesce(F.col("high") * 100 >= F.col("above") * PERCENT, F.lit(False)) | F.coalesce(F.col("below") * 100 >= F.col("low") * PERCENT, F.lit(False))
+    steps = steps.withColumn("df", F.sum("members").over(whole)).withColumn("above", above).withColumn("below", below).filter(several | met)
+    steps = materialize(steps.select("hash", "step", "df", several.alias("several"), "above", "below"), "list-steps")
+    fits = F.col("several") | F.coalesce(F.col("n") * 100 >= F.col("above") * PERCENT, F.lit(False)) | F.coalesce(F.col("below") * 100 >= F.col("n") * PERCENT, F.lit(False))
+    return stepped.join(steps, ["hash", "step"]).filter(fits).select("hash", "cls", "n", "df")
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -163,20 +177,18 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def _survivors(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(cls, n, hashes) of the classes that may link to another one: steps 2 and 3."""
-    hot = materialize(_hot(docs), "hot-lists")
-    postings = _sets(docs, whole=False).select("cls", "n", F.explode("hashes").alias("hash"))
-    marked = postings.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "hash", "left")
-    # copies in different tasks give equal postings; the exchange by list serves both steps
-    cold = marked.filter("is_hot is null").select("hash", "cls", "n").repartition("hash").distinct()
-    plain = _shared(cold).select("cls", "n").unionAll(marked.filter("is_hot").select("hash", "cls", "n").distinct().select("cls", "n"))
+    postings = known.filter("first is not null").select(F.explode("first").alias("hash"), "cls", F.col("n_shingles").alias("n"))
+    # most lists have one class and go here; copies in different tasks give equal postings
+    lists = postings.groupBy("hash").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("hash")
+    kept = materialize(postings.join(materialize(lists, "shared-lists"), "hash").distinct(), "shared-postings")
     asked = 1 + F.floor(_need(F.col("n")) / 20)  # what the smallest partner still guarantees
-    first = plain.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= asked)
+    first = _shared(kept).groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= asked)
     first = first.join(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls").select("cls", "doc_id")
     first = materialize(first, "screened")
     rows = first.count()
     chosen = first.select(F.col("doc_id").alias("chosen")).distinct()
     texts = docs.join(_bounded(chosen, rows), F.col("doc_id").eqNullSafe(F.col("chosen"))).select("text")
-    whole = _sets(texts, whole=True).join(_bounded(first.select("cls"), rows), "cls", "left_semi")
+    whole = _whole_sets(texts).join(_bounded(first.select("cls"), rows), "cls", "left_semi")
     whole = materialize(whole.groupBy("cls").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole-sets")
     lists = _shared(whole.select("cls", "n", F.explode("hashes").alias("hash")))
     covered = lists.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= _need(F.col("n")))
@@ -191,8 +203,9 @@ def _groups(survivors: DataFrame) -> DataFrame:
     # shingles without a fitting partner come first in the order and are only counted
     unshared = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cls"))
     kept = lists.withColumn("at", F.row_number().over(rarest) + unshared).filter(F.col("at") <= F.col("n") - _need(F.col("n")) + 1)
-    first = F.first("cls").over(Window.partitionBy("hash").orderBy("cls"))
-    links = kept.select("hash", "cls").withColumn("first", first).select(F.col("cls").alias("a"), F.col("first").alias("b"))
+    kept = materialize(kept.select("hash", "cls"), "rarest-postings")
+    least = materialize(kept.groupBy("hash").agg(F.min("cls").alias("b")), "list-heads")
+    links = kept.join(least, "hash").select(F.col("cls").alias("a"), "b")
     return components(links).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
 
 
@@ -345,7 +358,8 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     An empty table gives no rows.
     """
     plain = docs.select("doc_id", "text")
-    known = materialize(facts(plain), "shingle-facts")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        known = materialize(facts(plain), "shingle-facts")
     with_set = known.filter("cls is not null")
     survivors = _survivors(plain, with_set)
     links = class_links(survivors, materialize(_groups(survivors), "groups"), block)
@@ -353,5 +367,5 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     named = with_set.groupBy("cls").agg(F.min("doc_id").alias("first")).join(parts, "cls", "left")
     least = named.filter("part is not null").groupBy("part").agg(F.min("first").alias("least"))
     named = named.join(least, "part", "left").select("cls", F.coalesce("least", "first").alias("component_id"))
-    joined = known.join(named, "cls", "left")
+    joined = known.drop("first").join(named, "cls", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -86,17 +86,28 @@ def test_join_of_large_groups_in_small_blocks(spark, block):
     assert answers(jaccard.join(docs, block=block)) == expected
 
 
-def test_hot_lists_change_nothing(spark, monkeypatch):
+def test_nothing_is_broadcast_by_size(spark, monkeypatch):
     texts = near_copies(9, families=3, copies=8, words=40, edits=2, shared=20)
     docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    common = shingles_hash("common0 common1 common2 common3 common4 common5 common6 common7")
-    monkeypatch.setattr(jaccard, "_hot", lambda df: spark.createDataFrame([(h,) for h in common], "hash long"))
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     assert answers(jaccard.join(docs)) == brute_components(texts)
 
 
-def shingles_hash(text):
-    return jaccard.shingle_set(text, jaccard._WordHashes()).view(np.int64).tolist()
+def test_shared_postings_have_a_fitting_partner(spark):
+    """Against every pair of a list, sizes at and around the limit ratio."""
+    draw = random.Random(3)
+    rows = {(h, draw.randrange(40), n) for h in range(30) for n in draw.sample(range(1, 140), draw.randrange(1, 9))}
+    rows = sorted({(h, c + 1000 * n, n) for h, c, n in rows})
+    want = set()
+    for h, c, n in rows:
+        others = [m for g, d, m in rows if g == h and d != c]
+        if any(100 * min(m, n) >= 75 * max(m, n) for m in others):
+            want.add((h, c, n, len(others) + 1))
+    got = {tuple(r) for r in jaccard._shared(spark.createDataFrame(rows, "hash long, cls long, n long")).collect()}
+    assert want <= got
+    # what is more shares a step of sizes with another class, a little beyond the ratio
+    for h, c, n, _ in got - want:
+        assert any(d != c and max(m, n) <= 1.34 * min(m, n) for g, d, m in rows if g == h)
 
 
 def test_join_odd_cases(spark):
