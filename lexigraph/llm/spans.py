@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from lexigraph.llm.common import each, materialize
+from lexigraph.llm.common import BATCH_ROWS, batches_of, each, materialize
 from lexigraph.llm.jaccard import WORD_CACHE
 
 PIECE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -111,79 +112,91 @@ def runs(ends: np.ndarray, h: np.ndarray, least_sentences: int, least_words: int
 
 
 def spans(docs: DataFrame, least_sentences: int = 3, least_words: int = 16, closing: bool = False) -> DataFrame:
-    """(doc_id, text_hash, run, first, stop) of every run of every text."""
+    """(doc_id, text_hash, n_sentences, runs, twice): the distinct runs of every row's text, and those it has more than once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        none = np.empty(0, dtype=np.int64)
         for batch in batches:
-            parts, rows = [(none, none, none)], [none]
-            for i, text in enumerate(each(batch.column("text"))):
-                if text:
-                    parts.append(runs(*sentences(text, known), least_sentences, least_words, closing))
-                    rows.append(np.full(len(parts[-1][0]), i))
-            take = pa.array(np.concatenate(rows))
-            run, first, stop = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(take),
-                    batch.column("text_hash").take(take),
-                    pa.array(run, pa.int64()),
-                    pa.array(first.astype(np.int32)),
-                    pa.array(stop.astype(np.int32)),
-                ],
-                ["doc_id", "text_hash", "run", "first", "stop"],
-            )
+            counts, found, twice = [], [], []
+            for text in each(batch.column("text")):
+                ends, h = sentences(text, known) if text else ((), ())
+                run, times = np.unique(runs(ends, h, least_sentences, least_words, closing)[0], return_counts=True) if text else ((), np.array([]))
+                counts.append(len(ends))
+                found.append(run)
+                twice.append(run[times > 1] if (times > 1).any() else None)
+            arrays = [pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", "n_sentences", "runs", "twice"])
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return hashed.mapInArrow(read, f"doc_id {kind}, text_hash long, run long, first int, stop int")
+    return hashed.mapInArrow(read, f"doc_id {kind}, text_hash long, n_sentences long, runs array<long>, twice array<long>")
 
 
 def deduplicate(docs: DataFrame, least_sentences: int = 3, least_words: int = 16, closing: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without repeated spans, n_sentences, n_removed.
 
     ``docs`` needs doc_id and text; other columns are ignored. Of equal runs the
-    one with the smallest id, then place, stays. A null text stays null, an
-    empty one empty, both with no sentences. With ``closing`` the shortest runs
-    that end with a sentence count too, so the end of a passage goes like its
-    start. Rows with equal id and text share their fate. Runs are counted before
-    places move, those of a hot passage are combined before they are shuffled, and
-    the joins with the repeated runs are ones that adaptive execution can split.
+    one with the smallest id, then text hash, then place, stays. A null text stays
+    null, an empty one empty, both with no sentences; very long texts are read
+    whole. With ``closing`` the shortest runs that end with a sentence count too,
+    so the end of a passage goes like its start. Rows with equal id and text share
+    their fate. The runs of a text are found once and written; those of a hot
+    passage are combined before they are shuffled, the joins with the repeated runs
+    are ones that adaptive execution can split, and only texts that lose something
+    are cut again.
     """
     plain = docs.select("doc_id", "text")
-    found = spans(plain, least_sentences, least_words, closing)
-    place = F.struct(F.col("doc_id"), F.col("first"), F.col("text_hash"))
-    repeated = materialize(found.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run"), "repeated-runs")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        read = materialize(spans(plain, least_sentences, least_words, closing), "runs")
+    row = F.struct("doc_id", "text_hash")
+    found = read.select(F.explode("runs").alias("run"), "doc_id", "text_hash")
+    twice = read.filter("twice is not null").select(F.explode("twice").alias("run"), "doc_id", "text_hash")
+    one = F.xxhash64("doc_id", "text_hash")
+    several = found.groupBy("run").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a <> b").select("run")
+    repeated = materialize(several.unionAll(twice.select("run")).distinct(), "repeated-runs")
     hits = materialize(found.join(repeated, "run"), "repeated-places")
-    keep = materialize(hits.groupBy("run").agg(F.min(place).alias("keep")), "first-places")
     # min over structs puts a null id first, so equality has to be null-safe as well
-    later = hits.join(keep, "run").filter(~place.eqNullSafe(F.col("keep")))
-    gone = later.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("first", "stop")).alias("gone"))
+    keep = materialize(hits.groupBy("run").agg(F.min(row).alias("keep")), "first-places")
+    later = hits.join(keep, "run").filter(~row.eqNullSafe(F.col("keep")))
+    again = twice.join(keep, "run").filter(row.eqNullSafe(F.col("keep")))
+    # of its own runs that stand in it once a row keeps all, so only the others are told
+    gone = later.select("doc_id", "text_hash", "run", F.lit(False).alias("first_stays")).unionAll(again.select("doc_id", "text_hash", "run", F.lit(True)))
+    told = gone.select("doc_id", "text_hash", F.struct("run", "first_stays").alias("gone"), F.lit(None).cast("long").alias("n_sentences"))
+    told = told.unionByName(read.select("doc_id", "text_hash", F.lit(None).cast("struct<run:long,first_stays:boolean>").alias("gone"), "n_sentences"))
+    told = told.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("gone").alias("gone"), F.max("n_sentences").alias("n_sentences"))
     hashed = plain.withColumn("text_hash", F.xxhash64("text"))
-    joined = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text", "gone")
+    joined = hashed.join(told, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text", "gone", "n_sentences")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            texts, counts, removed = [], [], []
-            for text, gone in zip(each(batch.column("text")), each(batch.column("gone"))):
-                ends = sentences(text, known)[0] if text else []
-                out = np.zeros(len(ends), dtype=bool)
-                for span in gone or ():
-                    out[span["first"] : span["stop"]] = True
-                if out.any():
-                    pieces = PIECE.findall(text)
-                    lead = text[: len(text) - sum(map(len, pieces))]
-                    starts = [0, *ends[:-1].tolist()]
-                    text = lead + "".join("".join(pieces[a:b]) for a, b, o in zip(starts, ends.tolist(), out) if not o)
-                texts.append(text)
-                counts.append(len(ends))
-                removed.append(int(out.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
-                ["doc_id", "text", "n_sentences", "n_removed"],
-            )
+            lists = batch.column("gone")
+            hit = [i for i, n in enumerate(pc.list_value_length(lists).to_pylist()) if n]
+            texts, removed = batch.column("text"), np.zeros(batch.num_rows, dtype=np.int64)
+            if hit:
+                left = {}
+                for i in hit:
+                    left[i], removed[i] = without(texts[i].as_py(), lists[i].as_py(), known, least_sentences, least_words, closing)
+                texts = pa.array((left[i] if i in left else t.as_py() for i, t in enumerate(texts)), pa.string(), size=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, batch.column("n_sentences"), pa.array(removed)], ["doc_id", "text", "n_sentences", "n_removed"])
 
     return joined.mapInArrow(cut, f"doc_id {kind}, text string, n_sentences long, n_removed long")
+
+
+def without(text: str, gone: list[dict], known: Words, least_sentences: int, least_words: int, closing: bool) -> tuple[str, int]:
+    """(text without the given runs, sentences removed); of a run whose first place stays, only the later ones go."""
+    ends, h = sentences(text, known)
+    run, first, stop = runs(ends, h, least_sentences, least_words, closing)
+    stays = {g["run"]: g["first_stays"] for g in gone}
+    out = np.zeros(len(ends), dtype=bool)
+    at = np.flatnonzero(np.isin(run, np.array(list(stays), dtype=np.int64)))
+    for i in at[np.lexsort((stop[at], first[at]))].tolist():
+        if stays[int(run[i])]:
+            stays[int(run[i])] = False
+        else:
+            out[first[i] : stop[i]] = True
+    pieces = PIECE.findall(text)
+    lead = text[: len(text) - sum(map(len, pieces))]
+    starts = [0, *ends[:-1].tolist()]
+    return lead + "".join("".join(pieces[a:b]) for a, b, o in zip(starts, ends.tolist(), out) if not o), int(out.sum())
