@@ -1,7 +1,7 @@
 """Best-fit packing of documents into fixed-length sequences, improved by swaps.
 
-Documents become pieces of at most ``capacity`` tokens. Pieces are dealt by a
-hash into groups of bounded size; each group is packed by best fit, largest
+Documents become pieces of at most ``capacity`` tokens. Pieces are dealt by
+position into groups of bounded size; each group is packed by best fit, largest
 first, and then improved by local search: a piece moves to, or is exchanged one
 for one or two for one with, an emptier bin whenever that raises the sum of
 squared fills, so fills drift apart until the emptiest bins are empty. A group
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexigraph.llm.common import each, materialize
+from lexigraph.llm.common import BATCH_ROWS, batches_of, each, materialize
 
 CAPACITY = 2048
 SPECIAL = "<|endoftext|>"
@@ -45,6 +45,7 @@ def _encoder(ranks_file: str, tokenizer_file: str):
         with open(public_tokenizers.path(ranks_file), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        del ranks
         _encoders[key] = lambda text: _full(tokenizer_file)(text) if SPECIAL in text else fast.encode_ordinary(text)
     return _encoders[key]
 
@@ -68,7 +69,9 @@ def pieces(
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids as little-endian bytes).
 
     A document is its token ids and a closing 0; a null or empty text is the 0
-    alone. Longer ones are cut so that all pieces but the first are full.
+    alone. Longer ones are cut so that all pieces but the first are full; a text of
+    any length is read whole. ``docs`` needs doc_id and text; other columns are
+    ignored, whatever they are called.
     """
     schema = T.StructType(
         [
@@ -127,78 +130,131 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(sizes: list[int], bins: list[list[int]], capacity: int, passes: int = 4) -> list[list[int]]:
-    """Moves and swaps between underfull bins that raise the sum of squared fills.
+class _Rooms:
+    """Bins that are not full, by room; of each room the sizes that its bins can give back, single pieces and pairs."""
+
+    def __init__(self, sizes: list[int], bins: list[list[int]], fill: list[int], capacity: int):
+        self.sizes, self.bins, self.fill, self.capacity = sizes, bins, fill, capacity
+        self.rooms: list[int] = []
+        self.back: dict[int, dict[int, set[int]]] = {}  # room -> size given back (0: nothing) -> bins
+        self.sums: dict[int, list[int]] = {}  # room -> the same sizes in order
+        for number in range(len(bins)):
+            self.add(number)
+
+    def _gives(self, number: int) -> set[int]:
+        held = sorted(self.sizes[i] for i in self.bins[number])
+        twice = {2 * x for x, y in zip(held, held[1:]) if x == y}
+        kinds = sorted(set(held))
+        return {0} | set(kinds) | twice | {x + y for n, x in enumerate(kinds) for y in kinds[:n]}
+
+    def add(self, number: int) -> None:
+        room = self.capacity - self.fill[number]
+        if not room or not self.bins[number]:
+            return
+        if room not in self.back:
+            insort(self.rooms, room)
+            self.back[room], self.sums[room] = {}, []
+        for size in self._gives(number):
+            if size not in self.back[room]:
+                self.back[room][size] = set()
+                insort(self.sums[room], size)
+            self.back[room][size].add(number)
+
+    def drop(self, number: int) -> None:
+        room = self.capacity - self.fill[number]
+        if not room or not self.bins[number]:
+            return
+        back, sums = self.back[room], self.sums[room]
+        for size in self._gives(number):
+            back[size].discard(number)
+            if not back[size]:
+                del back[size]
+                del sums[bisect_right(sums, size) - 1]
+        if not back:
+            del self.back[room], self.sums[room]
+            del self.rooms[bisect_right(self.rooms, room) - 1]
+
+    def taker(self, giver: int, size: int) -> tuple[int, int] | None:
+        """(bin, size it gives back) of the fullest other bin, no emptier than the giver, that gains by taking a piece; it gives as little as it can."""
+        most = self.capacity - self.fill[giver]
+        for room in self.rooms:
+            if room > most:
+                return None
+            sums = self.sums[room]
+            for at in range(bisect_right(sums, size - room - 1), len(sums)):
+                if sums[at] >= size:
+                    break
+                others = self.back[room][sums[at]]
+                if len(others) > (giver in others):
+                    return min(n for n in others if n != giver), sums[at]
+        return None
+
+
+def improve(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Moves and swaps between underfull bins that raise the sum of squared fills, until none does or no fewer bins can hold all.
 
-    The emptiest bins give: for each of their pieces the fullest bin that can
-    take it, take it for a smaller piece, or for two smaller pieces, gets it.
-    Every step moves fill from an emptier to a fuller bin, so the search ends.
+    The emptiest bins give: each of their pieces goes to the fullest bin that can
+    take it, take it for a smaller piece, or for two smaller pieces. Every step
+    moves fill from a bin to one that is no emptier, so the search ends.
     """
+    bins = [b for b in bins if b]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    for _ in range(passes):
-        open_bins = sorted((n for n in range(len(bins)) if bins[n] and fill[n] < capacity), key=lambda n: (fill[n], n))
-        if len(open_bins) < 2 or sum(1 for b in bins if b) <= least:
-            break
+    least, used = -(-sum(fill) // capacity), len(bins)
+    if used <= least:
+        return bins
+    rooms = _Rooms(sizes, bins, fill, capacity)
+    changed = True
+    while changed and used > least:
         changed = False
-        takers = sorted(open_bins, key=lambda n: (-fill[n], n))
-        for giver in open_bins:
-            for item in sorted(bins[giver], key=lambda i: -sizes[i]):
-                size = sizes[item]
-                for taker in takers:
-                    room = capacity - fill[taker]
-                    if taker == giver or not bins[taker] or fill[taker] < fill[giver] or room == 0:
-                        continue
-                    back = _exchange(sizes, bins[taker], size, room)
-                    if back is None:
-                        continue
-                    bins[giver].remove(item)
-                    bins[taker].append(item)
-                    for other in back:
-                        bins[taker].remove(other)
-                        bins[giver].append(other)
-                    gain = size - sum(sizes[i] for i in back)
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    changed = True
-                    break
-        if not changed:
-            break
+        for giver in sorted((n for n in range(len(bins)) if bins[n] and fill[n] < capacity), key=lambda n: (fill[n], n)):
+            for item in sorted(bins[giver], key=lambda i: (-sizes[i], i)):
+                if item not in bins[giver] or fill[giver] == capacity:
+                    continue
+                found = rooms.taker(giver, sizes[item])
+                if found is None:
+                    continue
+                taker, given = found
+                rooms.drop(giver)
+                rooms.drop(taker)
+                back = _returned(sizes, bins[taker], given)
+                bins[giver] = [i for i in bins[giver] if i != item] + back
+                bins[taker] = [i for i in bins[taker] if i not in back] + [item]
+                fill[giver] -= sizes[item] - given
+                fill[taker] += sizes[item] - given
+                used -= not bins[giver]
+                rooms.add(giver)
+                rooms.add(taker)
+                changed = True
+            if used <= least:
+                break
     return [b for b in bins if b]
 
 
-def _exchange(sizes: list[int], held: list[int], size: int, room: int) -> list[int] | None:
-    """What a bin with ``room`` gives for a piece of ``size``: nothing, one piece or two, so that it gains most."""
-    if size <= room:
+def _returned(sizes: list[int], held: list[int], total: int) -> list[int]:
+    """No piece, one or two of a bin that have this size together."""
+    if not total:
         return []
-    low, best, gain = size - room, None, 0  # the pieces given back sum to low .. size - 1
-    ordered: list[tuple[int, int]] = []
+    seen: dict[int, int] = {}
+    pair = None
     for item in held:
-        insort(ordered, (sizes[item], item))
-    values = [s for s, _ in ordered]
-    at = bisect_right(values, low - 1)
-    if at < len(values) and values[at] < size:
-        best, gain = [ordered[at][1]], size - values[at]
-    i, j = 0, len(values) - 1
-    while i < j:
-        total = values[i] + values[j]
-        if total >= low:
-            if total < size and size - total > gain:
-                best, gain = [ordered[i][1], ordered[j][1]], size - total
-            j -= 1
-        else:
-            i += 1
-    return best
+        if sizes[item] == total:
+            return [item]
+        if total - sizes[item] in seen:
+            pair = pair or [seen[total - sizes[item]], item]
+        seen.setdefault(sizes[item], item)
+    return pair
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group_size: int = 20000) -> DataFrame:
     """``parts`` (any columns, with ``length``) plus sequence_id and offset.
 
-    Parts are packed in groups of about ``group_size``, dealt by a hash of all
-    columns that place a piece, so no key can fill a group. Repeated rows are
-    packed as often as they occur. An empty table gives an empty table.
+    Parts are packed in groups of about ``group_size``, dealt by their position
+    in the written table, so equal rows are spread like any others. Repeated rows
+    are packed as often as they occur, a null id like any other. A column named
+    sequence_id or offset is replaced. An empty table gives an empty table.
     """
-    parts = materialize(parts.drop("sequence_id", "offset"), "pieces")
+    with batches_of(parts.sparkSession, BATCH_ROWS):
+        parts = materialize(parts.drop("sequence_id", "offset"), "pieces")
     groups = max(1, -(-parts.count() // group_size))
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -215,5 +271,5 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_size: int = 20000) ->
                 place += sizes[item]
         return group.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(fill, schema)
