@@ -228,7 +228,8 @@ def members(stored: DataFrame) -> DataFrame:
 def _verified(prefixes: DataFrame, stats: DataFrame, stored: DataFrame) -> DataFrame:
     """``stats``, once the stored turns that prefixes of one node refer to are found equal; otherwise an error."""
     several = stats.filter("least_conv <> most_conv or least_pos <> most_pos").select(*NODE)
-    refs = prefixes.join(several, NODE).select(*NODE, "ref_conv", "ref_pos").distinct()
+    # written first: the distinct rows then move by all columns, not by node
+    refs = materialize(prefixes.join(several, NODE).select(*NODE, "ref_conv", "ref_pos"), "references").distinct()
     turn = F.struct("role", "text")
     read = refs.join(stored.select(F.col("conv_id").alias("ref_conv"), F.col("pos").alias("ref_pos"), "role", "text"), ["ref_conv", "ref_pos"])
     differ = read.groupBy(*NODE).agg((F.min(turn) != F.max(turn)).alias("differ")).filter("differ")
