@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import documents, mention_cte, query, sentence_cte, table
 from lexigraph.operators import graph as G
 from lexigraph.session import scratch_path
+from lexigraph.streaming.upkeep import GraphStore, keep_up
 
 NODE = ["uuid", "name", "summary", "labels", "attributes", "created_at", "valid_at", "invalid_at"]
 
@@ -161,18 +162,44 @@ def build(spark, sf):
     return G.build(document_episodes(spark, sf))[1]
 
 
-@query(
-    "graph_build_nodes",
-    f"""with {EPISODE_GRAPH}
+EPISODE_NODES = f"""with {EPISODE_GRAPH}
     select id as uuid, arg_min(text, row(doc_id::varchar, idx, pass, start)) as name, 'Entity|' || min(type) as labels, strftime(to_timestamp(946684800 + min(doc_id) * 86400) at time zone 'UTC', '%Y-%m-%d') as valid_at
     from placed group by id
-    union all select 'episode:' || doc_id, 'Episode ' || doc_id, 'Episodic', strftime(to_timestamp(946684800 + doc_id * 86400) at time zone 'UTC', '%Y-%m-%d') from documents""",
-)
+    union all select 'episode:' || doc_id, 'Episode ' || doc_id, 'Episodic', strftime(to_timestamp(946684800 + doc_id * 86400) at time zone 'UTC', '%Y-%m-%d') from documents"""
+
+
+@query("graph_build_nodes", EPISODE_NODES)
 def build_nodes(spark, sf):
-    nodes = G.build(document_episodes(spark, sf))[0]
+    return _shown(G.build(document_episodes(spark, sf))[0])
+
+
+def _shown(nodes):
     return nodes.select("uuid", "name", F.array_join("labels", "|").alias("labels"), F.date_format("valid_at", "yyyy-MM-dd").alias("valid_at"))
 
 
+def streamed_graph(spark, sf):
+    """Episodes of the documents arriving in three lots, one of them twice; the stream restarts for each and the store is merged in between."""
+    arrivals, folder, state = (scratch_path(spark, name) for name in ("graph-arrivals", "graph-store", "graph-state"))
+    episodes, lot = document_episodes(spark, sf), F.pmod(F.col("episode_id"), F.lit(3))
+    store = GraphStore(spark, folder)
+    for lots in ([0], [1, 0], [2]):
+        episodes.filter(lot.isin(lots)).repartition(4, "episode_id").write.mode("append").json(arrivals)
+        keep_up(spark, arrivals, folder, state, multi_line=False).awaitTermination()
+        if lots == [1, 0]:
+            store.compact()
+    return store
+
+
+@query("graph_upkeep", f"with {EPISODE_GRAPH} select * from linked")
+def upkeep_edges(spark, sf):
+    return streamed_graph(spark, sf).read()[1]
+
+
+@query("graph_upkeep_nodes", EPISODE_NODES)
+def upkeep_nodes(spark, sf):
+    return _shown(streamed_graph(spark, sf).read()[0])
+
+
 @query("graph_write", f"with {STAR} select rel_type, count(*) as edges, count(distinct src) as sources from edge group by rel_type")
 def write(spark, sf):
     """The star graph written as tables, edges laid out by type, and read back."""

@@ -9,7 +9,7 @@ rows; nothing collects all neighbours of a node into one value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigraph.functions import entities as E
 
@@ -30,33 +30,60 @@ def _ends(edges: DataFrame) -> DataFrame:
     )
 
 
-def build(
+def _entity(m: Column) -> Column:
+    """Id of the entity a mention names: its lower-case text and type."""
+    return F.sha2(F.concat_ws("|", F.lower(m["text"]), m["type"]), 256)
+
+
+def _episode(key: str) -> Column:
+    return F.concat(F.lit("episode:"), F.col(key).cast("string"))
+
+
+def _numbered(mentions: Column) -> Column:
+    return F.transform(mentions, lambda m, i: F.struct(i.alias("ord"), m.alias("m")))
+
+
+def tagged(
     episodes: DataFrame,
     key: str = "episode_id",
     text: str = "content",
     reference_time: str = "reference_time",
     extract: E.Extractor = E.pattern_mentions,
-) -> tuple[DataFrame, DataFrame]:
-    """Entity and episode nodes with PART_OF and CO_MENTION edges.
+) -> DataFrame:
+    """(episode, valid_at, m): the mentions of every episode, with their sentences."""
+    return episodes.select(_episode(key).alias("episode"), F.col(reference_time).alias("valid_at"), E.mentions_in_sentences(F.col(text), extract).alias("m"))
 
-    An entity is a lower-case text with its type. CO_MENTION links mentions that
-    follow each other in a sentence, which keeps edges linear in the mentions.
-    """
-    episode_uuid = F.concat(F.lit("episode:"), F.col(key).cast("string"))
-    tagged = episodes.select(
-        episode_uuid.alias("episode"), F.col(reference_time).alias("valid_at"),
-        E.mentions_in_sentences(F.col(text), extract).alias("m"),
-    )
-    entity = lambda m: F.sha2(F.concat_ws("|", F.lower(m["text"]), m["type"]), 256)
-    # An expression, not a column, goes into the generator: Catalyst would otherwise guard it with a filter that finds all mentions again.
-    numbered = F.transform(E.mentions_in_sentences(F.col(text), extract), lambda m, i: F.struct(i.alias("ord"), m.alias("m")))
-    rows = episodes.select(episode_uuid.alias("episode"), F.col(reference_time).alias("valid_at"), F.inline(numbered))
-    entity_nodes = rows.groupBy(entity(F.col("m")).alias("uuid")).agg(
-        F.min_by("m.text", F.struct("episode", "ord")).alias("name"),
-        F.min("m.type").alias("type"),
-        F.min("valid_at").alias("valid_at"),
+
+def _combined(rows: DataFrame) -> DataFrame:
+    """Rows (uuid, first, name, type, valid_at) combined by id: the earliest date, and the name as it stands in the first place."""
+    return rows.groupBy("uuid").agg(
+        F.min_by("name", "first").alias("name"), F.min("type").alias("type"), F.min("valid_at").alias("valid_at"), F.min("first").alias("first")
+    ).select("uuid", "first", "name", "type", "valid_at")
+
+
+def _first_places(rows: DataFrame) -> DataFrame:
+    """Mentions (episode, valid_at, ord, m) as rows that ``merge_entities`` combines."""
+    return rows.select(
+        _entity(F.col("m")).alias("uuid"), F.struct("episode", "ord").alias("first"), F.col("m.text").alias("name"), F.col("m.type").alias("type"), "valid_at"
     )
-    nodes = entity_nodes.select(
+
+
+def entity_parts(mentions: DataFrame) -> DataFrame:
+    """What a set of tagged episodes says of each entity: (uuid, first, name, type, valid_at).
+
+    Parts of disjoint sets of episodes merge to the part of their union, in any order.
+    """
+    return _combined(_first_places(mentions.select("episode", "valid_at", F.inline(_numbered(F.col("m"))))))
+
+
+def merge_entities(parts: DataFrame) -> DataFrame:
+    """Parts of several sets of episodes -> one row per entity."""
+    return _combined(parts)
+
+
+def entity_nodes(parts: DataFrame) -> DataFrame:
+    """Node rows of merged entities."""
+    return parts.select(
         "uuid",
         "name",
         F.lit("").alias("summary"),
@@ -65,21 +92,26 @@ def build(
         F.col("valid_at").alias("created_at"),
         "valid_at",
         F.lit(None).cast("timestamp").alias("invalid_at"),
-    ).unionByName(
-        episodes.select(
-            episode_uuid.alias("uuid"),
-            F.concat(F.lit("Episode "), F.col(key).cast("string")).alias("name"),
-            F.col(text).alias("summary"),
-            F.array(F.lit("Episodic")).alias("labels"),
-            F.expr("cast(map() as map<string,string>)").alias("attributes"),
-            F.col(reference_time).alias("created_at"),
-            F.col(reference_time).alias("valid_at"),
-            F.lit(None).cast("timestamp").alias("invalid_at"),
-        )
     )
-    part_of = F.transform(
-        "m", lambda m: F.struct(entity(m).alias("src"), F.col("episode").alias("dst"), F.lit("PART_OF").alias("rel_type"))
+
+
+def episode_nodes(episodes: DataFrame, key: str = "episode_id", text: str = "content", reference_time: str = "reference_time") -> DataFrame:
+    """Node rows of the episodes themselves."""
+    return episodes.select(
+        _episode(key).alias("uuid"),
+        F.concat(F.lit("Episode "), F.col(key).cast("string")).alias("name"),
+        F.col(text).alias("summary"),
+        F.array(F.lit("Episodic")).alias("labels"),
+        F.expr("cast(map() as map<string,string>)").alias("attributes"),
+        F.col(reference_time).alias("created_at"),
+        F.col(reference_time).alias("valid_at"),
+        F.lit(None).cast("timestamp").alias("invalid_at"),
     )
+
+
+def mention_edges(mentions: DataFrame) -> DataFrame:
+    """PART_OF and CO_MENTION edges of tagged episodes; each edge once."""
+    part_of = F.transform("m", lambda m: F.struct(_entity(m).alias("src"), F.col("episode").alias("dst"), F.lit("PART_OF").alias("rel_type")))
     in_text_order = F.array_sort(
         "m", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(a["end"] - b["end"])
     )
@@ -88,17 +120,31 @@ def build(
             "sorted",
             lambda m, i: F.when(
                 (i > 0) & (F.get("sorted", i - 1)["sentence_index"] == m["sentence_index"]),
-                F.struct(entity(F.get("sorted", i - 1)).alias("src"), entity(m).alias("dst"), F.lit("CO_MENTION").alias("rel_type")),
+                F.struct(_entity(F.get("sorted", i - 1)).alias("src"), _entity(m).alias("dst"), F.lit("CO_MENTION").alias("rel_type")),
             ),
         ),
         lambda e: e.isNotNull() & (e["src"] != e["dst"]),
     )
-    edges = (
-        tagged.withColumn("sorted", in_text_order)
-        .select(F.inline(F.concat(part_of, linked)))
-        .distinct()
-    )
-    return nodes, edges
+    return mentions.withColumn("sorted", in_text_order).select(F.inline(F.concat(part_of, linked))).distinct()
+
+
+def build(
+    episodes: DataFrame,
+    key: str = "episode_id",
+    text: str = "content",
+    reference_time: str = "reference_time",
+    extract: E.Extractor = E.pattern_mentions,
+) -> tuple[DataFrame, DataFrame]:
+    """Entity and episode nodes with PART_OF and CO_MENTION edges.
+
+    An entity is a lower-case text with its type. CO_MENTION links mentions that
+    follow each other in a sentence, which keeps edges linear in the mentions.
+    """
+    # An expression, not a column, goes into the generator: Catalyst would otherwise guard it with a filter that finds all mentions again.
+    numbered = _numbered(E.mentions_in_sentences(F.col(text), extract))
+    rows = episodes.select(_episode(key).alias("episode"), F.col(reference_time).alias("valid_at"), F.inline(numbered))
+    nodes = entity_nodes(_combined(_first_places(rows))).unionByName(episode_nodes(episodes, key, text, reference_time))
+    return nodes, mention_edges(tagged(episodes, key, text, reference_time, extract))
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
