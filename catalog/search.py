@@ -9,6 +9,8 @@ from catalog.graph import STAR, star_edges, star_nodes
 from catalog.questions import detect_sql
 from lexigraph.functions import constants as C, scores as S
 from lexigraph.operators import graph as G, ranking as R
+from lexigraph.operators.cells import CellIndex
+from lexigraph.operators.lexical_index import LexicalIndex
 from lexigraph.plans import search
 from lexigraph.session import materialize, scratch_path, spread
 from lexigraph.sources.sinks import results_envelope, write_json
@@ -49,6 +51,15 @@ def lexical(spark, sf):
     return ranked(R.bm25(questions, document_postings(spark, sf), 20), "query_id")
 
 
+@query("rank_lexical_blocks", f"with {PASSAGES}, {bm25_sql('node_text', 'question', 20)} select query_id, uuid, round(score, 6) as score, rank from lexical")
+def lexical_blocks(spark, sf):
+    """Through the block index: the same rows, with most postings of common words left closed."""
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    nodes = documents(spark, sf).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uuid"), "text")
+    index = LexicalIndex.build(nodes, F.col("text"), scratch_path(spark, "lexical"))
+    return ranked(index.search(questions, 20), "query_id")
+
+
 def near_sql(limit: int) -> str:
     """CTEs ending in ``near(query_id, uuid, score, rank)``: the nearest embeddings of each label's mean."""
     return f"""dims as (select label, generate_subscripts(embedding, 1) as pos, cast(unnest(embedding) as double) as v from embeddings),
@@ -91,6 +102,13 @@ def vector_blocks(spark, sf):
     return ranked(R.vector_top_k(label_questions(spark, sf), document_vectors(spark, sf), 20, shared_bytes=4 * 8 * 64), "query_id")
 
 
+@query("rank_vector_cells", f"with {near_sql(20)} select query_id, uuid, round(score, 6) as score, rank from near")
+def vector_cells(spark, sf):
+    """Through the cell index, every cell visited; tests measure what is found in few of them."""
+    index = CellIndex.build(document_vectors(spark, sf), scratch_path(spark, "cells"))
+    return ranked(index.search(label_questions(spark, sf), 20, probes=len(index.centroids)), "query_id")
+
+
 def fused_sql(limit: int) -> str:
     return f"""node_text as (select 'doc:' || doc_id as uuid, text from documents),
     question as (select item_id as query_id, text as query from benchmark),
