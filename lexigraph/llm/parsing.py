@@ -6,15 +6,15 @@ bytes is 0 modulo MODULUS. Phrases overlap by one trigger, so what a place's
 suffix is compared by is the rest of its phrase and then the phrases that follow,
 and equal substrings are parsed alike.
 
-1. Phrases are counted over the corpus. A substring that contains a phrase that
-   occurs once cannot be repeated, which leaves few starts. Those that begin in
-   one phrase and whose next phrase lies inside the substring form a context.
+1. Pairs of neighbouring phrases are counted over the corpus. A substring that
+   contains a pair that occurs once cannot be repeated, which leaves few starts.
+   Those that begin in one phrase and hold the next two form a context.
 2. Equal contexts are one; a context that occurs twice is repeated as a whole.
-3. Distinct contexts meet by the phrase after the first (the anchor). In bounded
-   shards the suffix array of the shard's dictionary of phrases orders what is
+3. Distinct contexts meet by the pair after their first phrase (the anchor). In
+   bounded shards the suffix array of the shard's dictionary of phrases orders what is
    left of a first phrase, the suffix array of the parse orders what follows, and
    both together give the order of all starts; equal substrings are neighbours.
-4. Starts with fewer than two triggers in reach, and those of an anchor with more
+4. Starts with fewer than three triggers in reach, and those of an anchor with more
    contexts than a shard should hold, are counted by the hash of their substring
    over all tasks: the same result without one task for a hot anchor.
 
@@ -34,7 +34,7 @@ from lexigraph.llm.common import BATCH_ROWS, batches_of, each, materialize
 
 LENGTH = 400
 WINDOW = 8  # a power of two up to 8
-MODULUS = 40
+MODULUS = 32
 MOST_CONTEXTS = 1024  # of one anchor in a shard
 SHARD_BYTES = 1 << 20
 
@@ -63,23 +63,35 @@ def phrases(raw: bytes, window: int, modulus: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([[0], inner]), np.append(inner + window, len(raw))
 
 
+def pairs(raw: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each phrase with the one after it, where both have a trigger at either end; 0 for the others."""
+    import xxhash
+
+    out = np.zeros(len(start), dtype=np.uint64)
+    if len(start) > 3:
+        out[1:-2] = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(start[1:-2].tolist(), stop[2:-1].tolist())]
+    return out.view(np.int64)
+
+
 def starts(n: int, start: np.ndarray, stop: np.ndarray, repeated: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of substrings that may be repeated: (context from, to, phrase) and, as rows of ``from`` and ``to`` with phrase -1, thin ones.
 
-    ``repeated`` says of each phrase whether it occurs twice; first and last phrase have no trigger at one end and are never asked.
-    A start is thin when its substring does not hold the whole next phrase.
+    ``repeated`` says of each phrase whether it and the next one stand together
+    twice; the first and the last two have no trigger at one end and are never
+    asked. A start is thin when its substring does not hold the two next phrases.
     """
     many = len(start)
+    last = max(many - 2, 0)  # pairs from here on are open
+    pair_stop = np.append(stop[1:], n + length)
     upto = np.minimum(np.append(start[1:], n), n - length + 1)  # starts of a phrase end here
     after = np.arange(1, many + 1)
-    bounded = after < many - 1  # the next phrase has triggers at both ends
-    next_stop = np.where(bounded, stop[np.minimum(after, many - 1)], n + length)
-    thick = np.maximum(start, next_stop - length)
-    once = np.where(repeated, many - 1, np.arange(many))
-    once[-1] = many - 1
+    bounded = after < last
+    thick = np.maximum(start, np.where(bounded, pair_stop[np.minimum(after, many - 1)], n + length) - length)
+    once = np.where(repeated, last, np.arange(many))
+    once[last:] = last
     once = np.minimum.accumulate(once[::-1])[::-1]
-    bad = once[np.minimum(after, many - 1)]  # the first phrase from the next one on that occurs once
-    end = np.minimum(upto, np.where(bad < many - 1, stop[bad] - length, n))
+    bad = once[np.minimum(after, many - 1)]  # the first pair from the next phrase on that occurs once
+    end = np.minimum(upto, np.where(bad < last, pair_stop[bad] - length, n))
     whole = np.flatnonzero(bounded & (thick < end))
     thin = np.minimum(upto, thick)
     loose = np.flatnonzero(start < thin)
@@ -220,10 +232,8 @@ def _short(key: bytes) -> int:
 
 
 def _parsed(docs: DataFrame, length: int, window: int, modulus: int) -> DataFrame:
-    """(doc_id, n_bytes, sha256, key, k, thin, phrases, twice) per row; phrases of a text once per task."""
-    import xxhash
-
-    fields = "n_bytes long, sha256 string, key binary, k long, thin boolean, phrases array<long>, twice array<long>"
+    """(doc_id, n_bytes, sha256, key, k, thin, pairs, twice) per row; pairs of a text once per task."""
+    fields = "n_bytes long, sha256 string, key binary, k long, thin boolean, pairs array<long>, twice array<long>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -236,14 +246,13 @@ def _parsed(docs: DataFrame, length: int, window: int, modulus: int) -> DataFram
                 if len(raw) >= length and seen.new(key):
                     start, stop = phrases(raw, window, modulus)
                     thin = bool((starts(len(raw), start, stop, np.zeros(len(start), dtype=bool), length)[2] < 0).any())
-                    names = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(start[1:-1].tolist(), stop[1:-1].tolist())]
-                    found, times = np.unique(np.array(names, dtype=np.uint64).view(np.int64), return_counts=True)
+                    found, times = np.unique(pairs(raw, start, stop)[1:-2], return_counts=True)
                     twice = found[times > 1]
                 for column, value in zip(columns, (len(raw), hashlib.sha256(raw).hexdigest(), key, _short(key), thin, found, twice)):
                     column.append(value)
             types = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            names = ["doc_id", "n_bytes", "sha256", "key", "k", "thin", "phrases", "twice"]
+            names = ["doc_id", "n_bytes", "sha256", "key", "k", "thin", "pairs", "twice"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -251,23 +260,43 @@ def _parsed(docs: DataFrame, length: int, window: int, modulus: int) -> DataFram
 
 
 def _flagged(parsed: DataFrame) -> DataFrame:
-    """(k, repeated): the repeated phrases of each text that has any, and texts with thin starts."""
-    each_phrase = parsed.select("k", F.explode("phrases").alias("phrase"))
-    counted = each_phrase.groupBy("phrase").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least <> most").select("phrase")
-    twice = parsed.select(F.explode("twice").alias("phrase"))
-    repeated = materialize(counted.unionAll(twice).distinct(), "repeated-phrases")
-    found = each_phrase.join(repeated, "phrase").select("k", "phrase")
-    thin = parsed.filter("thin").select("k", F.lit(None).cast("long").alias("phrase"))
-    return materialize(found.unionAll(thin).groupBy("k").agg(F.collect_set("phrase").alias("repeated")), "phrases-of-texts")
+    """(k, repeated): the repeated pairs of each text that has any, and texts with thin starts."""
+    each_pair = parsed.select("k", F.explode("pairs").alias("pair"))
+    counted = each_pair.groupBy("pair").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least <> most").select("pair")
+    twice = parsed.select(F.explode("twice").alias("pair"))
+    repeated = materialize(counted.unionAll(twice).distinct(), "repeated-pairs")
+    found = each_pair.join(repeated, "pair").select("k", "pair")
+    thin = parsed.filter("thin").select("k", F.lit(None).cast("long").alias("pair"))
+    return materialize(found.unionAll(thin).groupBy("k").agg(F.collect_set("pair").alias("repeated")), "pairs-of-texts")
+
+
+def _thin(raw: bytes, low: np.ndarray, high: np.ndarray, length: int) -> list[tuple]:
+    """Rows of thin starts: (start, 1, None, hash of the substring, None), each substring of a text once.
+
+    What a text repeats itself (a long run of one letter has a single substring)
+    comes as runs (start, number of starts, None, None, None), and tells other
+    texts of itself by a row that counts twice and has no start.
+    """
+    if not len(low):
+        return []
+    at = np.concatenate([np.arange(i, j) for i, j in zip(low.tolist(), high.tolist())])
+    hashes, which, times = np.unique([_short(_key(raw[x : x + length])) for x in at.tolist()], return_inverse=True, return_counts=True)
+    once = times[which] == 1
+    rows = [(x, 1, None, h, None) for x, h in zip(at[once].tolist(), hashes[which[once]].tolist())]
+    again = at[~once]
+    if len(again):
+        begin = np.flatnonzero(np.append(True, again[1:] != again[:-1] + 1))
+        rows += [(x, n, None, None, None) for x, n in zip(again[begin].tolist(), np.diff(np.append(begin, len(again))).tolist())]
+        rows += [(None, 2, None, h, None) for h in hashes[times > 1].tolist()]
+    return rows
 
 
 def _contexts(docs: DataFrame, flagged: DataFrame, length: int, window: int, modulus: int) -> DataFrame:
     """(key, text, found): texts with starts that may be repeated, each once.
 
     found: first start, number of starts, context (128-bit hash), anchor, the bytes where the task has not sent them
-    before; thin starts have no context and carry the hash of their substring in ``anchor``, one row each.
+    before; thin starts (see ``_thin``) have no context and the hash of their substring in ``anchor``.
     """
-    import xxhash
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -288,13 +317,11 @@ def _contexts(docs: DataFrame, flagged: DataFrame, length: int, window: int, mod
             keys, texts, all_found = [], [], []
             for key, raw, known in zip(batch.column("key").to_pylist(), each(batch.column("raw")), each(batch.column("repeated"))):
                 start, stop = phrases(raw, window, modulus)
-                names = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(start.tolist(), stop.tolist())], dtype=np.uint64).view(np.int64)
+                names = pairs(raw, start, stop)
                 low, high, phrase = starts(len(raw), start, stop, np.isin(names, np.array(known, dtype=np.int64)), length)
-                found = []
-                for i, j, p in zip(low.tolist(), high.tolist(), phrase.tolist()):
-                    if p < 0:
-                        found += [(x, 1, None, _short(_key(raw[x : x + length])), None) for x in range(i, j)]
-                        continue
+                loose = phrase < 0
+                found = _thin(raw, low[loose], high[loose], length)
+                for i, j, p in zip(low[~loose].tolist(), high[~loose].tolist(), phrase[~loose].tolist()):
                     part = raw[i : j + length - 1]
                     context = _key(part)
                     found.append((i, j - i, context, int(names[p + 1]), part if seen.new(context) else None))
@@ -311,10 +338,8 @@ def _contexts(docs: DataFrame, flagged: DataFrame, length: int, window: int, mod
         return materialize(matched.mapInArrow(read, f"key binary, raw binary, found {kind}"), "contexts")
 
 
-def _by_order(contexts: DataFrame, length: int, window: int, modulus: int, shard_bytes: int) -> DataFrame:
+def _by_order(contexts: DataFrame, shards: int, length: int, window: int, modulus: int) -> DataFrame:
     """(context, first, n): runs of repeated starts in contexts that occur once, from the order of bounded shards."""
-    total = contexts.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
 
     def run(table: pa.Table) -> pa.Table:
         strings = [x.as_py() for x in table.column("bytes")]
@@ -350,18 +375,21 @@ def _by_hash(contexts: DataFrame, length: int) -> DataFrame:
 def _hits(texts: DataFrame, length: int, window: int, modulus: int, most_contexts: int, shard_bytes: int) -> DataFrame:
     """(key, at, n): runs of repeated starts of texts."""
     places = texts.select("key", F.explode("found").alias("x")).select("key", "x.*")
-    thin = places.filter("context is null").select("key", "at", F.col("anchor").alias("hash"))
-    often = materialize(thin.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hash"), "thin-repeats")
-    thin = thin.join(often, "hash").select("key", "at", F.lit(1).cast("long").alias("n"))
+    thin = places.filter("context is null and anchor is not null").select("key", "at", F.col("anchor").alias("hash"), "n")
+    often = materialize(thin.groupBy("hash").agg(F.sum("n").alias("times")).filter("times > 1").select("hash"), "thin-repeats")
+    thin = thin.filter("at is not null").join(often, "hash").select("key", "at", "n")
+    thin = thin.unionAll(places.filter("context is null and anchor is null").select("key", "at", "n"))
     whole = places.filter("context is not null")
-    contexts = materialize(
-        whole.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min("anchor").alias("anchor"), F.max("bytes").alias("bytes")), "distinct-contexts"
-    )
+    contexts = whole.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.min("anchor").alias("anchor"), F.max("n").alias("starts"))
+    contexts = materialize(contexts, "distinct-contexts")
     # an anchor needs a second context for one that occurs once to be repeated in part
     anchors = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).filter("contexts > 1 and least = 1")
-    open_ = contexts.join(materialize(anchors, "anchors"), "anchor")
-    few = materialize(open_.filter(F.col("contexts") <= most_contexts).select("context", "anchor", "n", "bytes"), "open-contexts")
-    part = _by_order(few, length, window, modulus, shard_bytes).unionAll(_by_hash(open_.filter(F.col("contexts") > most_contexts), length))
+    open_ = materialize(contexts.join(materialize(anchors, "anchors"), "anchor").select("context", "anchor", "n", "starts", "contexts"), "open-contexts")
+    spelled = whole.filter("bytes is not null").select("context", "bytes")
+    few, many = (open_.filter(F.col("contexts") <= most_contexts), open_.filter(F.col("contexts") > most_contexts))
+    total = few.agg(F.sum(F.col("starts") + length - 1)).first()[0] or 0
+    few, many = (x.select("context", "anchor", "n").join(spelled, "context").dropDuplicates(["context"]) for x in (few, many))
+    part = _by_order(few, max(1, -(-total // shard_bytes)), length, window, modulus).unionAll(_by_hash(many, length))
     occurs = whole.select("key", "at", F.col("n").alias("of"), "context")
     full = occurs.join(contexts.filter("n > 1").select("context"), "context").select("key", "at", F.col("of").alias("n"))
     partly = occurs.drop("of").join(part, "context").select("key", (F.col("at") + F.col("first")).alias("at"), "n")
