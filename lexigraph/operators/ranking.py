@@ -17,7 +17,6 @@ from lexigraph.functions.arrays import tally
 from lexigraph.session import materialize
 
 RANK_DIGITS = 9
-PAGE = 1000
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", tie: str = "uuid", score: str = "score") -> DataFrame:
@@ -191,52 +190,90 @@ class Weights:
         return 1.0 - self.connection - self.temporal - self.query_match - self.entity_type
 
 
-def candidate_degree(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+def candidate_ends(candidates: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uuid, other): a row for every end of an edge at a candidate; a self-loop has one end."""
+    ends = edges.select(
+        F.inline(
+            F.array_distinct(
+                F.array(
+                    F.struct(F.col("src").alias("uuid"), F.col("dst").alias("other")),
+                    F.struct(F.col("dst").alias("uuid"), F.col("src").alias("other")),
+                )
+            )
+        )
+    )
+    return ends.join(candidates.select("uuid").distinct(), "uuid")
+
+
+def candidate_degree(candidates: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(uuid, degree) for the candidates: ends are counted per task before they move, so a hub moves as a few numbers."""
     wanted = candidates.select("uuid").distinct()
-    counted = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("uuid")).groupBy("uuid").agg(F.count(F.lit(1)).alias("degree"))
+    if ends is None:
+        ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("uuid"))
+    counted = ends.groupBy("uuid").agg(F.count(F.lit(1)).alias("degree"))
     return wanted.join(counted, "uuid", "left").select("uuid", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def connection_score(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidates plus ``degree`` and ``connection_score``: degree over the question's largest."""
+def connection_score(candidates: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Candidates plus ``degree`` and ``connection_score``: degree over the question's largest.
+
+    ``ends`` are the candidates' ends where they have been found already.
+    """
     top = F.max("degree").over(Window.partitionBy("query_id"))
-    return candidates.join(candidate_degree(candidates, edges), "uuid").withColumn(
+    return candidates.join(candidate_degree(candidates, edges, ends), "uuid").withColumn(
         "connection_score", F.coalesce(F.col("degree") / F.nullif(top, F.lit(0)), F.lit(0.0))
     )
 
 
-def neighbour_hits(candidates: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct substrings of ``size`` characters."""
+    last = F.length(text) - size + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def name_matches(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """(uuid, term) for the names (uuid, name) that contain a term.
+
+    Postings of the names' trigrams; a term looks only at the names that have
+    its rarest trigram, and those are tried. Terms of one or two characters have
+    postings of their length. The lists are written, so a trigram that most names
+    share is split by adaptive execution.
+    """
+    sized = materialize(terms.select("term", F.least(F.length("term"), F.lit(GRAM)).alias("size")).where("size > 0").distinct(), "terms")
+    sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())
+    if not sizes:
+        return names.select("uuid", F.lit("").alias("term")).limit(0)
+    by_size = lambda text: F.concat(*[F.when(F.col("size") == n, _grams(text, n)).otherwise(F.expr("cast(array() as array<string>)")) for n in sizes])
+    postings = names.select("uuid", "name", F.explode(F.concat(*[_grams(F.col("name"), n) for n in sizes])).alias("gram"))
+    postings = materialize(postings, "name-grams")
+    parts = sized.select("term", F.explode(by_size(F.col("term"))).alias("gram"))
+    counted = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a trigram that no name has rules its term out, and is rarer than any other
+    rated = parts.join(counted, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    chosen = materialize(rated, "rarest-grams")
+    return postings.join(chosen, "gram").where(F.contains("name", "term")).select("uuid", "term")
+
+
+def neighbour_hits(candidates: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(query_id, uuid, neighbour_hits): question terms found in names of neighbours.
 
-    ``questions`` carries ``important_terms``. Each (node, term) is tried once,
-    whatever number of questions share it. The neighbours of a hub are dealt
-    into pages of about ``PAGE`` by hash and its terms are tried page by page, so
-    no task holds a hub; the hits are combined per task before they move.
+    ``questions`` carries ``important_terms``. Names are matched with terms once,
+    whatever number of nodes and questions share them, through their trigrams; a
+    candidate's hits are its neighbours' matches, combined per task before they
+    move. A hub with many neighbours and many terms costs what matches, not
+    every pair of both.
     """
     terms = questions.select("query_id", F.explode("important_terms").alias("term"))
-    asked = candidates.select("query_id", "uuid").join(terms, "query_id")
-    degrees = candidate_degree(candidates, edges).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("degree") / PAGE)).cast("int"))
-    wanted = materialize(degrees.select("uuid", "pages"), "candidate-pages")
-    ends = edges.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("src").alias("uuid"), F.col("dst").alias("other")),
-                F.struct(F.col("dst").alias("uuid"), F.col("src").alias("other")),
-            )
-        )
-    ).join(wanted, "uuid")
-    paged = ends.withColumn("page", F.pmod(F.xxhash64("other"), "pages").cast("int"))
-    named = paged.join(nodes.select(F.col("uuid").alias("other"), F.lower("name").alias("other_name")), "other")
-    tried = asked.select("uuid", "term").distinct().join(wanted, "uuid")
-    tried = tried.select("uuid", "term", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"))
-    found = (
-        named.select("uuid", "page", "other_name")
-        .join(tried, ["uuid", "page"])
-        .where(F.contains("other_name", "term"))
-        .select("uuid", "term")
-        .distinct()
-    )
+    asked = materialize(candidates.select("query_id", "uuid").join(terms, "query_id"), "asked-terms")
+    ends = candidate_ends(candidates, edges) if ends is None else ends
+    others = ends.select(F.col("other").alias("uuid")).distinct()
+    names = nodes.select("uuid", F.lower("name").alias("name")).join(others, "uuid")
+    matches = materialize(name_matches(names, asked.select("term")).withColumnRenamed("uuid", "other"), "name-matches")
+    found = ends.join(matches, "other").select("uuid", "term").distinct()
     return asked.join(found, ["uuid", "term"]).groupBy("query_id", "uuid").agg(F.count(F.lit(1)).alias("neighbour_hits"))
 
 

@@ -84,9 +84,10 @@ def question_aware(
         .drop("_mentions")
         .withColumn("type_counts", E.type_counts(F.col("recognized_entities")))
     )
-    hits = R.neighbour_hits(found, questions, nodes, edges)
+    ends = materialize(R.candidate_ends(found, edges), "candidate-ends")  # edges are read once
+    hits = R.neighbour_hits(found, questions, nodes, edges, ends)
     rows = (
-        R.connection_score(found, edges)
+        R.connection_score(found, edges, ends)
         .join(details, "uuid")
         .join(questions, "query_id")
         .join(hits, ["query_id", "uuid"], "left")

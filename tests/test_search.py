@@ -94,6 +94,30 @@ def test_entity_type_score(one):
     assert one("x", lambda c: S.entity_type_score(none, F.array(entry("PER", 1)))) == 1.0
 
 
+def test_names_are_matched_through_trigrams(spark):
+    """Against every pair: short terms, terms without a trigram in any name, repeated grams and non-ASCII."""
+    names = ["order 1", "orders of banana", "ab", "", None, "ananan", "café crème", "x y z", "aaa", "customer#00001", "😀 smile"]
+    terms = ["order", "an", "a", "anan", "fé", "zzz", "crème", "y", "aaaa", "customer#00001", "😀 ", "order", ""]
+    rows = spark.createDataFrame([(f"n{i}", n) for i, n in enumerate(names)], "uuid string, name string")
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = sorted(tuple(r) for r in R.name_matches(rows, asked).distinct().collect())
+    assert got == sorted({(f"n{i}", t) for i, n in enumerate(names) if n for t in terms if t and t in n})
+    assert R.name_matches(rows, asked.where("term = ''")).count() == 0
+
+
+def test_hub_with_many_neighbours_and_terms(spark):
+    """10^5 neighbours and 10^3 terms: what is tried is what shares a rare trigram, far from every pair."""
+    n, m = 100_000, 1000
+    nodes = spark.range(n).select(F.col("id").cast("string").alias("uuid"), F.concat(F.lit("Name#"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("name"))
+    nodes = nodes.unionByName(spark.createDataFrame([("hub", "Hub")], "uuid string, name string"))
+    edges = spark.range(n).select(F.lit("hub").alias("src"), F.col("id").cast("string").alias("dst"))
+    terms = [f"{7 * i:07d}" for i in range(m - 2)] + ["absent", "name#"]
+    questions = spark.createDataFrame([(1, terms), (2, ["hub", "9999999"])], "query_id long, important_terms array<string>")
+    candidates = spark.createDataFrame([(1, "hub"), (2, "hub"), (2, "5")], "query_id long, uuid string")
+    hits = {(r["query_id"], r["uuid"]): r["neighbour_hits"] for r in R.neighbour_hits(candidates, questions, nodes, edges).collect()}
+    assert hits == {(1, "hub"): m - 1, (2, "5"): 1}
+
+
 def test_weights_are_checked():
     assert R.Weights().semantic == pytest.approx(0.30)
     with pytest.raises(ValueError):
@@ -232,8 +256,7 @@ def test_vectors_in_blocks_agree_with_brute_force(spark, monkeypatch):
         assert found == expected
 
 
-def test_hub_neighbours_are_tried_page_by_page(spark, monkeypatch):
-    monkeypatch.setattr(R, "PAGE", 10)
+def test_hub_neighbours_are_matched(spark):
     nodes = spark.createDataFrame([("hub", "Hub")] + [(f"n{i}", f"Leaf {i}") for i in range(200)], "uuid string, name string")
     edges = spark.createDataFrame([("hub", f"n{i}", "x") for i in range(200)] + [("n0", "n1", "x")], "src string, dst string, rel_type string")
     asked = spark.createDataFrame([(1, ["leaf 19", "nothing", "hub"]), (2, ["hub"])], "query_id long, important_terms array<string>")
