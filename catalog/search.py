@@ -366,6 +366,33 @@ def central(spark, sf):
     return G.central(star_candidates(spark, sf, nodes, questions).select("query_id", "uuid", "score"), star_edges(spark, sf))
 
 
+CENTERS = f"""{STAR_CANDIDATES}, joined as (select query_id, src, round(original_score, 9) as s from cand join edge on edge.dst = cand.uuid),
+    centered as (select query_id, max(src) as center from joined where (query_id, s) in (select query_id, max(s) from joined group by query_id) group by query_id),
+    walk(center, uuid, hops) as (
+      select distinct center, center, 0 from centered
+      union select walk.center, ends.other, walk.hops + 1 from walk join ends on ends.uuid = walk.uuid where walk.hops < 3),
+    away as (select center, uuid, min(hops) as hops from walk group by center, uuid)"""
+
+
+@query("graph_distance", f"with recursive {CENTERS} select query_id, uuid, hops from centered join away using (center)")
+def distance(spark, sf):
+    """Every node within three edges of a question's center."""
+    nodes, questions, edges = star_nodes(spark, sf), star_questions(spark, sf), star_edges(spark, sf)
+    candidates = materialize(star_candidates(spark, sf, nodes, questions).select("query_id", "uuid", "score"), "distance-candidates")
+    return G.distances(materialize(G.central(candidates, edges), "centers"), edges)
+
+
+@query(
+    "search_by_distance",
+    f"""with recursive {CENTERS} select query_id, cand.uuid, hops, row_number() over (partition by query_id order by hops nulls last, round(original_score, 9) desc, cand.uuid) as rank
+    from cand left join centered using (query_id) left join away on away.center = centered.center and away.uuid = cand.uuid""",
+)
+def distance_search(spark, sf):
+    nodes, questions, edges = star_nodes(spark, sf), star_questions(spark, sf), star_edges(spark, sf)
+    candidates = materialize(star_candidates(spark, sf, nodes, questions).select("query_id", "uuid", "score"), "distance-candidates")
+    return search.by_distance(candidates, edges).select("query_id", "uuid", "hops", F.col("rank").cast("long").alias("rank"))
+
+
 KINDS_AT = """kinds_at as (select uuid, array_to_string(list(distinct rel_type order by rel_type), ',') as relationship_types from ends group by uuid)"""
 
 

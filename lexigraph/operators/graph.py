@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigraph.functions import entities as E
+from lexigraph.session import materialize
 
 EDGE_SCHEMA = "src string, dst string, rel_type string"
 
@@ -203,6 +204,33 @@ def central(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return scored.groupBy("query_id").agg(best.alias("center"))
 
 
+def distances(centers: DataFrame, edges: DataFrame, most_hops: int = 3) -> DataFrame:
+    """(query_id, uuid, hops): nodes within ``most_hops`` edges, either way, of a question's center (query_id, center).
+
+    One breadth-first search per distinct center, whatever number of questions
+    share it. A round joins the last frontier with the edges and keeps what no
+    earlier round has; frontiers are written, so nothing is searched twice and a
+    hub's edges are split by adaptive execution. The center itself has 0 hops.
+    """
+    both = materialize(_ends(edges).select("uuid", "other").where(F.col("uuid") != F.col("other")).distinct(), "edge-ends")
+    asked = centers.select("query_id", F.col("center").alias("source")).where(F.col("source").isNotNull()).distinct()
+    frontier = materialize(asked.select("source", F.col("source").alias("uuid")).distinct(), "frontier")
+    rounds = [frontier.withColumn("hops", F.lit(0))]
+    for hops in range(1, most_hops + 1):
+        seen = rounds[0].select("source", "uuid")
+        for earlier in rounds[1:]:
+            seen = seen.unionAll(earlier.select("source", "uuid"))
+        step = frontier.join(both, "uuid").select("source", F.col("other").alias("uuid")).distinct()
+        frontier = materialize(step.join(seen, ["source", "uuid"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        rounds.append(frontier.withColumn("hops", F.lit(hops)))
+    found = rounds[0]
+    for later in rounds[1:]:
+        found = found.unionAll(later)
+    return asked.join(found, "source").select("query_id", "uuid", "hops")
+
+
 def write(nodes: DataFrame, edges: DataFrame, folder: str, mode: str = "append") -> None:
     """Append nodes and edges as Parquet; edges are laid out by type."""
     nodes.write.mode(mode).parquet(f"{folder}/nodes")

@@ -60,6 +60,19 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(best_first))
 
 
+def by_distance(candidates: DataFrame, edges: DataFrame, most_hops: int = 3) -> DataFrame:
+    """Re-rank candidates around the center of each question's hits: the fewer edges away the better, then by score.
+
+    The center is the source of the best-scored edge. Candidates beyond
+    ``most_hops``, and all of a question without a center, keep their order at the end.
+    """
+    found = candidates.select("query_id", "uuid", F.coalesce("score", F.lit(1.0)).alias("original_score"))
+    away = G.distances(G.central(candidates, edges), edges, most_hops)
+    rows = found.join(away, ["query_id", "uuid"], "left")
+    nearest = Window.partitionBy("query_id").orderBy(F.col("hops").asc_nulls_last(), F.round("original_score", R.RANK_DIGITS).desc(), "uuid")
+    return rows.withColumn("rank", F.row_number().over(nearest))
+
+
 def question_aware(
     questions: DataFrame,
     candidates: DataFrame,

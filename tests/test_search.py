@@ -118,6 +118,39 @@ def test_hub_with_many_neighbours_and_terms(spark):
     assert hits == {(1, "hub"): m - 1, (2, "5"): 1}
 
 
+def walked(edges, source, most):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    hops, front = {source: 0}, {source}
+    for h in range(1, most + 1):
+        front = {o for u in front for o in near.get(u, ())} - set(hops)
+        hops.update(dict.fromkeys(front, h))
+    return hops
+
+
+def test_distances_along_a_chain_and_past_a_hub(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(12)]
+    hub = [("hub", f"leaf{i:05d}") for i in range(3000)] + [("c3", "hub"), ("leaf00000", "far"), ("c1", "c1"), ("c5", "c3")]
+    edges = spark.createDataFrame([(a, b, "x") for a, b in chain + hub], "src string, dst string, rel_type string")
+    centers = spark.createDataFrame([(1, "c0"), (2, "c3"), (3, "c0"), (4, "nowhere"), (5, None)], "query_id long, center string")
+    for most in (1, 4, 50):
+        got = {}
+        for r in G.distances(centers, edges, most).collect():
+            assert r["uuid"] not in got.setdefault(r["query_id"], {})
+            got[r["query_id"]][r["uuid"]] = r["hops"]
+        assert got == {q: walked(chain + hub, c, most) for q, c in ((1, "c0"), (2, "c3"), (3, "c0"), (4, "nowhere"))}
+
+
+def test_rank_by_distance_from_the_center(spark):
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "d", "x"), ("e", "f", "x")], "src string, dst string, rel_type string")
+    found = spark.createDataFrame([(1, "b", 0.9), (1, "c", 0.1), (1, "d", 0.2), (1, "e", 0.8), (1, "a", 0.05), (2, "e", 0.3), (2, "zz", 0.4)], "query_id long, uuid string, score double")
+    rows = sorted((r["query_id"], r["rank"], r["uuid"], r["hops"]) for r in search.by_distance(found, edges, 2).collect())
+    # the best-scored edge of the first question comes from a; the second has no edge into a hit
+    assert rows == [(1, 1, "a", 0), (1, 2, "b", 1), (1, 3, "c", 2), (1, 4, "e", None), (1, 5, "d", None), (2, 1, "zz", None), (2, 2, "e", None)]
+
+
 def test_weights_are_checked():
     assert R.Weights().semantic == pytest.approx(0.30)
     with pytest.raises(ValueError):
