@@ -177,13 +177,15 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def _survivors(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(cls, n, hashes) of the classes that may link to another one: steps 2 and 3."""
-    postings = known.filter("first is not null").select(F.explode("first").alias("hash"), "cls", F.col("n_shingles").alias("n"))
+    postings = known.filter("first is not null").select(F.explode("first").alias("hash"), "cls")
+    sizes = known.groupBy("cls").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     # most lists have one class and go here; copies in different tasks give equal postings
     lists = postings.groupBy("hash").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("hash")
-    kept = materialize(postings.join(materialize(lists, "shared-lists"), "hash").distinct(), "shared-postings")
+    kept = postings.join(materialize(lists, "shared-lists"), "hash").distinct()
+    kept = materialize(kept.join(sizes.select("cls", "n"), "cls").select("hash", "cls", "n"), "shared-postings")
     asked = 1 + F.floor(_need(F.col("n")) / 20)  # what the smallest partner still guarantees
     first = _shared(kept).groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= asked)
-    first = first.join(known.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls").select("cls", "doc_id")
+    first = first.join(sizes, "cls").select("cls", "doc_id")
     first = materialize(first, "screened")
     rows = first.count()
     chosen = first.select(F.col("doc_id").alias("chosen")).distinct()

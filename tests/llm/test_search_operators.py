@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lexigraph.llm import ann, html, jaccard, queries, toxicity
+from lexigraph.llm import ann, components as component_module, html, jaccard, queries, toxicity
 from lexigraph.llm.components import components
 from oracle import compare, connect
 
@@ -133,7 +133,9 @@ def test_t_occurrence_finds_each_link():
     assert found == linked and 100 < len(linked) < 3540
 
 
-def test_components_of_a_long_chain_and_a_hub(spark):
+@pytest.mark.parametrize("few", [0, 500, 10**6])
+def test_components_of_a_long_chain_and_a_hub(spark, monkeypatch, few):
+    monkeypatch.setattr(component_module, "FEW", few)
     chain = [(i, i + 1) for i in range(100, 300)]
     hub = [(7, i) for i in range(1000, 1200)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain + hub + [(5, 5)], "a long, b long")).collect()}
