@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigraph.functions import text as T
 from lexigraph.functions.arrays import let, sum_by_item, tally
+from lexigraph.operators.sketch import SLOTS, sketch
 from lexigraph.session import materialize
 
 EPSILON = 1e-12
@@ -287,21 +288,45 @@ def inverse_frequency(
 
 
 def _weigh(
-    postings: DataFrame, counts: DataFrame, idf: Column, key: str, terms: list[str], groups: list[str]
+    postings: DataFrame, counts: DataFrame, idf: Column, key: str, terms: list[str], groups: list[str], alone: DataFrame | None = None
 ) -> DataFrame:
     """Attach L2-normalised tf·idf as ``score``; rows of near-zero weight get null.
 
     Term keys can be hot, so this is a plain equi-join of two tables: adaptive
     execution turns it into a broadcast when the counts prove small and splits
-    skewed partitions otherwise. The norm then needs one exchange by document.
+    skewed partitions otherwise. ``alone`` are postings that carry their ``df``
+    and need no join. The norm then needs one exchange by document.
     """
     per_doc = Window.partitionBy(key, *groups)
-    weighted = postings.join(counts, terms, "left").withColumn("w", F.col("tf") * idf)
+    known = postings.join(counts, terms, "left")
+    known = known if alone is None else known.unionByName(alone)
+    weighted = known.withColumn("w", F.col("tf") * idf)
     live = F.when(F.abs(F.col("w")) > EPSILON, F.col("w"))
     normed = live / F.sqrt(F.sum(live * live).over(per_doc))
     return weighted.withColumn("score", F.when(F.abs(normed) > EPSILON, normed)).drop("w", "df")
 
 
+def shared_phrases(rows: DataFrame, distinct: DataFrame, self_corpus: bool, most_slots: int = SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows to join, corpus rows to count, rows with their df): phrases of one document are told by a sketch and stay where they are.
+
+    Most phrases occur once. In a table that is its own corpus such a phrase has
+    df 1; against another corpus one that the corpus lacks has none. Both are known
+    without a join; what the sketch cannot tell is counted and joined, so the
+    result is exact.
+    """
+    spark, h = rows.sparkSession, F.xxhash64("n", "keyword")
+    slots = min(most_slots, 1 << max(13, (8 * distinct.count()).bit_length()))  # a small table has a small sketch
+    known = sketch(distinct.select(h.alias("h")), slots)
+    if self_corpus:
+        met = rows.withColumn("_met", known.may_repeat(h, spark))
+        shared, counted = met.filter("_met").drop("_met"), None
+    else:
+        met = rows.withColumn("_met", known.may_occur(h, spark))
+        shared, counted = met.filter("_met").drop("_met"), distinct
+    alone = met.filter("not _met").drop("_met").withColumn("df", F.lit(1 if self_corpus else 0).cast("long"))
+    return shared, shared if counted is None else counted, alone
+
+
 def tfidf(
     docs: DataFrame,
     key: str = "doc_id",
@@ -338,13 +363,15 @@ def ngram_tfidf(
             F.array_distinct(options.grams(F.col("tokens"), n)), lambda g: F.struct(F.lit(n).alias("n"), g.alias("keyword"))
         )
 
+    rows = materialize(rows, "phrase-postings")
     if corpus is None:
-        distinct = rows = materialize(rows, "phrase-postings")
+        distinct = rows
     else:
         tokens = corpus.select(options.tokens(F.col(corpus_text)).alias("tokens"))
-        distinct = tokens.select(F.inline(F.concat(*[of_size(n) for n in options.sizes])))
-    counts, idf = inverse_frequency(distinct, docs, corpus, ["n", "keyword"])
-    scored = _weigh(rows, counts, idf, key, ["n", "keyword"], ["n"])
+        distinct = materialize(tokens.select(F.inline(F.concat(*[of_size(n) for n in options.sizes]))), "corpus-phrases")
+    shared, counted, alone = shared_phrases(rows, distinct, corpus is None)
+    counts, idf = inverse_frequency(counted, docs, corpus, ["n", "keyword"])
+    scored = _weigh(shared, counts, idf, key, ["n", "keyword"], ["n"], alone)
     return scored.where(F.col("score").isNotNull()).select(key, "n", "keyword", "score")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.operators import keywords as K
+from lexigraph.operators.sketch import sketch
 from test_text import words_by_hand
 
 TEXTS = [
@@ -175,3 +176,36 @@ def test_a_word_of_every_document_is_split_over_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_sketch_never_calls_a_repeated_key_single(spark):
+    keys = [draw * 7919 for draw in (*range(300), *range(100, 150), 7, 7, 7, -3, -3, -(2**49))]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    for slots, few in ((8, False), (1 << 16, True)):
+        known = sketch(rows, slots)
+        asked = spark.createDataFrame([(k,) for k in {*keys, *range(10**9, 10**9 + 200)}], "k long")
+        looked = asked.select("k", known.may_occur(F.col("k"), spark).alias("occurs"), known.may_repeat(F.col("k"), spark).alias("repeats")).collect()
+        for r in looked:
+            n = keys.count(r["k"])
+            assert (r["occurs"] or n == 0) and (r["repeats"] or n < 2)
+        if few:  # and it tells most of what it could
+            assert sum(r["repeats"] for r in looked) < 80 and sum(r["occurs"] for r in looked) < 350
+    empty = sketch(rows.limit(0), 8)
+    assert not rows.filter(empty.may_occur(F.col("k"), spark)).count()
+
+
+def test_phrases_of_one_document_are_not_joined(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    corpus = docs.filter("doc_id % 2 = 0")
+    plain = lambda df: sorted((r["doc_id"], r["n"], r["keyword"], round(r["score"], 9)) for r in df.collect())
+    rows = K.ngram_freq(docs).withColumnRenamed("score", "tf")
+    for against in (None, corpus):
+        told = plain(K.ngram_tfidf(docs, corpus=against))
+        with monkeypatch.context() as patch:  # a sketch that says nothing: every phrase is joined
+            patch.setattr(K, "sketch", lambda keys, slots: sketch(keys, 8))
+            assert plain(K.ngram_tfidf(docs, corpus=against)) == told
+    shared, counted, alone = K.shared_phrases(rows, rows, True)
+    moved, left = shared.count(), alone.count()
+    assert moved + left == rows.count() and moved < 0.6 * (moved + left) and counted is shared
+    single = rows.groupBy("n", "keyword").count().filter("count = 1").count()
+    assert left > 0.9 * single
