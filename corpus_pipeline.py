@@ -13,34 +13,50 @@ from lexigraph.llm.common import free_name, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; the scorer learns from the labelled ones that are not held out."""
+    """Documents whose toxicity score is below 0.5; the scorer learns from the labelled ones that are not held out.
+
+    Null and empty texts are scored like others and stay; repeated rows share a
+    score. An empty table gives an empty table.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = free_name(docs, "_score")
     return toxicity.score(docs, model, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest id; repeated rows stay once."""
-    groups = jaccard.join(docs)
-    stays, number = free_name(docs, "_stays"), free_name(docs, "_number")
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(stays)).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(stays)), "left_semi")
+    """Of every group of near duplicates the row with the smallest id, of rows with one id the one whose text has the least hash.
+
+    A row without an id stays only where its group has no other. Null, empty and
+    blank texts are in no group; rows that are equal in id and text stay once.
+    """
+    found = jaccard.groups(docs)
+    stays, text_hash, number = (free_name(docs, c) for c in ("_stays", "_text_hash", "_number"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text_hash"))
+    first = found.filter("grp is not null").groupBy("grp").agg(best.alias("best")).select(F.col("best.id").alias(stays), F.col("best.text_hash").alias(text_hash))
+    alone = found.filter("grp is null").select(F.col("doc_id").alias(stays), F.col("text_hash").alias(text_hash)).distinct()
+    chosen = materialize(first.unionAll(alone), "chosen-rows")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(stays)) & (F.xxhash64("text") == F.col(text_hash)), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return kept.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked."""
+    """All documents, their secrets masked. Null and empty texts, repeated rows and other columns stay as they are."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Texts without words (null ones too) have no size and are taken at their
+    source's rate; of a source without any words nothing is taken. A null source is
+    a source of its own, repeated rows are rows. An empty table gives an empty table.
+    """
     return mixing.resample(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their sequence and the place in it."""
+    """Pieces with their sequence and the place in it; a null or empty text is one closing token, a repeated row is packed again."""
     return packing.pack(packing.pieces(docs))
 
 

@@ -94,7 +94,7 @@ def _class(values: np.ndarray) -> int:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls, first): one row per row; equal sets have one class, an empty set has none.
+    """(doc_id, text_hash, n_shingles, cls, first): one row per row; equal sets have one class, an empty set has none.
 
     ``first`` are a set's first shingles in the global order, where a task meets
     the class for the first time; elsewhere it is null.
@@ -114,11 +114,12 @@ def facts(docs: DataFrame) -> DataFrame:
                 sizes.append(n)
                 names.append(name)
                 firsts.append(values[: n - need(n) + slack(n)].view(np.int64) if new else None)
-            arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "cls", "first"])
+            made = [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "n_shingles", "cls", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n_shingles long, cls long, first array<long>")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return hashed.mapInArrow(read, f"doc_id {kind}, text_hash long, n_shingles long, cls long, first array<long>")
 
 
 def _whole_sets(docs: DataFrame) -> DataFrame:
@@ -357,7 +358,15 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     component is its own id. Repeated rows and ids are handled row by row; rows
     with equal sets are in one component. A component is named by its smallest
     id; rows with a null id join components but never name one unless alone.
-    An empty table gives no rows.
+    Texts are read whole, however long. An empty table gives no rows.
+    """
+    return groups(docs, block).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``join`` with text_hash (of the row's text) and grp, which tells components apart even where ids repeat.
+
+    An empty set has a null grp.
     """
     plain = docs.select("doc_id", "text")
     with batches_of(docs.sparkSession, BATCH_ROWS):
@@ -366,8 +375,9 @@ def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     survivors = _survivors(plain, with_set)
     links = class_links(survivors, materialize(_groups(survivors), "groups"), block)
     parts = components(links).select(F.col("id").alias("cls"), F.col("component").alias("part"))
-    named = with_set.groupBy("cls").agg(F.min("doc_id").alias("first")).join(parts, "cls", "left")
-    least = named.filter("part is not null").groupBy("part").agg(F.min("first").alias("least"))
-    named = named.join(least, "part", "left").select("cls", F.coalesce("least", "first").alias("component_id"))
+    named = with_set.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(parts, "cls", "left")
+    least = named.filter("part is not null").groupBy("part").agg(F.min("first_id").alias("least"))
+    named = named.join(least, "part", "left").select("cls", F.coalesce("least", "first_id").alias("component_id"), F.coalesce("part", "cls").alias("grp"))
     joined = known.drop("first").join(named, "cls", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "grp")
