@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import documents, mention_cte, quoted, query, sentence_cte, table
 from lexigraph.functions import constants as C, entities as E
-from lexigraph.operators import entities as O
+from lexigraph.operators import entities as O, gazetteer as G
 from lexigraph.session import spread
 
 MENTIONS = mention_cte("documents", "doc_id", "text")
@@ -197,3 +197,47 @@ def blocks(spark, sf):
 def label_to_type(spark, sf):
     labels = F.array(F.lit("Entity"), F.col("c_mktsegment"), F.when(F.col("c_nationkey") % 2 == 0, "PER").otherwise("ORG"), F.lit("LOC"))
     return table(spark, sf, "customer").select("c_custkey", E.label_type(labels).alias("type"))
+
+
+# -- dictionary tagger over shipments: places and companies by name ---------------------
+
+SHIPMENTS = """shipment as (
+      select l_orderkey * 10 + l_linenumber as doc_id, 'Item ' || l_partkey || ' was shipped by ' || s_name || ' (' || lower(n_name) || ', ' || r_name || ') on ' || strftime(l_shipdate, '%Y-%m-%d') || '.' as text
+      from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+    gazetteer as (select n_name as name, 'LOC' as type from nation union all select r_name, 'LOC' from region union all select s_name, 'ORG' from supplier)"""
+
+
+def shipments(spark, sf):
+    """A sentence per order line that names the supplier, its nation and its region."""
+    line, supplier, nation, region = (table(spark, sf, n) for n in ("lineitem", "supplier", "nation", "region"))
+    named = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = line.join(named, F.col("l_suppkey") == F.col("s_suppkey"))
+    text = F.concat(
+        F.lit("Item "), F.col("l_partkey").cast("string"), F.lit(" was shipped by "), "s_name", F.lit(" ("), F.lower("n_name"), F.lit(", "), "r_name",
+        F.lit(") on "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("."),
+    )
+    return spread(rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), text.alias("text")))
+
+
+def star_gazetteer(spark, sf):
+    """Nations and regions are places, suppliers organisations."""
+    names = lambda t, c, kind: table(spark, sf, t).select(F.col(c).alias("name"), F.lit(kind).alias("type"))
+    return names("nation", "n_name", "LOC").unionByName(names("region", "r_name", "LOC")).unionByName(names("supplier", "s_name", "ORG"))
+
+
+@query(
+    "ner_gazetteer",
+    f"""with {SHIPMENTS},
+    word as (select doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from shipment),
+    entry as (select regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+') as words, min(type) as type from gazetteer group by 1),
+    place as (select doc_id, text, w, unnest(range(1, len(w) + 1)) as at from word),
+    hit as (select doc_id, at, len(words) as n, words, type from place join entry on w[at] = words[1] and w[at:at + len(words) - 1] = words),
+    covered as (select doc_id, at, n, type, words, unnest(range(at, at + n)) as pos from hit),
+    judged as (select *, row_number() over (partition by doc_id, pos order by n desc, at) as r from covered)
+    select doc_id, array_to_string(words, ' ') as name, type, count(*) as mentions from (
+      select doc_id, at, words, type from judged group by doc_id, at, n, words, type having max(r) = 1) group by all""",
+)
+def gazetteer(spark, sf):
+    found = G.gazetteer_mentions(shipments(spark, sf), star_gazetteer(spark, sf))
+    name = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+    return found.groupBy("doc_id", name.alias("name"), "type").agg(F.count(F.lit(1)).alias("mentions"))
