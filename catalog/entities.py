@@ -202,21 +202,23 @@ def label_to_type(spark, sf):
 # -- dictionary tagger over shipments: places and companies by name ---------------------
 
 SHIPMENTS = """shipment as (
-      select l_orderkey * 10 + l_linenumber as doc_id, 'Item ' || l_partkey || ' was shipped by ' || s_name || ' (' || lower(n_name) || ', ' || r_name || ') on ' || strftime(l_shipdate, '%Y-%m-%d') || '.' as text
-      from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+      select l_orderkey as doc_id, 'Order ' || l_orderkey || ' was shipped by ' || s_name || ' (' || lower(n_name) || ', ' || r_name || ') from ' || strftime(day, '%Y-%m-%d') || '.' as text
+      from (select l_orderkey, min(l_suppkey) as l_suppkey, min(l_shipdate) as day from lineitem group by l_orderkey)
+      join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
     gazetteer as (select n_name as name, 'LOC' as type from nation union all select r_name, 'LOC' from region union all select s_name, 'ORG' from supplier)"""
 
 
 def shipments(spark, sf):
-    """A sentence per order line that names the supplier, its nation and its region."""
+    """A sentence per order that names its first supplier with nation and region."""
     line, supplier, nation, region = (table(spark, sf, n) for n in ("lineitem", "supplier", "nation", "region"))
     named = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = line.join(named, F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = line.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_shipdate").alias("day"))
+    rows = orders.join(named, F.col("l_suppkey") == F.col("s_suppkey"))
     text = F.concat(
-        F.lit("Item "), F.col("l_partkey").cast("string"), F.lit(" was shipped by "), "s_name", F.lit(" ("), F.lower("n_name"), F.lit(", "), "r_name",
-        F.lit(") on "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("."),
+        F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit(" was shipped by "), "s_name", F.lit(" ("), F.lower("n_name"), F.lit(", "), "r_name",
+        F.lit(") from "), F.date_format("day", "yyyy-MM-dd"), F.lit("."),
     )
-    return spread(rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), text.alias("text")))
+    return spread(rows.select(F.col("l_orderkey").alias("doc_id"), text.alias("text")))
 
 
 def star_gazetteer(spark, sf):
@@ -230,12 +232,12 @@ def star_gazetteer(spark, sf):
     f"""with {SHIPMENTS},
     word as (select doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from shipment),
     entry as (select regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+') as words, min(type) as type from gazetteer group by 1),
-    place as (select doc_id, text, w, unnest(range(1, len(w) + 1)) as at from word),
-    hit as (select doc_id, at, len(words) as n, words, type from place join entry on w[at] = words[1] and w[at:at + len(words) - 1] = words),
-    covered as (select doc_id, at, n, type, words, unnest(range(at, at + n)) as pos from hit),
-    judged as (select *, row_number() over (partition by doc_id, pos order by n desc, at) as r from covered)
+    place as (select doc_id, text, w, unnest(range(1, len(w) + 1)) as spot from word),
+    hit as (select doc_id, spot, len(words) as n, words, type from place join entry on w[spot] = words[1] and w[spot:spot + len(words) - 1] = words),
+    covered as (select doc_id, spot, n, type, words, unnest(range(spot, spot + n)) as pos from hit),
+    judged as (select *, row_number() over (partition by doc_id, pos order by n desc, spot) as r from covered)
     select doc_id, array_to_string(words, ' ') as name, type, count(*) as mentions from (
-      select doc_id, at, words, type from judged group by doc_id, at, n, words, type having max(r) = 1) group by all""",
+      select doc_id, spot, words, type from judged group by doc_id, spot, n, words, type having max(r) = 1) group by all""",
 )
 def gazetteer(spark, sf):
     found = G.gazetteer_mentions(shipments(spark, sf), star_gazetteer(spark, sf))
