@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +53,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table that several later steps read, and return it as read back."""
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables that ``materialize`` writes inside are deleted at the end, but for those that are told to stay.
+
+    For steps whose own result is written before the end; what is read lazily later must stay.
+    """
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scopes.pop():
+            remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, stays: bool = False) -> DataFrame:
+    """Write a table that several later steps read, and return it as read back.
+
+    Inside ``temporary`` it goes with the scope, unless it ``stays`` for the scope around that one.
+    """
     path = scratch_path(df.sparkSession, name)
+    scopes = _open_scopes[:-1] if stays else _open_scopes
+    if scopes:
+        scopes[-1].append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

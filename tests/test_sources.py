@@ -201,3 +201,19 @@ def test_requests(spark):
 
 def test_scratch_folder_is_the_configured_one(spark):
     assert scratch_dir(spark) == scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_temporary_tables_go_and_those_that_stay_stay(spark):
+    from lexigraph.session import exists, materialize, temporary
+
+    rows = spark.range(5)
+    path = lambda df: df.inputFiles()[0].rsplit("/", 1)[0]
+    with temporary(spark):
+        outer = path(materialize(rows, "outer"))
+        with temporary(spark):
+            inner, kept = path(materialize(rows, "inner")), materialize(rows, "kept", stays=True)
+            held = path(kept)
+        assert not exists(spark, inner) and exists(spark, outer) and kept.count() == 5
+        last = materialize(rows, "last", stays=True)
+    assert not exists(spark, outer) and not exists(spark, held) and last.count() == 5
+
