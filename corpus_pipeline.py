@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexigraph.llm import jaccard, mixing, packing, secrets, toxicity
 from lexigraph.llm.common import free_name, materialize
+from lexigraph.session import temporary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +30,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A row without an id stays only where its group has no other. Null, empty and
     blank texts are in no group; rows that are equal in id and text stay once.
     """
-    found = jaccard.groups(docs)
     stays, text_hash, number = (free_name(docs, c) for c in ("_stays", "_text_hash", "_number"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text_hash"))
-    first = found.filter("grp is not null").groupBy("grp").agg(best.alias("best")).select(F.col("best.id").alias(stays), F.col("best.text_hash").alias(text_hash))
-    alone = found.filter("grp is null").select(F.col("doc_id").alias(stays), F.col("text_hash").alias(text_hash)).distinct()
-    chosen = materialize(first.unionAll(alone), "chosen-rows")
+    with temporary(spark):  # once the chosen rows are written, nothing reads the sets and postings again
+        found = jaccard.groups(docs)
+        first = found.filter("grp is not null").groupBy("grp").agg(best.alias("best")).select(F.col("best.id").alias(stays), F.col("best.text_hash").alias(text_hash))
+        alone = found.filter("grp is null").select(F.col("doc_id").alias(stays), F.col("text_hash").alias(text_hash)).distinct()
+        chosen = materialize(first.unionAll(alone), "chosen-rows", stays=True)
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(stays)) & (F.xxhash64("text") == F.col(text_hash)), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return kept.withColumn(number, F.row_number().over(same)).filter(F.col(number) == 1).select(*docs.columns)
@@ -76,5 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, applied to the whole ``documents`` table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", stays=True)
     return STAGES[-1][1](spark, docs, sf_dir)
