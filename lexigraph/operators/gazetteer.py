@@ -1,8 +1,8 @@
 """A dictionary tagger: names of a table found in texts by their words.
 
 gazetteer(name, type). A name stands where its words follow each other, whatever
-separates them and in either case. Texts give the words that begin some name,
-with the words behind them, and meet the names by their first word. Where found
+separates them and in either case. Texts give the runs of words that are as long as
+some name and begin like one, and meet the names by all their words. Where found
 names overlap, a longer one wins over a shorter one, and of equally long ones the
 first.
 """
@@ -31,17 +31,18 @@ def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id
     """(key, text, type, start, end): the names found in every text, overlaps settled.
 
     A sketch of the names' first words (16 MB at most) keeps all other words of a
-    text where they are, so what moves are the places where a name may begin. A
-    word that begins many names, or many places, is one side of a join of two
-    written tables, which adaptive execution can split. Null texts and names hold
-    nothing; a text of any length is split by places, not held whole.
+    text where they are; what is left is cut to every length a name has, and a
+    second sketch keeps the runs that are no name. The others meet the names by all
+    their words, so a first word that many names share costs no more than another.
+    Null texts and names hold nothing; a text of any length is split by places, not
+    held whole.
     """
     spark = docs.sparkSession
     names = materialize(entries(gazetteer), "gazetteer")
     longest = names.agg(F.max("n")).first()[0] or 1
-    first = names.select(F.xxhash64("first").alias("h"))
     slots = min(SLOTS, 1 << max(13, (8 * names.count()).bit_length()))
-    known = sketch(first, slots)
+    first, whole = (sketch(names.select(F.xxhash64(c).alias("h")), slots) for c in ("first", "words"))
+    lengths = sorted(r["n"] for r in names.select("n").distinct().collect())
 
     def begins(words: Column) -> Column:
         return F.transform(
@@ -53,22 +54,22 @@ def gazetteer_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id
         )
 
     places = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.inline(let(T.spans(F.col(text), WORD), begins)))
-    places = places.where(known.may_occur(F.xxhash64("first"), spark))
-    whole = F.slice("behind", F.lit(1), F.col("n")) == F.col("words")
-    stop = F.get("ends", F.col("n") - 1)
+    places = places.where(first.may_occur(F.xxhash64("first"), spark))
     around = F.substring(F.col("_text"), F.col("start") + 1, F.element_at("ends", -1) - F.col("start"))
-    written = materialize(places.select("_key", "at", "first", "behind", "start", "ends", around.alias("_text")), "name-starts")
+    places = places.select("_key", "at", "behind", "start", "ends", around.alias("_text"))
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("behind"))
+    runs = places.select("*", F.explode(fits).alias("n")).withColumn("words", F.slice("behind", F.lit(1), F.col("n")))
+    runs = runs.where(whole.may_occur(F.xxhash64("words"), spark))
+    stop = F.get("ends", F.col("n") - 1)
     shown = F.substring(F.col("_text"), F.lit(1), stop - F.col("start"))
-    found = written.join(names, "first").where(whole).select("_key", "at", "n", shown.alias("text"), "type", "start", stop.alias("end"))
-    found = materialize(found, "names-found")
+    runs = runs.select("_key", "at", "n", "words", shown.alias("text"), "start", stop.alias("end"))
+    found = runs.join(names.select("words", "type"), "words").drop("words")
     # a name stays where it is the longest at each of its words
     best = F.struct(F.col("n"), -F.col("at"))
-    each = found.select("_key", "at", "n", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("word"))
+    each = found.select("*", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("word"))
     top = F.max(best).over(Window.partitionBy("_key", "word"))
-    kept = each.withColumn("wins", best == top).groupBy("_key", "at", "n").agg(F.bool_and("wins").alias("stays")).where("stays")
-    same = [F.col("_key").eqNullSafe(F.col("k")), F.col("at") == F.col("a"), F.col("n") == F.col("m")]
-    kept = found.distinct().join(kept.select(F.col("_key").alias("k"), F.col("at").alias("a"), F.col("n").alias("m")), same)
-    return kept.select(F.col("_key").alias(key), "text", "type", "start", "end")
+    judged = each.withColumn("wins", best == top).groupBy("_key", "at", "n", "text", "type", "start", "end").agg(F.bool_and("wins").alias("stays"))
+    return judged.where("stays").select(F.col("_key").alias(key), "text", "type", "start", "end")
 
 
 def with_mentions(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text", extract: E.Extractor | None = E.pattern_mentions) -> DataFrame:

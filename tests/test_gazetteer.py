@@ -82,3 +82,13 @@ def test_no_names_and_no_texts(spark):
     names = spark.createDataFrame(NAMES, "name string, type string")
     assert G.gazetteer_mentions(docs, names.limit(0)).count() == 0
     assert G.gazetteer_mentions(docs.limit(0), names).count() == 0
+
+
+def test_names_of_one_first_word_are_met_by_all_their_words(spark):
+    names = spark.createDataFrame([(f"Supplier#{i:05d}", "ORG") for i in range(400)] + [("Supplier", "ORG")], "name string, type string")
+    docs = spark.createDataFrame([(i, f"by Supplier#{i:05d} and supplier") for i in range(300)], "doc_id long, text string")
+    found = G.gazetteer_mentions(docs, names)
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == sorted(x for i in range(300) for x in ((i, f"Supplier#{i:05d}"), (i, "supplier")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and "first" not in joins[0] and "words" in joins[0]
