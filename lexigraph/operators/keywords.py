@@ -391,8 +391,9 @@ def combined(
     """
     rows = docs.select(key, F.inline(_local_terms(F.col(text), options)).alias("keyword", "tf", "base", "boost"))
     if use_corpus:
-        if corpus is None:
-            distinct = rows = materialize(rows, "local-terms")
+        if corpus is None:  # a word that only a sentence shows (tf 0) is none of the text's words and counts for no df
+            rows = materialize(rows, "local-terms")
+            distinct = rows.where(F.col("tf") > 0)
         else:
             distinct = corpus.select(F.explode(F.array_distinct(options.tokens(F.col(corpus_text)))).alias("keyword"))
         counts, idf = inverse_frequency(distinct, docs, corpus, ["keyword"])

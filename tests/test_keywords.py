@@ -116,6 +116,13 @@ def test_combined_score(docs):
     assert found["data"] == pytest.approx(base)
 
 
+def test_words_that_only_a_sentence_shows_count_for_no_df(spark):
+    texts = ["alpha beta.gamma delta. alpha", "gamma words here. more words", "other text. words"]  # a text reads betagamma
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    only = replace(OPTIONS, textrank_weight=0.0, word_freq_weight=0.0, position_weight=0.0)
+    near(scores(K.combined(docs, options=only)), scores(K.tfidf(docs)))
+
+
 def test_extract_ranks_phrases_and_words(docs):
     rows = [r for r in K.extract(docs, options=replace(OPTIONS, method="word_freq", num_keywords=4)).collect() if r.doc_id == 4]
     assert [(r.rank, r.keyword, r.type) for r in rows] == [
