@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Window, functions as F
 
 from catalog.common import documents, mention_cte, query, table
-from catalog.keywords import EXTERNAL, FREQ_PHRASES, GRAMS, SECTION_SQL, WORDS, WORD_COUNTS, top_sql, visible_sql
+from catalog.keywords import EXTERNAL, FREQ_PHRASES, GRAMS, SECTION_SQL, WORDS, WORD_COUNTS, top_sql, unescape_sql, visible_sql
 from lexigraph.functions import text as T
 from lexigraph.operators import keywords as K
 from lexigraph.session import scratch_path, spread
@@ -124,7 +124,7 @@ def csv_tables(spark, sf):
 @query(
     "src_pages_html",
     rf"""select page_id, {visible_sql(SECTION_SQL)} as text,
-      trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) as title,
+      trim(regexp_replace({unescape_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) as title,
       array_to_string(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1), ' ') as links,
       len(list_filter(list_transform(string_split(regexp_replace({SECTION_SQL}, '(?i)<(h[1-6][\s>])', chr(1) || '<\1', 'g'), chr(1)),
         lambda p: {visible_sql('p')}), lambda p: p <> '')) as sections

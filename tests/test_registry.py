@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -29,3 +30,17 @@ def test_entry(spark):
 
 def test_every_query_is_checked():
     assert QUERIES.keys() == ORACLES.keys()
+
+
+def test_titles_hold_any_entity(spark, tmp_path):
+    page = "<html><head><title>a &quot;b&quot; &#39;c&#39;&nbsp;&amp; &lt;d&gt;</title></head><body>x</body></html>"
+    spark.createDataFrame([(1, "http://a.b/", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    here = connect_folder(tmp_path, "pages")
+    df = entry.queries()["src_pages_html"](spark, str(tmp_path))
+    assert df.first()["title"] == "a \"b\" 'c' & <d>" and compare(df, here, entry.oracle_sql()["src_pages_html"]) is None
+
+
+def connect_folder(folder, name):
+    here = duckdb.connect()
+    here.execute(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet/*.parquet')")
+    return here
