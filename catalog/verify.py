@@ -81,12 +81,12 @@ def markdown_answers(spark, sf):
     f"""with {DATED}, {mention_cte('dated', 'o_orderkey', 'text')},
     numbered as (select o_orderkey as doc_id, text, type, row_number() over (partition by o_orderkey order by pass, n) as ord from mention),
     listed as (
-      select doc_id, text as item, type from numbered
-      union all select distinct doc_id, 'Anna', 'PER' from numbered
-      union all select distinct doc_id, 'Order Desk ' || doc_id, 'LOC' from numbered
+      select doc_id, text as item, type, ord as line from numbered
+      union all select distinct doc_id, 'Anna', 'PER', -1 from numbered
+      union all select distinct doc_id, 'Order Desk ' || doc_id, 'LOC', -2 from numbered
     ),
     hit as (
-      select listed.doc_id, item, listed.type, arg_min(n.text, ord) as original from listed left join numbered n
+      select listed.doc_id, item, listed.type, line, arg_min(n.text, ord) as original from listed left join numbered n
         on n.doc_id = listed.doc_id and (contains(lower(n.text), lower(item)) or contains(lower(item), lower(n.text))) group by all
     )
     select doc_id, coalesce(original, item) as text, type, case when original is null then 0.8 else 1.0 end::double as confidence from hit""",

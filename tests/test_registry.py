@@ -40,6 +40,14 @@ def test_titles_hold_any_entity(spark, tmp_path):
     assert df.first()["title"] == "a \"b\" 'c' & <d>" and compare(df, here, entry.oracle_sql()["src_pages_html"]) is None
 
 
+def test_an_answer_that_lists_an_entity_twice_has_two_verdicts(spark, tmp_path):
+    orders = "select 7L as o_orderkey, 1996L as o_custkey, timestamp'1995-03-04 00:00:00' as o_orderdate"  # customer 1996, due in 1996
+    spark.sql(orders).write.parquet(str(tmp_path / "orders.parquet"))
+    here = connect_folder(tmp_path, "orders")
+    df = entry.queries()["verify_parse_markdown"](spark, str(tmp_path))
+    assert [r.text for r in df.collect()].count("1996") == 2 and compare(df, here, entry.oracle_sql()["verify_parse_markdown"]) is None
+
+
 def connect_folder(folder, name):
     here = duckdb.connect()
     here.execute(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet/*.parquet')")
