@@ -216,3 +216,28 @@ def test_phrases_of_one_document_are_not_joined(spark, monkeypatch):
     assert moved + left == rows.count() and moved < 0.6 * (moved + left) and counted is shared
     single = rows.groupBy("n", "keyword").count().filter("count = 1").count()
     assert left > 0.9 * single
+
+
+def test_phrases_are_those_of_the_column_rules(spark):
+    """Counts, the most frequent and TF-IDF against the plain expressions, also for signs that sort before a blank and several runs of rows."""
+    odd = ["alpha\x01 beta alpha beta gamma alpha\x01 beta", "alpha beta alpha\x02 beta", None, "", "one", "new the old car their car " * 30, "Ünï çödé wörd wörd " * 9]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")).repartition(3).cache()
+    plain = K.KeywordOptions(stemmer=lambda words: words, num_keywords=7)  # a stemmer takes the expressions
+    fast = replace(plain, stemmer=None)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    rounded = lambda df: df.withColumn("score", F.round("score", 9))
+    assert rows(K.ngram_freq(docs, options=fast)) == rows(K.ngram_freq(docs, options=plain))
+    for corpus in (None, docs.filter("doc_id % 3 = 0")):
+        assert rows(rounded(K.ngram_tfidf(docs, corpus=corpus, options=fast))) == rows(rounded(K.ngram_tfidf(docs, corpus=corpus, options=plain)))
+        own = dict(self_corpus=corpus is None, corpus=corpus)
+        for method in ("tfidf", "combined", "word_freq"):
+            a, b = (rounded(K.extract(docs, options=replace(o, method=method), **own)) for o in (fast, plain))
+            assert rows(a) == rows(b), method
+
+
+def test_phrases_do_not_move_as_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plan = K.ngram_tfidf(docs)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("keyword" in line for line in moved)
