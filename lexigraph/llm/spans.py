@@ -151,8 +151,7 @@ def deduplicate(docs: DataFrame, least_sentences: int = 3, least_words: int = 16
     row = F.struct("doc_id", "text_hash")
     found = read.select(F.explode("runs").alias("run"), "doc_id", "text_hash")
     twice = read.filter("twice is not null").select(F.explode("twice").alias("run"), "doc_id", "text_hash")
-    one = F.xxhash64("doc_id", "text_hash")
-    several = found.groupBy("run").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a <> b").select("run")
+    several = found.groupBy("run").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("run")
     repeated = materialize(several.unionAll(twice.select("run")).distinct(), "repeated-runs")
     hits = materialize(found.join(repeated, "run"), "repeated-places")
     # min over structs puts a null id first, so equality has to be null-safe as well
