@@ -173,7 +173,7 @@ def star_questions(spark, sf):
 
 
 def star_postings(spark, sf, nodes):
-    return materialize(R.lexical_postings(spread(nodes), F.concat_ws(" ", "name", "summary")), "postings")
+    return R.shared_postings(spread(nodes), F.concat_ws(" ", "name", "summary"), search.RETRIEVAL_DEPTH)
 
 
 def star_candidates(spark, sf, nodes, questions):
@@ -421,7 +421,7 @@ def search_response_connections(spark, sf):
     nodes, edges = star_nodes(spark, sf), star_edges(spark, sf)
     rows = materialize(search.response(star_search(spark, sf, search.question_aware)), "response")
     degrees = rows.select("uuid", F.col("connection_count").alias("degree")).distinct()
-    pages = search.connection_pages(rows, G.neighbours(nodes, edges), degrees, page_size=100)
+    pages = search.connection_pages(rows, G.neighbours(nodes, edges, rows.select("uuid")), degrees, page_size=100)
     return pages.select("uuid", F.explode("entities").alias("e")).select(
         "uuid", F.col("e.uuid").alias("neighbour"), "e.name", "e.type", F.array_join("e.labels", "|").alias("labels")
     )

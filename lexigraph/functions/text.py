@@ -45,6 +45,13 @@ def keep_lengths(tokens: Column, shortest: int = 3, longest: int = 50) -> Column
     return F.filter(tokens, lambda w: F.length(w).between(shortest, longest))
 
 
+def bare_text(text: Column) -> Column:
+    """Lower-case text without tags, punctuation and digits: what :func:`tokenize` cuts into words."""
+    lowered = F.lower(text)
+    untagged = F.when(F.contains(lowered, F.lit("<")), strip_tags(lowered)).otherwise(lowered)
+    return F.regexp_replace(untagged, r"[\p{Punct}\p{Nd}]+", "")  # strip_punct and strip_numeric in one pass
+
+
 def tokenize(
     text: Column,
     shortest: int = 3,
@@ -56,10 +63,18 @@ def tokenize(
 
     ``stemmer`` maps array<string> to array<string>, e.g. a pandas UDF.
     """
+    return bare_words(bare_text(text), shortest, longest, custom_stopwords, stemmer)
+
+
+def bare_words(
+    bare: Column,
+    shortest: int = 3,
+    longest: int = 50,
+    custom_stopwords: Iterable[str] = (),
+    stemmer: Callable[[Column], Column] | None = None,
+) -> Column:
+    """The words of a :func:`bare_text`."""
     stopwords = stopword_set(custom_stopwords)
-    lowered = F.lower(text)
-    untagged = F.when(F.contains(lowered, F.lit("<")), strip_tags(lowered)).otherwise(lowered)
-    bare = F.regexp_replace(untagged, r"[\p{Punct}\p{Nd}]+", "")  # strip_punct and strip_numeric in one pass
     kept = F.filter(
         F.split(bare, SPACES),
         lambda w: (F.length(w) >= max(shortest, 1)) & (F.length(w) <= longest) & ~w.isin(*stopwords),

@@ -21,7 +21,7 @@ RETRIEVAL_DEPTH = 100
 
 def hybrid(
     questions: DataFrame,
-    postings: DataFrame,
+    postings: DataFrame | R.SharedPostings,
     embeddings: DataFrame | None = None,
     limit: int = C.SEARCH_RESULT_LIMIT,
     k: int = 60,
@@ -67,7 +67,8 @@ def by_distance(candidates: DataFrame, edges: DataFrame, most_hops: int = 3) ->
     ``most_hops``, and all of a question without a center, keep their order at the end.
     """
     found = candidates.select("query_id", "uuid", F.coalesce("score", F.lit(1.0)).alias("original_score"))
-    away = G.distances(G.central(candidates, edges), edges, most_hops)
+    centers = materialize(G.central(candidates, edges), "centers")
+    away = G.distances(centers, edges, most_hops, found)
     rows = found.join(away, ["query_id", "uuid"], "left")
     nearest = Window.partitionBy("query_id").orderBy(F.col("hops").asc_nulls_last(), F.round("original_score", R.RANK_DIGITS).desc(), "uuid")
     return rows.withColumn("rank", F.row_number().over(nearest))
@@ -141,8 +142,10 @@ def with_relationships(ranked: DataFrame, edges: DataFrame) -> DataFrame:
     """Ranked rows plus ``relationship_types``, the sorted kinds of edge at each node.
 
     Kinds are combined per task before they move, so a hub moves as a short list.
+    The rows are written, so their nodes are known before the edges are read.
     """
-    return ranked.join(G.relationship_types(edges), "uuid", "left").withColumn(
+    ranked = materialize(ranked, "ranked")
+    return ranked.join(G.relationship_types(edges, ranked.select("uuid").distinct()), "uuid", "left").withColumn(
         "relationship_types", F.coalesce("relationship_types", F.expr("cast(array() as array<string>)"))
     )
 
@@ -198,7 +201,7 @@ def connection_pages(results: DataFrame, neighbours: DataFrame, degrees: DataFra
 
 def answer(
     questions: DataFrame,
-    postings: DataFrame,
+    postings: DataFrame | R.SharedPostings,
     nodes: DataFrame,
     edges: DataFrame,
     embeddings: DataFrame | None = None,

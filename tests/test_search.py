@@ -298,3 +298,40 @@ def test_hub_neighbours_are_matched(spark):
     assert hits == {(1, "hub"): 1, (2, "n5"): 1}
     degrees = {r["uuid"]: r["degree"] for r in R.candidate_degree(found, edges).collect()}
     assert degrees == {"hub": 200, "n5": 1}
+
+
+def test_shared_postings_give_the_rows_of_plain_ones(spark):
+    texts = ["Order %d with priority low", "Order %d with status late", "customer %d of the late order", "<b>Part</b> %d, of 7 orders", "%d"]
+    rows = [(f"n{i:03d}", texts[i % 5] % i) for i in range(120)] + [("m", None), ("z", "late late order"), ("a", "late late order")]
+    nodes = spark.createDataFrame(rows, "uuid string, text string")
+    questions = spark.createDataFrame([(1, "late order"), (2, "priority customer"), (3, "nothing here"), (4, "part")], "query_id long, query string")
+    shared = R.shared_postings(nodes, F.col("text"), 30)
+    found = lambda p, limit: {(r.query_id, r["rank"], r.uuid, round(r.score, 9)) for r in R.bm25(questions, p, limit).collect()}
+    for limit in (1, 7, 30):
+        assert found(shared, limit) == found(R.lexical_postings(nodes, F.col("text")), limit)
+    assert shared.table.select("profile").distinct().count() == 5  # a text is scored once, whatever its copies
+    assert shared.members.groupBy("profile").count().agg(F.max("count")).first()[0] <= 30
+    with pytest.raises(ValueError):
+        R.bm25(questions, shared, 31)
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_ends_and_distances_of_wanted_nodes(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "SHARED_IDS", few)
+    pairs = [("a", "b"), ("a", "b"), ("b", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), (None, "b"), ("b", None), ("x", "y")]
+    pairs += [("hub", f"l{i}") for i in range(50)] + [("c", "hub")]
+    edges = spark.createDataFrame([(a, b, f"k{i % 3}") for i, (a, b) in enumerate(pairs)], G.EDGE_SCHEMA)
+    wanted = spark.createDataFrame([("b",), ("hub",), ("none",)], "uuid string")
+    every = {(r.uuid, r.other, r.rel_type) for r in G._ends(edges).collect() if r.uuid in ("b", "hub")}
+    rows = [(r.uuid, r.other, r.rel_type) for r in G.ends(edges, wanted).collect()]
+    assert set(rows) == every and len(rows) == 57
+    kinds = lambda df: {(r.uuid, tuple(r.relationship_types)) for r in df.collect()}
+    assert kinds(G.relationship_types(edges, wanted)) == {k for k in kinds(G.relationship_types(edges)) if k[0] in ("b", "hub")}
+    centers = spark.createDataFrame([(1, "a"), (2, "e"), (3, None), (4, "l7")], "query_id long, center string")
+    targets = spark.createDataFrame([(1, "d"), (1, "a"), (1, "hub"), (1, "f"), (2, "b"), (2, "f"), (3, "a"), (4, "l9"), (4, "d"), (4, "x")], "query_id long, uuid string")
+    asked = {tuple(r) for r in targets.collect()}
+    for most in (1, 2, 3):
+        whole = {(r.query_id, r.uuid, r.hops) for r in G.distances(centers, edges, most).collect()}
+        near = [(r.query_id, r.uuid, r.hops) for r in G.distances(centers, edges, most, targets).collect()]
+        assert set(near) == {r for r in whole if r[:2] in asked} and len(near) == len(set(near))
+    assert {r for r in whole if r[0] == 1} >= {(1, "a", 0), (1, "b", 1), (1, "c", 2), (1, "d", 3), (1, "hub", 3)}
