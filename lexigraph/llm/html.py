@@ -1,11 +1,13 @@
 """Main text of web pages, with boilerplate found by a suffix array per host.
 
 A page is cut into blocks. Blocks in menus, headers, footers and the like go
-for their markup. Where a page marks its article, that is the text. All other
-blocks are judged by their host: the token streams of the host's pages are
-concatenated, a suffix array brings equal substrings together, and tokens that
-lie in a long substring standing on two pages or more are covered. A block that
-is mostly covered is boilerplate; unique runs stay.
+for their markup. Where a page marks its article, that is the text unless its host
+repeats it. All other blocks are judged by their host: the token streams of the
+host's pages are concatenated, a suffix array brings equal substrings together, and
+tokens that lie in a long substring standing on enough pages are covered. A block
+that is mostly covered is boilerplate; unique runs stay. Two pages are enough
+outside articles. Articles may quote each other, so a block of one goes only where
+half of the host's different articles, and five of them, hold it.
 
 The array is built by prefix doubling up to the depth of a long substring, so it
 costs a few sorts of the stream. A host with too many tokens for one task is
@@ -132,10 +134,12 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
 
 
 def choose(found: list[tuple[str, bool, bool]], covered: frozenset[int] = frozenset()) -> str:
-    """Main text: the article's blocks where there are any, else all that neither markup nor host call boilerplate."""
+    """Main text: the article's blocks where there are any, else all blocks; without those that markup or host call boilerplate."""
     plain = [(i, text, inside) for i, (text, bad, inside) in enumerate(found) if not bad]
     if any(inside for _, _, inside in plain):
-        return "\n".join(text for _, text, inside in plain if inside)
+        article = [(i, text) for i, text, inside in plain if inside]
+        own = [text for i, text in article if i not in covered]
+        return "\n".join(own or [text for _, text in article])  # an article that is all repeats stays
     return "\n".join(text for i, text, _ in plain if i not in covered)
 
 
@@ -146,8 +150,8 @@ def host_of(url):
 # -- suffix array ----------------------------------------------------------------------
 
 
-def covered_tokens(tokens: np.ndarray, pages: np.ndarray, depth: int) -> np.ndarray:
-    """Which tokens lie in a substring of ``depth`` tokens that stands on two pages or more.
+def covered_tokens(tokens: np.ndarray, pages: np.ndarray, depth: int, least: int = 2) -> np.ndarray:
+    """Which tokens lie in a substring of ``depth`` tokens that stands on ``least`` pages or more; ``pages`` must not fall.
 
     Prefix doubling: ranks of substrings of length 1, 2, 4, ... are sorted
     pairwise until they tell substrings of ``depth`` tokens apart. Every page
@@ -167,10 +171,9 @@ def covered_tokens(tokens: np.ndarray, pages: np.ndarray, depth: int) -> np.ndar
         length += step
     suffixes = np.argsort(rank, kind="stable")  # equal substrings side by side, in page order
     same = rank[suffixes][1:] == rank[suffixes][:-1]
-    edge = np.flatnonzero(np.concatenate([[True], ~same]))
     groups = np.concatenate([[0], np.cumsum(~same)])
-    first, last = pages[suffixes[edge]], pages[suffixes[np.concatenate([edge[1:] - 1, [n - 1]])]]
-    repeated = (first != last)[groups]
+    fresh = np.concatenate([[True], ~same | (pages[suffixes][1:] != pages[suffixes][:-1])])  # a page not met before in its group
+    repeated = (np.bincount(groups, weights=fresh) >= least)[groups]
     starts = np.zeros(n + 1, dtype=np.int64)
     hits = suffixes[repeated]
     hits = hits[hits + depth <= n]
@@ -182,33 +185,53 @@ def covered_tokens(tokens: np.ndarray, pages: np.ndarray, depth: int) -> np.ndar
 def _words(text: str) -> list[int]:
     import xxhash
 
-    return [xxhash.xxh3_64_intdigest(w) >> 1 for w in text.encode("utf-8", "surrogatepass").split()]
+    return [xxhash.xxh3_64_intdigest(w) >> 33 for w in text.encode("utf-8", "surrogatepass").split()]
+
+
+# Different articles of a host that must hold a block of an article, at least and as a share, before it is boilerplate.
+LEAST_ARTICLES = 5
+ARTICLE_SHARE = 0.5
+
+
+def _needed(marked, bodies):
+    """Pages that make a substring a repeat, from whether they are articles and how many different ones the host has (columns)."""
+    return F.when(marked, F.greatest(F.lit(LEAST_ARTICLES), F.ceil(bodies * ARTICLE_SHARE))).otherwise(2).cast("long")
 
 
 def _streams(pages: DataFrame) -> DataFrame:
-    """(host, page, sizes, tokens) of blocks that markup does not decide: on pages without an article, those not boilerplate."""
+    """(host, page, marked, numbers, sizes, tokens, body) of the blocks that markup leaves: a marked article's, else all not boilerplate.
+
+    Pages of equal ``body`` count as one: those of equal tokens, and articles whose
+    longest block is equal, so that near copies do not make each other boilerplate.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            keep, sizes, numbers, tokens = [], [], [], []
+            keep, marks, sizes, numbers, tokens, bodies = [], [], [], [], [], []
             for i, page in enumerate(each(batch.column("html"))):
                 found = blocks(page)
-                if any(inside and not bad for _, bad, inside in found):
-                    continue
-                open_blocks = [(n, _words(text)) for n, (text, bad, _) in enumerate(found) if not bad]
+                marked = any(inside and not bad for _, bad, inside in found)
+                open_blocks = [(n, _words(text)) for n, (text, bad, inside) in enumerate(found) if not bad and (inside or not marked)]
                 if open_blocks:
                     keep.append(i)
+                    marks.append(marked)
                     numbers.append([n for n, _ in open_blocks])
                     sizes.append([len(w) for _, w in open_blocks])
                     tokens.append([t for _, w in open_blocks for t in w])
+                    told = max((w for _, w in open_blocks), key=len) if marked else tokens[-1]
+                    bodies.append(xxhash.xxh3_64_intdigest(np.asarray(told, dtype=np.int32).tobytes()) >> 1)
             at = pa.array(keep, pa.int32())
-            many = pa.list_(pa.int64())
+            many = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host").take(at), batch.column("page").take(at), pa.array(numbers, many), pa.array(sizes, many), pa.array(tokens, many)],
-                ["host", "page", "numbers", "sizes", "tokens"],
+                [batch.column("host").take(at), batch.column("page").take(at), pa.array(marks, pa.bool_()), pa.array(numbers, many),
+                 pa.array(sizes, many), pa.array(tokens, many), pa.array(bodies, pa.int64())],
+                ["host", "page", "marked", "numbers", "sizes", "tokens", "body"],
             )
 
-    return pages.mapInArrow(read, "host string, page long, numbers array<long>, sizes array<long>, tokens array<long>")
+    shape = "host string, page long, marked boolean, numbers array<int>, sizes array<int>, tokens array<int>, body long"
+    return pages.mapInArrow(read, shape)
 
 
 def _mostly(marks: np.ndarray, sizes: list[int], numbers: list[int], share: float) -> list[int]:
@@ -226,22 +249,36 @@ def _by_suffix_array(streams: DataFrame, depth: int, share: float) -> DataFrame:
         for i, (body, mine) in enumerate(zip(bodies, lists)):
             flat += [mine, np.array([-1 - i])]
             pages.append(np.full(len(mine) + 1, order[body]))
-        marks = covered_tokens(np.concatenate(flat), np.concatenate(pages), depth)
+        marks = covered_tokens(np.concatenate(flat), np.concatenate(pages), depth, table.column("needed")[0].as_py())
         out, at = [], 0
         for mine, sizes, numbers in zip(lists, table.column("sizes").to_pylist(), table.column("numbers").to_pylist()):
             out.append(_mostly(marks[at : at + len(mine)], sizes, numbers, share))
             at += len(mine) + 1
         return pa.table({"page": pa.array(names, pa.int64()), "covered": pa.array(out, pa.list_(pa.int64()))})
 
-    return streams.groupBy("host").applyInArrow(run, "page long, covered array<long>")
+    return streams.groupBy("host", "marked").applyInArrow(run, "page long, covered array<long>")
+
+
+SLOTS = 4096
 
 
 def _by_hash(streams: DataFrame, depth: int, share: float) -> DataFrame:
-    """The same marks for hosts too large for a task: substrings of ``depth`` tokens grouped by hash over all tasks."""
-    here = F.posexplode(F.expr(f"transform(sequence(0, size(tokens) - {depth}), i -> xxhash64(slice(tokens, i + 1, {depth})))")).alias("at", "gram")
-    grams = streams.filter(F.size("tokens") >= depth).select("host", "page", "body", here)
-    repeated = grams.groupBy("host", "gram").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("host", "gram")
-    marked = grams.join(repeated, ["host", "gram"]).groupBy("host", "page").agg(F.collect_set("at").alias("starts"))
+    """The same marks for hosts too large for a task: substrings of ``depth`` tokens grouped by hash over all tasks.
+
+    First the pages are counted by slot of the hash, combined per task. A slot that
+    fewer pages have than a repeat needs holds no repeat, so its substrings do not
+    move; what is left is counted by the whole hash and by different pages.
+    """
+    long = streams.filter(F.size("tokens") >= depth)
+    grams = f"transform(sequence(0, size(tokens) - {depth}), i -> xxhash64(slice(tokens, i + 1, {depth})))"
+    met = long.select("host", "marked", "needed", F.explode(F.expr(f"array_distinct(transform({grams}, h -> pmod(h, {SLOTS})))")).alias("slot"))
+    full = met.groupBy("host", "marked", "needed", "slot").agg(F.count(F.lit(1)).alias("n")).filter("n >= needed")
+    full = materialize(full.select("host", "marked", "slot"), "full-slots")
+    grams = long.select("host", "marked", "needed", "page", "body", F.posexplode(F.expr(grams)).alias("at", "gram"))
+    grams = grams.withColumn("slot", F.expr(f"pmod(gram, {SLOTS})")).join(full, ["host", "marked", "slot"]).drop("slot")
+    held = grams.select("host", "marked", "needed", "gram", "body").distinct().groupBy("host", "marked", "needed", "gram").agg(F.count(F.lit(1)).alias("n"))
+    repeated = held.filter("n >= needed").select("host", "marked", "gram")
+    marked = grams.join(repeated, ["host", "marked", "gram"]).groupBy("host", "page").agg(F.collect_set("at").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,14 +301,17 @@ def boilerplate(pages: DataFrame, depth: int = 8, share: float = 0.8, most_token
     ``most_tokens`` tokens get a suffix array each, larger ones the hash route.
     Pages of equal tokens count as one, whatever their addresses.
     """
-    streams = materialize(_streams(pages).withColumn("body", F.xxhash64("tokens")), "page-streams")
-    totals = streams.groupBy("host").agg(F.sum(F.size("tokens")).alias("total"), F.count(F.lit(1)).alias("pages"))
-    large = materialize(totals.filter(F.col("total") + F.col("pages") > most_tokens).select("host"), "large-hosts")
-    several = totals.filter("pages > 1").select("host")
-    small = streams.join(large, "host", "left_anti").join(several, "host", "left_semi")
-    parts = [_by_suffix_array(small, depth, share)]
-    if not large.isEmpty():
-        parts.append(_by_hash(streams.join(large, "host", "left_semi"), depth, share))
+    streams = materialize(_streams(pages), "page-streams")
+    totals = streams.groupBy("host", "marked").agg(
+        F.sum(F.size("tokens")).alias("total"), F.count(F.lit(1)).alias("pages"), F.count_distinct("body").alias("bodies")
+    )
+    totals = totals.withColumn("needed", _needed(F.col("marked"), F.col("bodies"))).withColumn("large", F.col("total") + F.col("pages") > most_tokens)
+    # hosts with too few different pages for any repeat have nothing to judge
+    hosts = materialize(totals.filter("bodies >= needed").select("host", "marked", "needed", "large"), "hosts")
+    judged = streams.join(hosts, ["host", "marked"])
+    parts = [_by_suffix_array(judged.filter("not large"), depth, share)]
+    if not hosts.filter("large").isEmpty():
+        parts.append(_by_hash(judged.filter("large"), depth, share))
     found = reduce(DataFrame.unionAll, parts).filter(F.size("covered") > 0)
     return found.groupBy("page").agg(F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"))
 
@@ -282,7 +322,7 @@ def extract(pages: DataFrame, depth: int = 8, share: float = 0.8, most_tokens: i
     ``pages`` needs page_id, url and html; other columns are ignored. A null or
     empty html gives an empty text, a null url is a host of its own. Pages of a
     host with equal tokens are one page, so they do not make each other
-    boilerplate; near copies still do. An empty table gives no rows.
+    boilerplate; near copies still do outside marked articles. An empty table gives no rows.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     keyed = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("page"), host_of(F.col("url")).alias("host"))

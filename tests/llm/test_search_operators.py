@@ -261,6 +261,40 @@ def test_a_page_under_two_addresses_keeps_its_text(spark, most):
     assert found == own | {22: own[2], 23: own[3]}
 
 
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_a_notice_inside_marked_articles_goes_and_quotes_and_copies_stay(spark, most):
+    own = lambda i, n=20: " ".join(f"w{i}x{k}" for k in range(n))
+    notice, quote, shared = (" ".join(f"{name}{k}" for k in range(12)) for name in ("notice", "quote", "shared"))
+    page = lambda *texts: "<nav>menu</nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+    rows, want = [], {}
+
+    def add(host, texts, kept):
+        i = len(rows)
+        rows.append((i, f"http://{host}/{i}", page(*texts)))
+        want[i] = "\n".join(kept)
+
+    for i in range(12):  # the notice stands on all pages, the quote on a third
+        texts = [own(i), *([quote] if i % 3 == 0 else []), own(i + 100, 9)]
+        add("large.org", [texts[0], notice, *texts[1:]], texts)
+    for i in range(4):  # too few pages to tell
+        add("small.org", [own(i + 200), notice], [own(i + 200), notice])
+    for i in range(9):  # near copies of one article among pages of their own
+        add("copies.org", [own(300, 40), shared, own(i + 400)], [own(300, 40), shared, own(i + 400)])
+    for i in range(3):
+        add("copies.org", [own(i + 500)], [own(i + 500)])
+    add("large.org", [notice], [notice])  # nothing else is left of this one
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most_tokens=most).collect()}
+    assert found == want
+
+
+def test_covered_tokens_on_enough_pages():
+    tokens = np.array([1, 2, 3, -1, 1, 2, 4, -2, 1, 2, 3, -3, 1, 2, 3, -4])
+    pages = np.array([0] * 4 + [1] * 4 + [2] * 8)
+    held = lambda least: np.flatnonzero(html.covered_tokens(tokens, pages, 2, least)).tolist()
+    assert held(3) == [0, 1, 4, 5, 8, 9, 12, 13]
+    assert held(2) == [0, 1, 2, 4, 5, 8, 9, 10, 12, 13, 14] and held(4) == []
+
+
 def test_covered_tokens_agree_with_brute_force():
     draw = random.Random(2)
     for _ in range(20):
