@@ -145,6 +145,8 @@ def running_total(lengths: Column) -> Column:
     return let(
         lengths,
         lambda values: F.when(
+            F.size(values).between(1, 8), F.transform(values, lambda _, i: total(values, F.lit(0), i))
+        ).when(
             F.size(values) > 0,
             let(F.ceil(F.sqrt(F.size(values))).cast("int"), lambda width: blocked(values, width)),
         ).otherwise(F.expr("cast(array() as array<int>)")),

@@ -20,23 +20,16 @@ def pattern_mentions(text: Column) -> Column:
     The passes are independent, so a year inside a date is a mention of its own.
     """
 
-    def tag(found: Column, kind: str) -> Column:
-        return F.transform(
-            found,
-            lambda s: F.struct(
-                s["text"].alias("text"),
-                F.lit(kind).alias("type"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                F.lit(kind).alias("label"),
+    def tagged(pattern: str, kind: str) -> Column:
+        return spans(
+            text,
+            pattern,
+            lambda found, start, end: F.struct(
+                found.alias("text"), F.lit(kind).alias("type"), start.alias("start"), end.alias("end"), F.lit(kind).alias("label")
             ),
         )
 
-    return F.concat(
-        tag(spans(text, C.NAME_PATTERN), "PER"),
-        tag(spans(text, C.DATE_PATTERN), "DATE"),
-        tag(spans(text, C.YEAR_PATTERN), "DATE"),
-    )
+    return F.flatten(F.array(tagged(C.NAME_PATTERN, "PER"), tagged(C.DATE_PATTERN, "DATE"), tagged(C.YEAR_PATTERN, "DATE")))
 
 
 def entity_type(label: Column) -> Column:
@@ -172,7 +165,7 @@ def with_context(text: Column, window: int = C.CONTEXT_WINDOW, extract: Extracto
 def keyword_weight(kind: Column, surface: Column) -> Column:
     """Score one mention adds to its keyword: type weight plus a bonus per word."""
     weights = F.create_map(*[F.lit(x) for pair in C.ENTITY_KEYWORD_WEIGHTS.items() for x in pair])
-    word_count = F.size(F.filter(F.split(surface, r"(?U)\s+"), lambda w: w != ""))
+    word_count = F.regexp_count(surface, F.lit(r"(?U)\S+"))
     return F.coalesce(
         F.try_element_at(weights, kind), F.lit(C.ENTITY_KEYWORD_DEFAULT_WEIGHT)
     ) + F.least(word_count * 0.1, F.lit(0.3))

@@ -170,7 +170,11 @@ def indexed_sentences(text: Column) -> Column:
             ),
         )
 
-    return let(F.split(text, SENTENCE_GAP, -1), place)
+    def parts(whole: Column) -> Column:  # the pattern is compiled once here, and for every row where it splits
+        marked = F.split(F.regexp_replace(whole, SENTENCE_GAP, MARK), MARK, -1)
+        return F.when(F.contains(whole, F.lit(MARK)), F.split(whole, SENTENCE_GAP, -1)).otherwise(marked)
+
+    return let(let(text, parts), place)
 
 
 def sentence_blocks(located: Column, blocksize: int = 1) -> Column:
@@ -199,27 +203,49 @@ def sentence_blocks(located: Column, blocksize: int = 1) -> Column:
     )
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<text, start, end>> of all matches of a pattern without groups."""
+MARK = "\x01"  # put around matches; a text that holds one is cut by the pattern itself
+FEW = 8
+
+
+def spans(text: Column, pattern: str, make: Callable[[Column, Column, Column], Column] | None = None) -> Column:
+    """array<struct<text, start, end>> of all matches of a pattern without groups, or what ``make`` does with the three.
+
+    One pass of the pattern marks the matches, so that a plain split tells them
+    from the gaps. Few matches count their offsets in the marked text, many by
+    running lengths.
+    """
     unicode_pattern = f"(?U){pattern}"
+    make = make or (lambda found, start, end: F.struct(found.alias("text"), start.alias("start"), end.alias("end")))
 
-    def place(found: Column) -> Column:
-        gaps = F.split(text, unicode_pattern, -1)
-        stops = running_total(
-            F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-        )
-        return F.zip_with(
-            found,
-            stops,
-            lambda m, stop: F.struct(m.alias("text"), (stop - F.length(m)).alias("start"), stop.alias("end")),
+    def placed(found: Column, stops: Column) -> Column:
+        return F.zip_with(found, stops, lambda m, stop: make(m, stop - F.length(m), stop))
+
+    def by_pattern(whole: Column) -> Column:
+        gaps = F.split(whole, unicode_pattern, -1)
+        return let(
+            F.regexp_extract_all(whole, F.lit(unicode_pattern), F.lit(0)),
+            lambda found: placed(
+                found, running_total(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m)))
+            ),
         )
 
-    return let(
-        F.regexp_extract_all(text, F.lit(unicode_pattern), F.lit(0)),
-        lambda found: F.when(F.size(found) > 0, place(found)).otherwise(
-            F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
-        ),
-    )
+    def by_marks(marked: Column, pieces: Column) -> Column:
+        matches = F.filter(pieces, lambda _, i: i % 2 == 1)
+
+        def few(m: Column, i: Column) -> Column:
+            start = F.length(F.call_function("substring_index", marked, F.lit(MARK), 2 * i + 1)) - 2 * i
+            return make(m, start, start + F.length(m))
+
+        stops = F.filter(running_total(F.transform(pieces, F.length)), lambda _, i: i % 2 == 1)
+        return F.when(F.size(pieces) <= 2 * FEW + 1, F.transform(matches, few)).otherwise(placed(matches, stops))
+
+    def all_of(whole: Column) -> Column:
+        marked = F.regexp_replace(whole, unicode_pattern, f"{MARK}$0{MARK}")
+        cut = let(marked, lambda m: F.when(F.contains(m, F.lit(MARK)), let(F.split(m, MARK, -1), lambda pieces: by_marks(m, pieces))))
+        return F.when(F.contains(whole, F.lit(MARK)), by_pattern(whole)).otherwise(cut)
+
+    none = F.filter(F.array(make(F.lit(""), F.lit(0), F.lit(0))), lambda _: F.lit(False))
+    return F.coalesce(let(text, all_of), none)
 
 
 def chunk_text(text: Column, page_size: int = C.PAGE_SIZE) -> Column:

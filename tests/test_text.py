@@ -97,3 +97,15 @@ def test_links_and_routes(one):
     }
     for path, kind in expected.items():
         assert one(path, T.parser_kind) == kind
+
+
+def test_spans_come_from_one_pass_of_the_pattern(spark):
+    texts = ["", "no year", "1999", "in 1999, 2001.", "a \x01 1999 b 2001", "é 1999 " * 40, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    year = r"\b(?:19|20)\d{2}\b"
+    rows = df.select("i", T.spans(F.col("t"), year).alias("x")).collect()
+    for row in rows:
+        expected = [(m.group(), m.start(), m.end()) for m in re.finditer(year, texts[row["i"]] or "")]
+        assert [tuple(x) for x in row["x"]] == expected
+    ends = df.select(T.spans(F.col("t"), year, lambda found, start, end: end).alias("x")).collect()
+    assert [r["x"] for r in ends] == [[x["end"] for x in r["x"]] for r in rows]
