@@ -49,6 +49,10 @@ def bare_text(text: Column) -> Column:
     """Lower-case text without tags, punctuation and digits: what :func:`tokenize` cuts into words."""
     lowered = F.lower(text)
     untagged = F.when(F.contains(lowered, F.lit("<")), strip_tags(lowered)).otherwise(lowered)
+    return _plain(untagged)
+
+
+def _plain(untagged: Column) -> Column:
     return F.regexp_replace(untagged, r"[\p{Punct}\p{Nd}]+", "")  # strip_punct and strip_numeric in one pass
 
 
@@ -84,6 +88,22 @@ def bare_words(
     return keep_lengths(stemmer(kept), shortest, longest)
 
 
+SENTENCE_END = "\x02"
+
+
+def sentence_words(sentences: Column, shortest: int = 3, longest: int = 50, custom_stopwords: Iterable[str] = ()) -> Column:
+    """The :func:`tokenize` words of all sentences in one list, ``SENTENCE_END`` between two sentences.
+
+    Tags are taken out sentence by sentence, the rest is done once. For sentences without that sign.
+    """
+    stopwords = stopword_set(custom_stopwords)
+    untagged = F.transform(sentences, lambda s: F.when(F.contains(s, F.lit("<")), strip_tags(F.lower(s))).otherwise(F.lower(s)))
+    pieces = F.split(_plain(F.array_join(untagged, f" {SENTENCE_END} ")), SPACES)
+    return F.filter(
+        pieces, lambda w: (w == SENTENCE_END) | ((F.length(w) >= max(shortest, 1)) & (F.length(w) <= longest) & ~w.isin(*stopwords))
+    )
+
+
 def ngrams(
     tokens: Column,
     n: int,

@@ -110,12 +110,34 @@ def _sentence_entries(sentences: Column, options: KeywordOptions) -> Column:
     )
 
 
+def _word_scores(text: Column, options: KeywordOptions, tokens: Column | None = None) -> Column:
+    """:func:`phrases.word_scores` of a text; ``tokens`` are left out of texts of two sentences and more if not given.
+
+    Null for texts that hold the sign put between sentences.
+    """
+    odd = F.contains(text, F.lit(T.SENTENCE_END))
+    sentences = T.sentences(text)
+    several = ~odd & (F.size(sentences) >= 2)
+    cut = F.when(several, T.sentence_words(sentences, options.min_word_length, options.max_word_length, options.custom_stopwords))
+    whole = F.when(~odd & ~several, options.tokens(text)) if tokens is None else tokens
+    return F.when(~odd, P.word_scores(whole, cut, T.SENTENCE_END))
+
+
 def textrank_entries(text: Column, options: KeywordOptions) -> Column:
     """array<struct<item, score>>: co-occurrence degree over (count + 1).
 
     A token gains one per other distinct token of a sentence, so the degree
     is a sum of set sizes and no pair is ever formed.
     """
+    in_row = _textrank_in_row(text, options)
+    if options.stemmer is not None:
+        return in_row
+    entry = lambda e: F.struct(e["item"].alias("item"), e["tr"].alias("score"))
+    return F.coalesce(F.transform(_word_scores(text, options), entry), in_row)
+
+
+def _textrank_in_row(text: Column, options: KeywordOptions) -> Column:
+    """:func:`textrank_entries` by column expressions, for any stemmer and any sign in the text."""
     return let(
         T.sentences(text),
         lambda sentences: F.when(
@@ -167,9 +189,11 @@ def _local_terms(text: Column, options: KeywordOptions) -> Column:
         return F.transform(merged, one)
 
     merged = sum_by_item(
-        F.concat(tagged(freq_entries(options.tokens(text)), "tf"), tagged(textrank_entries(text, options), "tr")),
+        F.concat(tagged(freq_entries(options.tokens(text)), "tf"), tagged(_textrank_in_row(text, options), "tr")),
         ["tf", "tr"],
     )
+    if options.stemmer is None:
+        merged = F.coalesce(_word_scores(text, options, options.tokens(text)), merged)
     opening = F.lower(F.get(T.sentences(text), F.lit(0)))
     return let(
         merged,
@@ -196,6 +220,15 @@ def _most_frequent(counts: Column, k: int) -> Column:
     return let(counts, lambda c: F.slice(F.concat(repeated(c), F.slice(F.filter(c, lambda e: e["n"] == 1), 1, k)), 1, k))
 
 
+def _frequent_entries(tokens: Column, options: KeywordOptions) -> Column:
+    """array<struct<item, score, type>>: the word and weighted n-gram counts that can reach the top k, per size."""
+    if options.stemmer is None:
+        rules = P.Rules((1, *options.sizes), options.min_word_length, options.max_word_length)
+        return P.most_frequent(tokens, rules, options.num_keywords, options.ngram_weight)
+    words = F.transform(freq_entries(tokens), lambda e: F.struct(e["item"].alias("item"), e["score"].alias("score"), F.lit("unigram").alias("type")))
+    return F.concat(words, _gram_entries(tokens, options))
+
+
 def _gram_entries(tokens: Column, options: KeywordOptions) -> Column:
     """array<struct<item, score, type>>: the weighted n-gram counts that can reach the top k, per size."""
     if options.sizes and options.stemmer is None:
@@ -494,10 +527,11 @@ def extract(
             fallback = unigram(freq_entries(F.col("tokens")))
             words = let(words, lambda w: F.when(F.size(w) > 0, w).otherwise(fallback))
         else:
-            words = unigram(freq_entries(F.col("tokens")))
+            words = None
+        entries = _frequent_entries(F.col("tokens"), options) if words is None else F.concat(words, _gram_entries(F.col("tokens"), options))
         return (
             docs.select(key, text, options.tokens(F.col(text)).alias("tokens"))
-            .select(key, F.posexplode(_top(F.concat(words, _gram_entries(F.col("tokens"), options)), options.num_keywords)))
+            .select(key, F.posexplode(_top(entries, options.num_keywords)))
             .select(key, (F.col("pos") + 1).alias("rank"), F.col("col.item").alias("keyword"), "col.score", "col.type")
             .select(key, *shape)
         )

@@ -78,7 +78,9 @@ def _of_size(n: int, code: np.ndarray, known: pa.Array, row: np.ndarray, first:
     at = np.flatnonzero(good)
     # numbers of pairs keep their order, so keys of three and four words stay small
     wide = len(known)
-    if n == 2:
+    if n == 1:
+        key, span = code[at], wide
+    elif n == 2:
         key, span = code[at] * wide + code[at + 1], wide * wide
     else:
         pair = np.unique(code[:-1] * wide + code[1:], return_inverse=True)[1].astype(np.int64)
@@ -140,7 +142,7 @@ def counts(lists: DataFrame, key: str, rules: Rules) -> DataFrame:
 
 
 def most_frequent(tokens: Column, rules: Rules, k: int, weight: float) -> Column:
-    """array<struct<item, score, type>>: the k most frequent phrases of each size, ties by spelling; score is the weighted count."""
+    """array<struct<item, score, type>>: the k most frequent phrases of each size, ties by spelling; score is the weighted count, the count itself of words (size 1)."""
     kind = "array<struct<item:string,score:double,type:string>>"
 
     @F.arrow_udf(kind)
@@ -151,14 +153,14 @@ def most_frequent(tokens: Column, rules: Rules, k: int, weight: float) -> Column
                 best = _best(found, found.times, _order(known, found), k)
                 rows.append(found.row[best])
                 items.append(spell(known, found, best))
-                scores.append(found.times[best] * weight)
+                scores.append(found.times[best] * (weight if found.n > 1 else 1.0))
                 types.append(np.full(len(best), found.n))
         row = np.concatenate([*rows, np.empty(0, dtype=np.int64)])
         order = np.argsort(row, kind="stable")
         at = pa.array(order)
         item = pa.chunked_array(items, pa.string()).combine_chunks().take(at)
         score = pa.array(np.concatenate([*scores, np.empty(0)])[order], pa.float64())
-        size = pa.array([f"{n}-gram" for n in np.concatenate([*types, np.empty(0, dtype=np.int64)])[order].tolist()], pa.string())
+        size = pa.array([f"{n}-gram" if n > 1 else "unigram" for n in np.concatenate([*types, np.empty(0, dtype=np.int64)])[order].tolist()], pa.string())
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lists)))])
         values = pa.StructArray.from_arrays([item, score, size], ["item", "score", "type"])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
@@ -166,6 +168,67 @@ def most_frequent(tokens: Column, rules: Rules, k: int, weight: float) -> Column
     return read(tokens)
 
 
+def _runs(lists: list[pa.ListArray]) -> Iterator[tuple[int, int]]:
+    """(first, last) of rows that are counted together."""
+    ends = np.cumsum(sum(pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in lists))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + MOST_TOKENS, "right")))
+        yield first, last
+        first = last
+
+
+def _degrees(code: np.ndarray, row: np.ndarray, end: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row and word as one key, score): words met in the same sentences over the count and one; sentences end at the number ``end``."""
+    ends = code == end
+    sentence = (row + np.cumsum(ends))[~ends]
+    word, row = code[~ends], row[~ends]
+    pair, place, times = np.unique(sentence * wide + word, return_index=True, return_counts=True)
+    of_pair = sentence[place]
+    met = np.bincount(of_pair, minlength=1)[of_pair] - 1
+    key, group = np.unique(row[place] * wide + word[place], return_inverse=True)
+    n, degree = np.bincount(group, times, len(key)), np.bincount(group, met, len(key))
+    return key, degree / (n + 1)
+
+
+def word_scores(tokens: Column, sentences: Column, end: str) -> Column:
+    """array<struct<item, tf, tr>> in order of item: counts in ``tokens`` and co-occurrence scores in ``sentences``, a list with ``end`` between two.
+
+    Without ``sentences`` the count is the score; a word that only one of the lists has is 0.0 in the other's field.
+    """
+    kind = "array<struct<item:string,tf:double,tr:double>>"
+
+    @F.arrow_udf(kind)
+    def read(whole: pa.Array, cut: pa.Array) -> pa.Array:
+        rows, items, tfs, trs = [], [], [], []
+        for first, last in _runs([whole, cut]):
+            a, b = whole.slice(first, last - first), cut.slice(first, last - first)
+            many_a, many_b = (pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (a, b))
+            code, known = _numbered(pa.concat_arrays([a.flatten().cast(pa.string()), b.flatten().cast(pa.string()), pa.array([end])]))
+            wide, stop, here = len(known), int(code[-1]), np.arange(last - first)
+            row_a, row_b = np.repeat(here, many_a), np.repeat(here, many_b)
+            key_a, times = np.unique(row_a * wide + code[: len(row_a)], return_counts=True)
+            key_b, score = _degrees(code[len(row_a) : -1], row_b, stop, wide)
+            alone = np.flatnonzero(b.is_null().to_numpy(zero_copy_only=False)[key_a // wide])
+            key = np.union1d(key_a, key_b)
+            tf, tr = np.zeros(len(key)), np.zeros(len(key))
+            tf[np.searchsorted(key, key_a)] = times
+            tr[np.searchsorted(key, key_b)] = score
+            tr[np.searchsorted(key, key_a[alone])] = times[alone]
+            rows.append(key // wide + first)
+            items.append(known.take(pa.array(key % wide)))
+            tfs.append(tf)
+            trs.append(tr)
+        row = np.concatenate([*rows, np.empty(0, dtype=np.int64)])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(whole)))])
+        numbers = [pa.array(np.concatenate([*x, np.empty(0)]), pa.float64()) for x in (tfs, trs)]
+        values = pa.StructArray.from_arrays([pa.chunked_array(items, pa.string()).combine_chunks(), *numbers], ["item", "tf", "tr"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+    return read(tokens, sentences)
+
+
 def hashes(lists: DataFrame, key: str, rules: Rules) -> DataFrame:
     """(key, h) from (key, tokens): the hash of every distinct phrase of every row."""
 

@@ -241,3 +241,34 @@ def test_phrases_do_not_move_as_text(spark):
     plan = K.ngram_tfidf(docs)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert moved and not any("keyword" in line for line in moved)
+
+
+ODD_TEXTS = [
+    "One river meets a bridge. The bridge meets the tower! River, tower, river? A <b>tag <i.nside</b> is gone > here.",
+    "single sentence river river bridge", "", "...", None, "river\x02bridge. tower river.", "Ünïcode ΟΔΟΣ. Σίσυφος ΟΔΟΣ! naïve 12 ab",
+    "a. b. c.", "river. . \x1c tower\x1driver. river",
+]
+
+
+@pytest.mark.parametrize("shortest", [1, 3])
+def test_word_scores_of_a_batch_are_those_of_the_row(spark, shortest):
+    options = K.KeywordOptions(min_word_length=shortest)
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id int, text string")
+    text = F.col("text")
+    rows = docs.select(
+        K.textrank_entries(text, options).alias("batch"), K._textrank_in_row(text, options).alias("row"),
+        K._frequent_entries(options.tokens(text), options).alias("frequent"), K.freq_entries(options.tokens(text)).alias("counts"),
+    ).collect()
+    for r in rows:
+        assert r["batch"] == r["row"]
+        words = sorted((e for e in r["frequent"] or [] if e["type"] == "unigram"), key=lambda e: e["item"])
+        assert [(e["item"], e["score"]) for e in words] == [tuple(e) for e in r["counts"] or []][: len(words)] and len(words) == min(10, len(r["counts"] or []))
+
+
+@pytest.mark.parametrize("method, batches", [("textrank", 2), ("combined", 2), ("word_freq", 1)])
+def test_words_are_counted_in_batches_without_an_exchange(spark, method, batches):
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id int, text string")
+    plan = K.extract(docs, options=replace(K.KeywordOptions(), method=method))._jdf.queryExecution().optimizedPlan().toString()
+    evaluated = plan.split("ArrowEvalPython [")[1].split("pythonUDF0")[0]
+    assert evaluated.count("read(") == batches
+    assert method != "word_freq" or "sequence(" not in plan
