@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexigraph.operators import ranking as R
+from lexigraph.operators import lexical_index, ranking as R
 from lexigraph.operators.lexical_index import LexicalIndex
+from lexigraph.session import materialize
 
 
 def corpus(spark, nodes=600, seed=2):
@@ -73,3 +74,36 @@ def test_ties_at_the_threshold(spark, tmp_path):
 def test_empty_index(spark, tmp_path):
     index = LexicalIndex.build(corpus(spark).limit(0), F.col("text"), str(tmp_path / "index"))
     assert index.search(asked(spark), 3).count() == 0
+
+
+def test_segments_of_a_word(spark, tmp_path):
+    """A word's postings are cut in bounded segments, from lists that are shorter than a row for each posting."""
+    nodes = corpus(spark, 300)
+    index = LexicalIndex.build(nodes, F.col("text"), str(tmp_path / "index"), block=8, segment=50)
+    postings = R.lexical_postings(nodes, F.col("text"))
+    assert rows(index.search(asked(spark), 9)) == rows(R.bm25(asked(spark), postings, 9))
+    held = index.blocks().filter("token = 'common'").select(F.explode("uuids").alias("uuid"))
+    assert held.count() == held.distinct().count() == 300
+
+
+def test_sums_of_open_blocks_leave_few_candidates(spark, tmp_path, monkeypatch):
+    written = {}
+
+    def keep(df, name):
+        written[name] = materialize(df, name)
+        return written[name]
+
+    monkeypatch.setattr(lexical_index, "materialize", keep)
+    nodes = corpus(spark)
+    index = LexicalIndex.build(nodes, F.col("text"), str(tmp_path / "index"), block=8)
+    assert written["index-postings"].count() < R.lexical_postings(nodes, F.col("text")).count() / 4
+    one = spark.createDataFrame([(0, "wordaa wordba wordca wordda wordea wordfa wordga common")], "query_id long, query string")
+    want = rows(R.bm25(one, R.lexical_postings(nodes, F.col("text")), 5))
+    assert rows(index.search(one, 5)) == want
+    open_, _, threshold = index.opened(one, 5)
+    met = index._gains(open_).groupBy("uuid").agg(F.sum("gain").alias("partial"))
+    fifth = met.orderBy(F.desc("partial")).limit(5).agg(F.min("partial")).first()[0]
+    candidates = written["candidates"]
+    assert fifth > threshold.first()["threshold"]
+    assert candidates.filter(F.col("partial") + F.col("more") < fifth - 1e-6).count() == 0
+    assert 5 <= candidates.count() <= met.count()
