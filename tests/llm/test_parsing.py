@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexigraph.llm import parsing
@@ -116,3 +117,25 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, text + text[5000:6000])], "doc_id long, text string")
     row = parsing.repeats(docs).first()
     assert [(s["start"], s["stop"]) for s in row["removed"]] == [(5000, 6000), (1_000_000, 1_001_000)]
+
+
+def test_short_ways_agree_with_long_ones():
+    """Hashes read at once, thin starts told without the others, and seven bytes to begin the doubling with."""
+    draw = random.Random(11)
+    for _ in range(300):
+        raw = bytes(draw.choices(b"ab" if draw.random() < 0.5 else range(256), k=draw.randint(0, 300)))
+        plain = np.array([int.from_bytes(raw[i : i + 4], "little") for i in range(len(raw) - 3)], dtype=np.uint64)
+        mixed = parsing.grams(np.frombuffer(raw, dtype=np.uint8), 4)
+        assert len(np.unique(plain)) == len(np.unique(mixed)) and len(mixed) == len(plain)
+        assert parsing.triggers(mixed, 8).tolist() == [i for i, x in enumerate(mixed.tolist()) if x % 8 == 0]
+        assert parsing.triggers(mixed, 7).tolist() == [i for i, x in enumerate(mixed.tolist()) if x % 7 == 0]
+        if len(raw) >= 40:
+            start, stop = parsing.phrases(raw, 4, 8)
+            thin = parsing.starts(len(raw), start, stop, np.zeros(len(start), dtype=bool), 40)[2] < 0
+            assert parsing.has_thin(len(raw), start, stop, 40) == thin.any()
+        if raw:
+            letters, end = np.frombuffer(raw, dtype=np.uint8), np.full(len(raw), len(raw))
+            packed, known = parsing._packed(letters, end)
+            suffixes = sorted({raw[i:] for i in range(len(raw))})
+            assert known == 7
+            assert parsing.ranks(packed, end, known).tolist() == [suffixes.index(raw[i:]) + 1 for i in range(len(raw))]
