@@ -183,7 +183,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 9
                 graph = np.frombuffer(one["graph"].as_buffer(), dtype=np.int32).reshape(len(raw), -1)
                 yield _answer(names, asked, raw, graph, one["entry"].as_py(), one["members"].as_py(), k, beam)
 
-    found = visits.join(graphs, ["shard", "dim"]).select(*columns).mapInArrow(run, "query_id long, vec_id long, score double")
+    # a few queries look small until they are there once per shard: Spark would collect all of that to broadcast it
+    found = visits.hint("merge").join(graphs, ["shard", "dim"]).select(*columns).mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -361,6 +361,13 @@ def test_recall_over_several_shards(spark):
     assert hits / total >= 0.9
 
 
+def test_copies_of_queries_for_every_shard_are_not_broadcast(spark):
+    df = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    found = ann.neighbours(df, df.filter("vec_id % 50 = 0"), shard_size=150)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_neighbours_odd_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (8, [None, 1.0]), (9, []), (None, [1.0, 1.0]), (100, [1.0, 2.0, 3.0])]
