@@ -52,3 +52,12 @@ def connect_folder(folder, name):
     here = duckdb.connect()
     here.execute(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet/*.parquet')")
     return here
+
+
+def test_episodes_beyond_the_year_9999(spark, tmp_path):
+    rows = [(5, "Ana Maria met Gavin Newsom.", "web"), (3_080_000, "Gavin Newsom left.", "web"), (3_080_001, "Bea Lopez left.", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    here = connect_folder(tmp_path, "documents")
+    for name in ("graph_build_nodes", "graph_upkeep_nodes"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        assert compare(df, here, entry.oracle_sql()[name]) is None
