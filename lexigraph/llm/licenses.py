@@ -6,18 +6,21 @@ place in the text less the place in the template: a template that stands in a
 text puts all its votes on one diagonal, or on neighbouring ones where words
 were put in or left out. Neighbouring diagonals are merged and the hits of each
 span are checked in order.
+
+Texts are read once: a batch's words are numbered, hashed by number, and of all
+rolling k-grams those go on to the join that some template has.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexigraph.llm.common import each, materialize
+from lexigraph.llm.common import BATCH_ROWS, batches_of, materialize
 from lexigraph.llm.jaccard import _WordHashes
 
 # Phrases that count wherever they stand.
@@ -51,10 +54,10 @@ TEMPLATES = (
 K = 3
 DRIFT = 3
 SHORT = 12
+MOST_BYTES = 4_000_000  # of the texts that are read together
 
 # A-Z fold, other ASCII letters and digits stay, all other ASCII separates; what is not ASCII belongs to words.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
-BASE = {label: re.compile(rb"(?<= )" + phrase.encode() + rb"(?= )") for label, phrase in PHRASES.items()}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -73,16 +76,87 @@ def grams(words: list[bytes], hashes: dict, k: int = K) -> np.ndarray:
     return total.view(np.int64)
 
 
-def base(words: list[bytes]) -> tuple[int, int | None, int | None, list[str]]:
-    """Places of the phrases: how many, the smallest and largest first word, and their labels."""
-    line = b" " + b" ".join(words) + b" "
-    places, labels = [], []
-    for label, pattern in BASE.items():
-        found = [line.count(b" ", 0, m.start()) - 1 for m in pattern.finditer(line)] if PHRASES[label].encode() in line else []
-        places += found
-        if found:
-            labels.append(label)
-    return len(places), min(places, default=None), max(places, default=None), sorted(labels)
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, word number) of every word of the texts in order, and the words by number."""
+    folded = pa.array([t.translate(FOLD) if t else b"" for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+    split = pc.ascii_split_whitespace(folded.view(pa.string()))
+    numbers = split.flatten().dictionary_encode()
+    known = numbers.dictionary.view(pa.binary())
+    code = numbers.indices.to_numpy()
+    row = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy())
+    blank = known.index(pa.scalar(b"", pa.binary())).as_py()  # before and after a blank at an edge
+    return row[code != blank], code[code != blank], known
+
+
+def rolling(row: np.ndarray, h: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """(place among all words, hash) of every k-gram that lies in one row."""
+    at = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])
+    total = np.full(len(at), k, dtype=np.uint64)
+    for j in range(k):
+        total = (total ^ h[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return at, total.view(np.int64)
+
+
+def base_places(code: np.ndarray, row: np.ndarray, known: pa.Array) -> dict[str, np.ndarray]:
+    """label -> places of the phrase among all words."""
+    out = {}
+    for label, phrase in PHRASES.items():
+        numbers = [known.index(pa.scalar(w, pa.binary())).as_py() for w in phrase.encode().split()]
+        n = max(0, len(code) - len(numbers) + 1)
+        here = row[:n] == row[len(row) - n :]
+        for j, number in enumerate(numbers):
+            here &= code[j : j + n] == number  # -1, a word that no text has, is met nowhere
+        out[label] = np.flatnonzero(here)
+    return out
+
+
+def read(texts: pa.Array, wanted: np.ndarray) -> dict[str, pa.Array]:
+    """n_words, n_base, first_word, last_word, base and hits of every text; hits are the k-grams that ``wanted``, sorted, has."""
+    import xxhash
+
+    n = len(texts)
+    row, code, known = coded(texts)
+    words = np.bincount(row, minlength=n)
+    start = np.cumsum(words) - words
+    of_word = np.fromiter(map(xxhash.xxh64_intdigest, known.to_pylist()), dtype=np.uint64, count=len(known))
+    at, grams_of = rolling(row, of_word[code])
+    kept = wanted[np.minimum(np.searchsorted(wanted, grams_of), len(wanted) - 1)] == grams_of
+    at, grams_of = at[kept], grams_of[kept]
+    hits = pa.StructArray.from_arrays([pa.array(at - start[row[at]], pa.int32()), pa.array(grams_of)], ["pos", "hash"])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=n))])
+
+    n_base = np.zeros(n, dtype=np.int64)
+    first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    labels: list[list[str]] = [[] for _ in range(n)]
+    for label, places in sorted(base_places(code, row, known).items()):
+        owner = row[places]
+        place = places - start[owner]
+        n_base += np.bincount(owner, minlength=n)
+        np.minimum.at(first, owner, place)
+        np.maximum.at(last, owner, place)
+        for r in np.unique(owner).tolist():
+            labels[r].append(label)
+    none = n_base == 0
+    return {
+        "n_words": pa.array(words.astype(np.int64)),
+        "n_base": pa.array(n_base),
+        "first_word": pa.array(first, mask=none),
+        "last_word": pa.array(last, mask=none),
+        "base": pa.array(labels, pa.list_(pa.string())),
+        "hits": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits),
+    }
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, last) of texts that are read together; a longer text is one alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + MOST_BYTES, "right")))
+        yield first, last
+        first = last
 
 
 def template_places(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
@@ -96,14 +170,14 @@ def template_places(spark, templates=TEMPLATES, k: int = K) -> DataFrame:
 
 
 def spans(keyed: DataFrame, coverage: float = 0.75, templates=TEMPLATES, k: int = K, drift: int = DRIFT) -> DataFrame:
-    """(doc_id, text_hash, label, template, start, stop, score) from rows with ``hashes``, the rolling k-grams of a text.
+    """(doc_id, text_hash, label, template, start, stop, score) from rows with ``hits``, (pos, hash) of the rolling k-grams of a text.
 
     start and stop are word positions. Score is the part of the template's
     k-grams that stand in the span in order; spans below ``coverage`` go, and so
     do incomplete ones of short templates, which differ by a word from others.
     """
     places = template_places(keyed.sparkSession, templates, k)
-    rows = keyed.select("doc_id", "text_hash", F.posexplode("hashes").alias("pos", "hash"))
+    rows = keyed.select("doc_id", "text_hash", F.inline("hits"))
     hits = rows.join(F.broadcast(places), "hash")
     key = ["doc_id", "text_hash", "template"]
     diagonals = hits.groupBy(*key, "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
@@ -141,34 +215,24 @@ def scan(docs: DataFrame, coverage: float = 0.75) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+    wanted = np.unique(np.concatenate([grams(words_of(text), _WordHashes()) for _, text in TEMPLATES]))
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, facts = [], []
-            for text in each(batch.column("text")):
-                words = words_of(text)
-                lists.append(grams(words, hashes))
-                facts.append((len(words), *base(words)))
-            ends = np.cumsum([0] + [len(x) for x in lists])
-            flat = np.concatenate(lists) if lists else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text_hash"),
-                    *[pa.array([f[i] for f in facts], pa.int64()) for i in range(4)],
-                    pa.array([f[4] for f in facts], pa.list_(pa.string())),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                ],
-                ["doc_id", "text_hash", "n_words", "n_base", "first_word", "last_word", "base", "hashes"],
-            )
-
-    columns = f"doc_id {kind}, text_hash long, n_words long, n_base long, first_word long, last_word long, base array<string>, hashes array<long>"
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(read, columns)
+            for first, last in runs(batch.column("text")):
+                part = batch.slice(first, last - first)
+                made = read(part.column("text"), wanted)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), **made})
+
+    columns = f"doc_id {kind}, text_hash long, n_words long, n_base long, first_word long, last_word long, base array<string>, hits array<struct<pos:int,hash:long>>"
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        keyed = materialize(texts.mapInArrow(facts, columns), "license-facts")
     found = materialize(spans(keyed, coverage), "license-spans")
     best = found.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
         F.collect_set("label").alias("found"), F.max("score").alias("best")
     )
-    joined = keyed.drop("hashes").join(best, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
+    joined = keyed.drop("hits").join(best, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     both = F.array_sort(F.array_union("base", F.coalesce("found", F.expr("cast(array() as array<string>)"))))
     return joined.select(
         "doc_id",

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,6 +359,26 @@ def test_license_base_agrees_with_brute_force(spark):
         assert r["base_labels"] == ",".join(sorted({k for _, k in places}))
 
 
+def test_license_words_of_a_batch_are_those_of_each_text():
+    texts = [None, "", "  ", "CC-BY 4.0, cc by", " The MIT License", "x" * 90, "caf\u00e9 cc", "by all rights", "reserved cc\tby", "All Rights Reserved. GENERAL public license\n"]
+    hashes = licenses._WordHashes()
+    wanted = np.unique(np.concatenate([licenses.grams(licenses.words_of(t), hashes) for t in texts]))
+    got = {c: a.to_pylist() for c, a in licenses.read(pa.array(texts), wanted).items()}
+    for i, text in enumerate(texts):
+        words = [w.decode() for w in licenses.words_of(text)]
+        places = sorted((at, k) for k, p in licenses.PHRASES.items() for at in range(len(words)) if words[at : at + len(p.split())] == p.split())
+        first, last = (places[0][0], places[-1][0]) if places else (None, None)
+        assert [got[c][i] for c in ("n_words", "n_base", "first_word", "last_word")] == [len(words), len(places), first, last]
+        assert got["base"][i] == sorted({k for _, k in places})
+        assert [(h["pos"], h["hash"]) for h in got["hits"][i]] == list(enumerate(licenses.grams(licenses.words_of(text), hashes).tolist()))
+    assert [r for r in licenses.runs(pa.array(texts + ["y" * licenses.MOST_BYTES, None]))] == [(0, 10), (10, 12)]
+
+
+def test_licenses_read_texts_once(spark):
+    scanned = licenses.scan(documents(spark))
+    assert "MapInArrow" not in scanned._jdf.queryExecution().executedPlan().toString()  # texts are read before, and nothing reads them again
+
+
 def test_licenses_odd_cases(spark, odd):
     assert licenses.scan(odd).count() == 8
     assert licenses.scan(odd.limit(0)).count() == 0
