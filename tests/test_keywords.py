@@ -1,4 +1,3 @@
-import math
 import re
 from collections import Counter
 from dataclasses import replace
@@ -272,3 +271,19 @@ def test_words_are_counted_in_batches_without_an_exchange(spark, method, batches
     evaluated = plan.split("ArrowEvalPython [")[1].split("pythonUDF0")[0]
     assert evaluated.count("read(") == batches
     assert method != "word_freq" or "sequence(" not in plan
+
+
+def test_hashes_of_phrases_are_gone_before_phrases_are_weighed(spark):
+    docs = spark.createDataFrame([(1, "green apples fall slowly"), (1, "green apples fall slowly"), (1, "red apples fall slowly"), (2, None)], "doc_id long, text string")
+    scored = K.ngram_tfidf(docs)
+    assert "Window" not in scored._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.n, r.keyword, round(r.score, 6)) for r in scored.collect())
+    # of four rows three have the last two bigrams, two the first trigram; each size has unit length in its row
+    idf = [math.log2(4 / df) for df in (2, 3, 3)]
+    norm = math.sqrt(sum(w * w for w in idf))
+    want = [(2, "green apples", idf[0] / norm), (2, "apples fall", idf[1] / norm), (2, "fall slowly", idf[2] / norm)]
+    assert [r for r in rows if r[0] == 2 and "red" not in r[1]].count((2, "green apples", round(want[0][2], 6))) == 2
+    alone = [math.log2(4 / df) for df in (1, 3, 3)]
+    norm_alone = math.sqrt(sum(w * w for w in alone))
+    assert (2, "red apples", round(alone[0] / norm_alone, 6)) in rows and (2, "apples fall", round(alone[1] / norm_alone, 6)) in rows
+    assert {(n, p) for n, p, _ in rows} >= {(3, "green apples fall"), (3, "apples fall slowly"), (4, "red apples fall slowly")}
