@@ -105,7 +105,8 @@ def _mixed(
     )
     ranges = placed.groupBy(F.shiftright("_place", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
     upto = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("_range", F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_before"))
+    # written, so that Spark knows how small they are: the texts then stay where they are in both joins
+    ranges = materialize(ranges.select("_range", F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_before")), "mix-ranges")
     facts = per_source.withColumnRenamed("source", "_source")
     joined = (
         placed.withColumn("_range", F.shiftright("_place", 33))
@@ -123,7 +124,7 @@ def _mixed(
     draws = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("source")), F.lit(1 << 20)) / F.lit(float(1 << 20)) for k in range(offsets)]
     tried = along.groupBy("source", "target").agg(*[F.sum(_crossed(u) * F.col("size")).alias(f"_{k}") for k, u in enumerate(draws)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")), F.lit(k), u.alias("u")) for k, u in enumerate(draws)]))
-    chosen = tried.select(F.col("source").alias("_named"), best["u"].alias("_offset"))
+    chosen = materialize(tried.select(F.col("source").alias("_named"), best["u"].alias("_offset")), "mix-offsets")
     return (
         along.join(chosen, F.col("source").eqNullSafe(F.col("_named")))
         .withColumn("copies", _crossed(F.col("_offset")).cast("long"))

@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexigraph.llm.common import let
+from lexigraph.llm.common import let, materialize
 
 MINIMUM_VALUE = 6
 
@@ -31,16 +31,19 @@ class Kind:
     pattern: str
     role: str
     weak: bool = True
+    needs: str = ""  # a pattern that is cheap to look for and stands in every text with this part
 
 
 # Base kinds first, in the order that breaks ties between spans of one start.
+MARK = "[:=]"
+LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}"
 KINDS = (
-    Kind("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", "secret", weak=False),
-    Kind("access", r"AKIA[A-Z0-9]{16,}", "identifier", weak=False),
-    Kind("hex", r"[0-9a-f]{24,}", "secret", weak=False),
-    Kind("random", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_-])", "secret"),
-    Kind("user", r"(?<![A-Za-z0-9_])(?:[Uu]ser(?:_?(?:name|id))?|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]{2,}", "identifier"),
-    Kind("endpoint", r"(?<![A-Za-z0-9])(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9][A-Za-z0-9._:@%/?=&-]*[A-Za-z0-9/]|(?<![A-Za-z0-9_])(?:[Hh]ost(?:name)?|[Ee]ndpoint|[Ss]erver|[Rr]egion)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9][A-Za-z0-9.:-]+", "endpoint"),
+    Kind("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", "secret", weak=False, needs=MARK),
+    Kind("access", r"AKIA[A-Z0-9]{16,}", "identifier", weak=False, needs="AKIA"),
+    Kind("hex", r"[0-9a-f]{24,}", "secret", weak=False, needs=LONG),
+    Kind("random", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_-])", "secret", needs=LONG),
+    Kind("user", r"(?<![A-Za-z0-9_])(?:[Uu]ser(?:_?(?:name|id))?|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccount)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]{2,}", "identifier", needs=MARK),
+    Kind("endpoint", r"(?<![A-Za-z0-9])(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9][A-Za-z0-9._:@%/?=&-]*[A-Za-z0-9/]|(?<![A-Za-z0-9_])(?:[Hh]ost(?:name)?|[Ee]ndpoint|[Ss]erver|[Rr]egion)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9][A-Za-z0-9.:-]+", "endpoint", needs=MARK),
 )
 BASE = tuple(k.name for k in KINDS if not k.weak)
 ASSIGN_VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?(.+)$"""
@@ -60,19 +63,25 @@ def _found(text: Column, kind: Kind, number: int) -> Column:
     return F.transform(lengths, lambda x: F.struct(F.lit(number).alias("kind"), x["gap"].alias("gap"), x["size"].alias("size"), x["hit"].alias("hit")))
 
 
+def _may_hold(text: Column, need: str, kinds: list[Kind]) -> Column:
+    """Whether a text holds a part of kinds that need the same; most texts lack it and are done."""
+    part = text.rlike("|".join(f"(?:{k.pattern})" for k in kinds))
+    return text.rlike(need) & part if need else part
+
+
 def parts(docs: DataFrame, key: list[str], kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """(key, kind, start, stop) of every part of every text, code points, stop exclusive.
 
     A row per distinct part of a key; texts without a part give no row.
     """
-    any_part = "|".join(f"(?:{k.pattern})" for k in kinds if k.weak or k.name in BASE)
+    any_part = reduce(Column.__or__, [_may_hold(F.col("text"), need, [k for k in kinds if k.needs == need]) for need in dict.fromkeys(k.needs for k in kinds)])
     lists = [
         F.when(F.col("text").rlike(k.pattern), _found(F.col("text"), k, n)).otherwise(
             F.expr("cast(array() as array<struct<kind:int,gap:bigint,size:bigint,hit:string>>)")
         )
         for n, k in enumerate(kinds)
     ]
-    rows = docs.filter(F.col("text").rlike(any_part)).select(*key, F.explode(F.array(*lists)).alias("list")).filter(F.size("list") > 0)
+    rows = docs.filter(any_part).select(*key, F.explode(F.array(*lists)).alias("list")).filter(F.size("list") > 0)
     flat = rows.select(*key, F.posexplode("list").alias("at", "x")).select(*key, "at", "x.kind", "x.gap", "x.size", "x.hit").distinct()
     along = Window.partitionBy(*key, "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = flat.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(along)).withColumn("start", F.col("stop") - F.col("size"))
@@ -114,6 +123,7 @@ def _scanned(docs: DataFrame, carried: list[str], scope: int, kinds: tuple[Kind,
     keyed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
     linked = link(parts(keyed, ["_doc", "_hash"], kinds), ["_doc", "_hash"], scope, kinds)
     spans = linked.groupBy("_doc", "_hash").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "stop", "linked"))).alias("spans"))
+    spans = materialize(spans, "secret-spans")  # where they are few, Spark sees it and leaves the texts where they are
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint,linked:boolean>>)")
     found = rows.join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left")
     return found.select("_row", F.coalesce("spans", none).alias("spans"))

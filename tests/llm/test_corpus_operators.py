@@ -326,6 +326,25 @@ def test_quality_odd_cases(spark, odd):
     assert quality.apply(odd, labels.limit(0)).count() == 8
 
 
+def test_secrets_need_what_they_are_looked_for_by():
+    samples = {"assign": "password = abcdefgh1", "access": "AKIA" + "A1" * 8, "hex": "x" * 3 + " " + "0a" * 12, "random": "Ab1" * 11, "user": "login: bob", "endpoint": "see ftp://a.b/c"}
+    for kind in secrets.KINDS:
+        assert kind.needs and re.search(kind.pattern, samples[kind.name]) and re.search(kind.needs, samples[kind.name])
+    assert re.search(secrets.LONG, "x-" + "0a" * 12) and not re.search(secrets.LONG, "a" * 23 + " " + "b" * 23)
+
+
+def test_masking_and_mixing_leave_texts_where_they_are(spark):
+    docs = documents(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+    try:
+        for table in (secrets.redact(docs), mixing.resample(docs)):
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 # -- licenses -------------------------------------------------------------------------
 
 
